@@ -99,6 +99,40 @@ def scan_topk(
     return run
 
 
+def scan_cells(
+    query_ids: np.ndarray, queries: np.ndarray, cells: np.ndarray, k: int, metric: str, skip_self: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapInArrow function over (id, embedding, cell): a row meets the queries probing its cell.
+
+    ``cells`` holds the probed cells of each query, one row per query.
+    """
+    askers: dict[int, list[int]] = {}
+    for q, row in enumerate(cells.tolist()):
+        for cell in row:
+            askers.setdefault(cell, []).append(q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            corpus = matrix(batch.column(1), queries.shape[1])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            held = batch.column(2).to_numpy(zero_copy_only=False)
+            for cell in np.unique(held).tolist():
+                asking = askers.get(cell)
+                if asking:
+                    rows = held == cell
+                    best = local_topk(ids[rows], corpus[rows], query_ids[asking], queries[asking], k, metric, skip_self)
+                    yield from best.to_batches()
+
+    return run
+
+
+def best_cells(points: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
+    """(points, nprobe) numbers of the centres with the largest inner product."""
+    return np.argsort(-(points @ centers.T), axis=1, kind="stable")[:, : min(nprobe, len(centers))]
+
+
 def probe_cells(
     centers: np.ndarray, nprobe: int
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -108,10 +142,8 @@ def probe_cells(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            scores = matrix(batch.column(1), centers.shape[1]) @ centers.T
-            take = min(nprobe, centers.shape[0])
-            cells = np.argsort(-scores, axis=1, kind="stable")[:, :take]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), take))
+            cells = best_cells(matrix(batch.column(1), centers.shape[1]), centers, nprobe)
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(cells.ravel().astype(np.int32))],
                 names=["query_id", "embedding", "cell"],

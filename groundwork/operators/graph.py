@@ -44,30 +44,24 @@ def neighbors(edge: DataFrame, ids: DataFrame | Sequence[str], vertex: DataFrame
 def khop(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(start, id, hops): every vertex within ``k`` hops of each start, by its shortest hop count.
 
-    Breadth-first over frames: a vertex is expanded once per start, so cycles end. Each
-    frontier is written to the shared checkpoint folder, which keeps the plan short and lets
-    a lost executor cost one hop at most.
+    Breadth-first over frames: a vertex is expanded once per start, so cycles end. The links
+    and each hop's state are written to the shared checkpoint folder, which keeps the plan
+    short and lets a lost executor cost one hop at most.
     """
-    links = edge.select("src", "dst").distinct()
-    frontier = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select("start", F.col("start").alias("id"))
-    found = [checkpointed(frontier.withColumn("hops", F.lit(0)))]
+    links = checkpointed(edge.select("src", "dst").distinct())
+    start = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
+    reached = checkpointed(start.select("start", F.col("start").alias("id"), F.lit(0).alias("hops")))
     for hop in range(1, k + 1):
-        reached = (
-            found[-1]
-            .join(links, F.col("id") == F.col("src"))
-            .select("start", F.col("dst").alias("id"))
-            .distinct()
-        )
-        for layer in found:
-            reached = reached.join(layer.select("start", "id"), ["start", "id"], "left_anti")
-        layer = checkpointed(reached.withColumn("hops", F.lit(hop)))
-        if layer.isEmpty():
+        frontier = reached.where(F.col("hops") == hop - 1)
+        if frontier.isEmpty():
             break
-        found.append(layer)
-    everything = found[0]
-    for layer in found[1:]:
-        everything = everything.unionByName(layer)
-    return everything
+        onward = frontier.join(links, F.col("id") == F.col("src")).select(
+            "start", F.col("dst").alias("id"), F.lit(hop).alias("hops")
+        )
+        reached = checkpointed(
+            reached.unionByName(onward).groupBy("start", "id").agg(F.min("hops").alias("hops"))
+        )
+    return reached
 
 
 def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
@@ -76,7 +70,9 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     Quickest means least total transit, then cost, then worst edge risk, then hops. One
     best path per start and vertex is carried from hop to hop, never all paths.
     """
-    links = edge.groupBy("src", "dst").agg(F.min(F.struct("transit_days", "cost", "risk")).alias("e"))
+    links = checkpointed(
+        edge.groupBy("src", "dst").agg(F.min(F.struct("transit_days", "cost", "risk")).alias("e"))
+    )
     best = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select(
         "start",
         F.col("start").alias("id"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions.vectors import DOT
-from groundwork.operators.vectors import vector_topk_batch
+from groundwork.operators.vectors import topk_batch_sized
+from groundwork.sources.scratch import checkpointed
 
 
 def chunk_documents(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -26,14 +27,20 @@ def chunk_documents(df: DataFrame, key: str, text: str, size: int = 1000, overla
     )
 
 
-def rag_context(corpus: DataFrame, queries: DataFrame, k: int = 5, metric: str = DOT) -> DataFrame:
+def rag_context(
+    corpus: DataFrame, contents: DataFrame, queries: DataFrame, k: int = 5, metric: str = DOT
+) -> DataFrame:
     """(query_id, context, n_chunks, source_note) from the k nearest chunks of each query.
 
-    The context lists ``[Context i]: chunk`` in distance order, separated by blank lines; it is
-    empty for a query without hits.
+    ``corpus`` has (id, embedding), ``contents`` (id, content). The context lists
+    ``[Context i]: chunk`` in distance order, separated by blank lines; it is empty for a query
+    without hits. Only the texts of chunks that were found are moved.
     """
-    near = vector_topk_batch(corpus, queries, k, metric)
-    chunks = near.join(corpus.select("id", "content"), "id").groupBy("query_id").agg(
+    near, bounded = topk_batch_sized(corpus, queries, k, metric)
+    near = checkpointed(near)
+    wanted = near.select("id").distinct()
+    texts = contents.join(F.broadcast(wanted) if bounded else wanted, "id", "left_semi").select("id", "content")
+    chunks = near.join(texts, "id", "left").groupBy("query_id").agg(
         # k entries per query.
         F.array_sort(F.collect_list(F.struct("rank", F.coalesce("content", F.lit("")).alias("content")))).alias("hits")
     )

@@ -20,11 +20,17 @@ from groundwork.functions.vectors import COSINE, DOT, METRICS
 
 # A query set is broadcast up to this many rows and scored block against block beyond it.
 MAX_BROADCAST_QUERIES = 4096
+# A result of up to this many (query, id, distance) rows may be broadcast.
+MAX_BROADCAST_ROWS = 1_000_000
 # Rows of one corpus block and of one query block: what one task holds at a time.
 CORPUS_BLOCK = 16384
 QUERY_BLOCK = 4096
 # Bound on the number of index cells, so that the centres always fit in one task.
 MAX_CELLS = 65536
+# Rows sampled per cell to fit the centres, at least.
+SAMPLE_PER_CELL = 40
+
+FOUND = "query_id bigint, id bigint, distance double"
 
 
 def _check_metric(metric: str) -> None:
@@ -51,7 +57,7 @@ def vector_topk(corpus: DataFrame, query: Sequence[float], k: int = 5, metric: s
     _check_metric(metric)
     point = np.asarray(query, dtype=np.float64)[None, :]
     scan = kernels.scan_topk(np.zeros(1, dtype=np.int64), point, k, metric, skip_self=False)
-    best = _vectors(corpus).mapInArrow(scan, "query_id bigint, id bigint, distance double")
+    best = _vectors(corpus).mapInArrow(scan, FOUND)
     return best.select("id", "distance").orderBy("distance", "id").limit(k)
 
 
@@ -63,30 +69,37 @@ def vector_topk_batch(
     Few queries are sent to every task and the corpus is scanned once without a shuffle.
     More than ``MAX_BROADCAST_QUERIES`` are scored block against block; both ways are exact.
     """
+    return topk_batch_sized(corpus, queries, k, metric, skip_self)[0]
+
+
+def topk_batch_sized(
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str, skip_self: bool = False
+) -> tuple[DataFrame, bool]:
+    """The batch result, and whether it is proven to be small enough to broadcast."""
     _check_metric(metric)
     asked = _queries(queries)
+    head = _bounded(asked)
+    if head is None:
+        cell = F.lit(0).alias("cell")
+        blocks = asked.select(F.col("id").alias("query_id"), "embedding", cell)
+        return _blocked_topk(_vectors(corpus).select("*", cell), blocks, k, metric, skip_self), False
+    ids, points = head
+    if len(ids) == 0:
+        empty = corpus.sparkSession.createDataFrame([], FOUND)
+        return _keep_best(empty, k), True
+    found = _vectors(corpus).mapInArrow(kernels.scan_topk(ids, points, k, metric, skip_self), FOUND)
+    return _keep_best(found, k), len(ids) * k <= MAX_BROADCAST_ROWS
+
+
+def _bounded(asked: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of a query set of at most ``MAX_BROADCAST_QUERIES`` rows, else None."""
     head = asked.limit(MAX_BROADCAST_QUERIES + 1).collect()
-    if len(head) <= MAX_BROADCAST_QUERIES:
-        return _scan_batch(corpus, head, k, metric, skip_self)
-    return _blocked_topk(
-        _vectors(corpus).withColumn("cell", F.lit(0)),
-        asked.select(F.col("id").alias("query_id"), "embedding", F.lit(0).alias("cell")),
-        k,
-        metric,
-        skip_self,
-    )
-
-
-def _scan_batch(corpus: DataFrame, head: list, k: int, metric: str, skip_self: bool) -> DataFrame:
-    if not head:
-        empty = corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double")
-        return empty.withColumn("rank", F.lit(1))
+    if len(head) > MAX_BROADCAST_QUERIES:
+        return None
     if len({len(row.embedding) for row in head}) > 1:
         raise DimensionMismatch("the queries differ in their number of components")
     ids = np.array([row.id for row in head], dtype=np.int64)
-    points = np.array([row.embedding for row in head], dtype=np.float64)
-    scan = kernels.scan_topk(ids, points, k, metric, skip_self)
-    return _keep_best(_vectors(corpus).mapInArrow(scan, "query_id bigint, id bigint, distance double"), k)
+    return ids, np.array([row.embedding for row in head], dtype=np.float64)
 
 
 def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
@@ -142,9 +155,7 @@ def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, sk
             best = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         return best
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        meet, "query_id bigint, id bigint, distance double"
-    )
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
     return _keep_best(found, k)
 
 
@@ -153,14 +164,14 @@ def build_ivf(
 ) -> str:
     """Write the corpus partitioned by its nearest of ``cells`` centres, and the centres.
 
-    The centres are fitted on about ``sample_rows`` rows; every row is written. Large cells
+    The centres are fitted on a sample of about ``sample_rows`` rows; every row is written. Large cells
     are split over many files, so they are written and read by many tasks.
     """
     if not 1 <= cells <= MAX_CELLS:
         raise ValueError(f"cells must be between 1 and {MAX_CELLS}")
     rows = _vectors(corpus)
     featured = rows.withColumn("features", array_to_vector("embedding"))
-    share = min(1.0, sample_rows / max(rows.count(), 1))
+    share = min(1.0, max(sample_rows, SAMPLE_PER_CELL * cells) / max(rows.count(), 1))
     training = featured if share >= 1.0 else featured.sample(share, seed=seed)
     model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(training)
     placed = model.transform(featured).select("id", "embedding", "cell")
@@ -185,17 +196,30 @@ def ivf_topk(
     _check_metric(metric)
     centers = spark.read.parquet(f"{path}/centers").orderBy("cell").limit(MAX_CELLS).collect()
     points = np.array([row.center for row in centers])
-    probes = _queries(queries).mapInArrow(
+    corpus = spark.read.parquet(f"{path}/cells")
+    asked = _queries(queries)
+    head = _bounded(asked)
+    if head is not None and len(head[0]):
+        ids, vectors = head
+        cells = kernels.best_cells(vectors, points, nprobe)
+        scan = kernels.scan_cells(ids, vectors, cells, k, metric, skip_self)
+        probed = _only_cells(corpus, np.unique(cells).tolist(), len(centers))
+        return _keep_best(probed.select("id", "embedding", "cell").mapInArrow(scan, FOUND), k)
+    probes = asked.mapInArrow(
         kernels.probe_cells(points, nprobe), "query_id bigint, embedding array<double>, cell int"
     )
-    # At most one entry per cell; as literals they prune the partition directories.
-    probed = [row.cell for row in probes.select("cell").distinct().collect()]
-    corpus = spark.read.parquet(f"{path}/cells")
-    if len(probed) < len(centers):
-        corpus = corpus.where(F.col("cell").isin(probed))
     return _blocked_topk(corpus, probes, k, metric, skip_self)
 
 
+def _only_cells(corpus: DataFrame, cells: list[int], total: int) -> DataFrame:
+    """At most one literal per cell; they prune the partition directories."""
+    return corpus if len(cells) == total else corpus.where(F.col("cell").isin(cells))
+
+
+def _small(near: DataFrame, bounded: bool) -> DataFrame:
+    return F.broadcast(near) if bounded else near
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """(n_exact, n_found, recall) of one top-k result against another."""
     hits = exact.select("query_id", "id").join(
@@ -232,9 +256,9 @@ def knn_label_vote(live: DataFrame, history: DataFrame, k: int = 5, metric: str
 
     Equal counts go to the label with the nearer sum of distances, then the smaller label.
     """
-    near = vector_topk_batch(history, live, k, metric)
+    near = _small(*topk_batch_sized(history, live, k, metric))
     votes = (
-        near.join(history.select("id", "label"), "id")
+        history.select("id", "label").join(near, "id")
         .groupBy("query_id", "label")
         .agg(F.count("*").alias("votes"), F.round(F.sum("distance"), 6).alias("spread"))
     )
@@ -248,9 +272,9 @@ def rul_estimate(live: DataFrame, history: DataFrame, k: int = 5, metric: str =
     The weight is 1 / (1 + distance - smallest possible distance): 1 for an identical unit
     vector, falling as it gets farther.
     """
-    near = vector_topk_batch(history, live, k, metric)
+    near = _small(*topk_batch_sized(history, live, k, metric))
     floor = -1.0 if metric == DOT else 0.0
-    weighted = near.join(history.select("id", "life"), "id").withColumn(
+    weighted = history.select("id", "life").join(near, "id").withColumn(
         "weight", 1 / (1 + F.greatest(F.col("distance") - F.lit(floor), F.lit(0.0)))
     )
     total = F.sum(F.col("weight") * F.col("life")) / F.sum("weight")
@@ -268,6 +292,7 @@ __all__ = [
     "knn_label_vote",
     "recall",
     "rul_estimate",
+    "topk_batch_sized",
     "vector_topk",
     "vector_topk_batch",
 ]

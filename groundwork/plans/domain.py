@@ -6,6 +6,8 @@ routes and logs. The mapping is ours and is the same on both sides.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,22 +230,17 @@ AT_RISK = 0.08
 def shipments(t: Tables) -> DataFrame:
     """Shipments summed per part and order status: (product_id, status, and running sums)."""
     rate = F.col("l_discount").cast(RATE)
-    lines = t["lineitem"].groupBy("l_orderkey", "l_partkey").agg(
-        F.count("*").alias("n"),
-        F.sum("l_quantity").cast("bigint").alias("q"),
-        F.sum(rate).alias("r"),
-        F.count_if(rate >= F.lit(AT_RISK).cast(RATE)).alias("a"),
-    )
     status = F.coalesce(*[F.when(F.col("o_orderstatus") == k, v) for k, v in STATUS.items()])
     orders = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), status.alias("status"))
     return (
-        lines.join(orders, "l_orderkey")
+        t["lineitem"]
+        .join(orders, "l_orderkey")
         .groupBy("l_partkey", "status")
         .agg(
-            F.sum("n").alias("n_shipments"),
-            F.sum("q").alias("quantity"),
-            F.sum("r").alias("risk_total"),
-            F.sum("a").alias("n_at_risk"),
+            F.count("*").alias("n_shipments"),
+            F.sum("l_quantity").cast("bigint").alias("quantity"),
+            F.sum(rate).alias("risk_total"),
+            F.count_if(rate >= F.lit(AT_RISK).cast(RATE)).alias("n_at_risk"),
         )
         .join(t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_id")), "l_partkey")
     )
@@ -258,41 +255,33 @@ SHIPMENTS = f"""shipments AS (
 MODES = {"A": "SEA", "N": "RAIL", "R": "TRUCK"}
 
 
+def order_nation(t: Tables) -> DataFrame:
+    """(l_orderkey, o_orderdate, c_nation): orders meet customers before the far larger lines do."""
+    orders = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
+    return orders.join(customer_nation(t), "o_custkey").drop("o_custkey")
+
+
 def lanes(t: Tables) -> DataFrame:
     """Lines summed per (supplier nation, supplier region, customer nation, return flag).
 
-    Each step sums before the next join, so an order or customer holding very many lines is a
-    handful of rows when it is shuffled.
+    The lines are shuffled once, on the order key, with the few columns needed; adaptive
+    execution splits an order or supplier that holds very many of them. What leaves the last
+    join is summed in each task first.
     """
-    sums = {"lag": "lag_total", "lagged": "n_lagged", "n": "n_lines", "d": "discount_total", "p": "price_total"}
     lag = F.datediff("l_shipdate", "o_orderdate")
-    lines = (
+    return (
         t["lineitem"]
         .join(supplier_nation(t), "l_suppkey")
-        .groupBy("l_orderkey", "s_nation", "s_region", "l_returnflag", "l_shipdate")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(F.col("l_discount").cast(RATE)).alias("d"),
-            F.sum(F.col("l_extendedprice").cast(PRICE)).alias("p"),
-        )
-    )
-    orders = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
-    per_customer = (
-        lines.join(orders, "l_orderkey")
-        .groupBy("o_custkey", "s_nation", "s_region", "l_returnflag")
+        .join(order_nation(t), "l_orderkey")
+        .groupBy("s_nation", "s_region", "c_nation", "l_returnflag")
         .agg(
-            F.sum(F.when(lag >= 0, lag * F.col("n")).otherwise(0)).cast("bigint").alias("lag"),
-            F.sum(F.when(lag >= 0, F.col("n")).otherwise(0)).alias("lagged"),
-            F.sum("n").alias("n"),
-            F.sum("d").alias("d"),
-            F.sum("p").alias("p"),
+            F.sum(F.when(lag >= 0, lag).otherwise(0)).cast("bigint").alias("lag_total"),
+            F.count_if(lag >= 0).alias("n_lagged"),
+            F.count("*").alias("n_lines"),
+            F.sum(F.col("l_discount").cast(RATE)).alias("discount_total"),
+            F.sum(F.col("l_extendedprice").cast(PRICE)).alias("price_total"),
         )
     )
-    return (
-        per_customer.join(customer_nation(t), "o_custkey")
-        .groupBy("s_nation", "s_region", "c_nation", "l_returnflag")
-        .agg(*[F.sum(c).alias(name) for c, name in sums.items()])
-    )
 
 
 LANES = f"""lanes AS (
@@ -434,14 +423,10 @@ edges AS (
 def supply(t: Tables) -> DataFrame:
     """Distinct (sku, supplier, plant, port, warehouse) served by order lines."""
     part = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sku"))
-    orders = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return (
         t["lineitem"]
         .join(part, "l_partkey")
-        .select("l_orderkey", "l_suppkey", "sku")
-        .distinct()
-        .join(orders, "l_orderkey")
-        .join(customer_nation(t), "o_custkey")
+        .join(order_nation(t), "l_orderkey")
         .select("sku", "l_suppkey", "c_nation")
         .distinct()
         .join(supplier_nation(t), "l_suppkey")
@@ -503,10 +488,9 @@ disruptions AS (
 # --- retrieval ----------------------------------------------------------------------------
 
 
-def chunks(t: Tables) -> DataFrame:
-    """Vectors with their text; a vector without a document has a NULL text."""
-    documents = t["documents"].select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return t["embeddings"].select(F.col("vec_id").alias("id"), "embedding", "label").join(documents, "id", "left")
+def contents(t: Tables) -> DataFrame:
+    """(id, content): a vector's text is the document of the same number, where there is one."""
+    return t["documents"].select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -515,18 +499,10 @@ def vectors(t: Tables) -> DataFrame:
 
 def topic_vectors(t: Tables) -> DataFrame:
     """(query_id, embedding): the mean vector of each label, as many queries as labels."""
-    # Sums of float32 read as double: the rounding hides the order of summation.
-    per_component = (
-        t["embeddings"]
-        .select("label", F.posexplode("embedding").alias("i", "x"))
-        .groupBy("label", "i")
-        .agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("x"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("i", "x")))
-    # One entry per vector component.
-    return per_component.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        F.transform(ordered, lambda c: c["x"]).alias("embedding")
-    )
+    # One running sum per label and task; the rounding hides the order of summation.
+    mean = vector_to_array(Summarizer.mean(array_to_vector("embedding")))
+    means = t["embeddings"].groupBy(F.col("label").cast("bigint").alias("query_id")).agg(mean.alias("embedding"))
+    return means.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 9)))
 
 
 TOPICS = """components AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,7 @@ from groundwork.plans.registry import query, with_views
 from groundwork.sources.scratch import scratch_dir
 from groundwork.sources.tables import Tables
 
-# Index size for these tables: about this many rows to a cell, within the given limits.
-ROWS_PER_CELL = 32
+# The index grows with the square root of the corpus from this many cells.
 LEAST_CELLS = 16
 NPROBE = 12
 
@@ -61,16 +62,14 @@ def vector_topk_batch(t: Tables) -> DataFrame:
 
 def _index(t: Tables) -> str:
     rows = t["embeddings"].count()
-    cells = min(max(LEAST_CELLS, rows // ROWS_PER_CELL), vectors.MAX_CELLS)
+    cells = min(max(LEAST_CELLS, math.isqrt(rows)), vectors.MAX_CELLS)
     return vectors.build_ivf(domain.vectors(t), scratch_dir(t.spark, "ivf"), cells=cells)
 
 
 @query("vector_ivf_topk")
 def vector_ivf_topk(t: Tables) -> DataFrame:
-    """Related chunks of every chunk: each vector meets only its nearest cells."""
-    everything = domain.vectors(t).select(F.col("id").alias("query_id"), "embedding")
-    near = vectors.ivf_topk(t.spark, _index(t), everything, k=5, nprobe=NPROBE, skip_self=True)
-    return _rounded(near)
+    """Nearest chunks of every label's mean vector, from the index's nearest cells only."""
+    return _rounded(vectors.ivf_topk(t.spark, _index(t), domain.topic_vectors(t), k=5, nprobe=NPROBE))
 
 
 @query("ivf_recall")
@@ -102,7 +101,7 @@ FROM near LEFT JOIN documents ON id = doc_id GROUP BY query_id""",
     ),
 )
 def rag_context(t: Tables) -> DataFrame:
-    return retrieval.rag_context(domain.chunks(t), domain.topic_vectors(t), 5)
+    return retrieval.rag_context(domain.vectors(t), domain.contents(t), domain.topic_vectors(t), 5)
 
 
 @query(

@@ -144,22 +144,20 @@ def soft_delete(t: Tables) -> DataFrame:
 
 @query(
     "cascade_delete",
-    """SELECT 'customer' AS table_name, c_custkey AS custkey, count(*) AS n_rows FROM customer
-WHERE c_acctbal >= 0 GROUP BY 2
+    """SELECT 'customer' AS table_name, c_custkey AS custkey, c_custkey AS row_key FROM customer WHERE c_acctbal >= 0
 UNION ALL
-SELECT 'orders', o_custkey, count(*) FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 2""",
+SELECT 'orders', o_custkey, o_orderkey FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
 )
 def cascade_delete(t: Tables) -> DataFrame:
-    """Customers in debt leave with their orders; what stays, counted per customer."""
+    """Customers in debt leave with their orders; the rows that stay."""
     indebted = t["customer"].where(F.col("c_acctbal") < 0).select("c_custkey")
     parent, child = upsert.cascade_delete(t["customer"], t["orders"], "c_custkey", "o_custkey", indebted)
 
-    def counted(df: DataFrame, name: str, key: str) -> DataFrame:
-        counts = df.groupBy(F.col(key).alias("custkey")).agg(F.count("*").alias("n_rows"))
-        return counts.select(F.lit(name).alias("table_name"), "custkey", "n_rows")
+    def rows(df: DataFrame, name: str, custkey: str, key: str) -> DataFrame:
+        return df.select(F.lit(name).alias("table_name"), F.col(custkey).alias("custkey"), F.col(key).alias("row_key"))
 
-    return counted(parent, "customer", "c_custkey").unionByName(counted(child, "orders", "o_custkey"))
+    return rows(parent, "customer", "c_custkey", "c_custkey").unionByName(rows(child, "orders", "o_custkey", "o_orderkey"))
 
 
 @query(
