@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,15 @@ def _distinct(df: DataFrame, column: str) -> DataFrame:
     return df.select(df[column].alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
+def _valid_regex(df: DataFrame, pattern: str) -> str:
+    """The pattern, if Spark's regular expressions accept it: an error now, not in a task."""
+    try:
+        df.sparkSession.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as error:
+        raise ValueError(f"invalid pattern: {error}") from None
+    return pattern
+
+
 def distinct_values(
     df: DataFrame,
     column: str,
@@ -56,7 +66,7 @@ def distinct_values(
     if kind == EXACT:
         matched = values.where(F.col("value") == F.lit(pattern))
     elif kind == REGEX:
-        matched = values.where(text.rlike("(?i)" + pattern))
+        matched = values.where(text.rlike(_valid_regex(df, "(?i)" + pattern)))
     else:
         # The score is pinned above the distinct: one evaluation per value, not per row.
         score = jaro_winkler_pinned(text, F.lit(pattern))

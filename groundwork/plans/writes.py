@@ -25,12 +25,14 @@ def _day(ts: str):
 
 
 def _per_customer(orders: DataFrame) -> DataFrame:
-    return orders.groupBy(F.col("o_custkey").alias("custkey")).agg(
-        F.min(_day("o_orderdate")).alias("first_order"),
-        F.max(_day("o_orderdate")).alias("last_order"),
+    # Extremes of timestamps hash-aggregate; of formatted strings they would sort.
+    totals = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(
+        F.min("o_orderdate").alias("first_order"),
+        F.max("o_orderdate").alias("last_order"),
         F.count("*").alias("n_orders"),
         F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("total"),
     )
+    return totals.withColumns({"first_order": _day("first_order"), "last_order": _day("last_order")})
 
 
 def _per_customer_sql(view: str, comparison: str) -> str:
