@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space and line ends that the log and list formats recognise.
-SPACE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-LINE_END = r"\n\r\x{2028}\x{2029}"
-
-# Fixed values: "[tag] message", the tag and the message each within one line.
-LOG_LINE = rf"^\[([^\]{LINE_END}]*)\]{SPACE}*([^{LINE_END}]*)"
+SPACES = (
+    "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+LINE_ENDS = "\n\r\u2028\u2029"
 
 # Fixed value: the fence that marks a chart inside an answer.
 CHART_FENCE = "chartjs"
@@ -18,12 +18,19 @@ CHART_FENCE = "chartjs"
 
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of every kind, line ends included."""
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col, F.lit(SPACES))
+
+
+def first_line(col: Column) -> Column:
+    """The text up to its first line end."""
+    for end in LINE_ENDS:
+        col = F.substring_index(col, end, 1)
+    return col
 
 
 def slug(col: Column) -> Column:
     """Identifier form of a name: lower case, each run of white space one underscore."""
-    return F.regexp_replace(F.lower(col), rf"{SPACE}+", "_")
+    return F.regexp_replace(F.lower(col), f"[{SPACES}]+", "_")
 
 
 def split_list(col: Column) -> Column:
@@ -48,6 +55,11 @@ def iso_utc(col: Column) -> Column:
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def now_text(fmt: str = "yyyy-MM-dd HH:mm:ss.SSSSSS") -> Column:
+    """The query's start time as text."""
+    return F.date_format(F.current_timestamp(), fmt)
+
+
 def json_array(col: Column) -> Column:
     """JSON text of a string array as an array column."""
     return F.from_json(col, "array<string>")

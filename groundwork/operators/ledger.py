@@ -24,9 +24,10 @@ def ledger_breaks(debits: DataFrame, credits: DataFrame, key: str, tolerance: fl
         .where(F.abs("gap") > tolerance)
         .select(
             key,
-            F.round(F.col("debit").cast("double"), 2).alias("debit"),
-            F.round(F.col("credit").cast("double"), 2).alias("credit"),
-            F.round(F.col("gap").cast("double"), 2).alias("difference"),
+            # Rounded as decimals: halves are exact there.
+            F.round("debit", 2).cast("double").alias("debit"),
+            F.round("credit", 2).cast("double").alias("credit"),
+            F.round("gap", 2).cast("double").alias("difference"),
             side.alias("side"),
         )
     )

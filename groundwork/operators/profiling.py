@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,9 +116,15 @@ def diagnose_empty(df: DataFrame, predicates: Sequence[tuple[str, object]], k: i
         target.append((column, searched))
     parts = []
     if ranged:
+
+        def bound(agg, column: str) -> Column:
+            # Adding 0 turns a negative zero into a plain one.
+            fraction = isinstance(column_type(df, column), T.FractionalType)
+            return (agg(df[column]) + F.lit(0) if fraction else agg(df[column])).cast("string")
+
         bounds = df.agg(
             *[
-                agg(df[column]).cast("string").alias(f"{finding}_{i}")
+                bound(agg, column).alias(f"{finding}_{i}")
                 for i, (column, _) in enumerate(ranged)
                 for finding, agg in (("min", F.min), ("max", F.max))
             ]

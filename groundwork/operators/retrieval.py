@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions.vectors import DOT
-from groundwork.operators.vectors import topk_batch_sized
+from groundwork.operators.vectors import topk_batch_sized, vector_topk
 from groundwork.sources.scratch import checkpointed
 
 
@@ -27,6 +29,15 @@ def chunk_documents(df: DataFrame, key: str, text: str, size: int = 1000, overla
     )
 
 
+def search_chunks(
+    corpus: DataFrame, contents: DataFrame, query: Sequence[float], k: int = 5, metric: str = DOT
+) -> DataFrame:
+    """(id, distance, content) of the k chunks nearest to one query; the k ids fetch the texts."""
+    near = vector_topk(corpus, query, k, metric)
+    texts = contents.join(F.broadcast(near), "id").select("id", "content")
+    return near.join(F.broadcast(texts), "id", "left").select("id", "distance", "content")
+
+
 def rag_context(
     corpus: DataFrame, contents: DataFrame, queries: DataFrame, k: int = 5, metric: str = DOT
 ) -> DataFrame:

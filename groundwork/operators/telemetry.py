@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import LOG_LINE, iso_utc, json_array, strip
+from groundwork.functions.text import SPACES, first_line, iso_utc, json_array, strip
 from groundwork.operators.upsert import ACTIVE
 
 SERVER = "Server"
@@ -32,14 +32,17 @@ def parse_logs(df: DataFrame, line: str) -> DataFrame:
     """Adds (tag, message) from ``[tag] message`` lines.
 
     No tag: tag is NULL and the message the whole text. Nothing after the tag: the message is
-    the whole text again. What follows a line end is dropped.
+    the whole text again. What follows a line end is dropped; a tag does not contain one.
+    Plain string functions: a filter on the tag repeats them cheaply, unlike a regex.
     """
     text = F.col(line)
-    tagged = text.rlike(LOG_LINE)
-    rest = F.regexp_extract(text, LOG_LINE, 2)
+    close = F.instr(text, "]")
+    inside = F.substring(text, F.lit(2), close - 2)
+    tagged = text.startswith("[") & (close > 0) & (first_line(inside) == inside)
+    rest = first_line(F.ltrim(F.substring(text, close + 1, F.length(text)), F.lit(SPACES)))
     return df.withColumns(
         {
-            "tag": F.when(tagged, strip(F.regexp_extract(text, LOG_LINE, 1))),
+            "tag": F.when(tagged, strip(inside)),
             "message": F.when(tagged & (rest != ""), rest).otherwise(text),
         }
     )

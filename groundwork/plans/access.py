@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.functions import text
 from groundwork.operators import profiling
+from groundwork.plans.domain import SPACE
 from groundwork.plans.registry import query
 from groundwork.sources import tables as access
 from groundwork.sources.tables import Tables
@@ -127,7 +129,7 @@ def range_timestamp(t: Tables) -> DataFrame:
 def _bound_sql(column: str, finding: str) -> str:
     return (
         f"SELECT '{column}' AS column_name, '{finding}' AS finding, 1 AS rank, "
-        f"CAST({finding}({column}) AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS score FROM events"
+        f"CAST({finding}({column}){' + 0.0' if column == 'value' else ''} AS VARCHAR) AS value, CAST(NULL AS DOUBLE) AS score FROM events"
     )
 
 
@@ -145,28 +147,21 @@ def diagnose_empty(t: Tables) -> DataFrame:
     return profiling.diagnose_empty(t["events"], searched)
 
 
-TRIMMED = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-
-
-@query("agent_slug", rf"SELECT p_partkey, regexp_replace(lower(p_name), '{TRIMMED}+', '_', 'g') AS agent_id FROM part")
+@query("agent_slug", rf"SELECT p_partkey, regexp_replace(lower(p_name), '{SPACE}+', '_', 'g') AS agent_id FROM part")
 def agent_slug(t: Tables) -> DataFrame:
-    from groundwork.functions.text import slug
-
-    return t["part"].select("p_partkey", slug(F.col("p_name")).alias("agent_id"))
+    return t["part"].select("p_partkey", text.slug(F.col("p_name")).alias("agent_id"))
 
 
 @query(
     "split_list",
     rf"""WITH parts AS (
   SELECT conv_id, turn,
-         [x FOR x IN [regexp_replace(y, '^{TRIMMED}+|{TRIMMED}+$', '', 'g') FOR y IN string_split(text, ',')] IF x <> ''] AS items
+         [x FOR x IN [regexp_replace(y, '^{SPACE}+|{SPACE}+$', '', 'g') FOR y IN string_split(text, ',')] IF x <> ''] AS items
   FROM conversations)
 SELECT conv_id, turn, len(items) AS n_items, array_to_string(items, '|') AS joined FROM parts""",
 )
 def split_list(t: Tables) -> DataFrame:
-    from groundwork.functions.text import split_list as split_items
-
-    items = split_items(F.col("text"))
+    items = text.split_list(F.col("text"))
     return t["conversations"].select("conv_id", "turn", items.alias("items")).select(
         "conv_id", "turn", F.size("items").cast("bigint").alias("n_items"), F.array_join("items", "|").alias("joined")
     )
@@ -180,13 +175,11 @@ def split_list(t: Tables) -> DataFrame:
 FROM conversations""",
 )
 def extract_block(t: Tables) -> DataFrame:
-    from groundwork.functions.text import fenced_block, without_block
-
     fence = F.when(
         F.col("role") == "assistant",
         F.concat(F.lit('\n```chartjs\n{"turn":'), F.col("turn").cast("string"), F.lit("}\n```\nrest")),
     ).when(F.col("role") == "user", F.lit("\n```chartjs\nnot json\n```\nrest")).otherwise(F.lit(""))
     answers = t["conversations"].select("conv_id", "turn", F.concat("text", fence).alias("answer"))
     return answers.select(
-        "conv_id", "turn", fenced_block(F.col("answer")).alias("block"), without_block(F.col("answer")).alias("narrative")
+        "conv_id", "turn", text.fenced_block(F.col("answer")).alias("block"), text.without_block(F.col("answer")).alias("narrative")
     )

@@ -130,10 +130,14 @@ LOGS = f"""logs AS (
   FROM events)"""
 
 
+# The log format as one pattern, for the SQL side.
+SPACE = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+LINE_END = r"\n\r\x{2028}\x{2029}"
+LOG_LINE = rf"^\[([^\]{LINE_END}]*)\]{SPACE}*([^{LINE_END}]*)"
+
+
 def parse_sql(view: str, source: str, columns: str) -> str:
     """SQL twin of ``telemetry.parse_logs`` + ``classify`` over a view with a ``line`` column."""
-    from groundwork.functions.text import LOG_LINE, SPACE
-
     return f"""{view}_tagged AS (
   SELECT {columns}, line, regexp_matches(line, '{LOG_LINE}') AS tagged,
          regexp_extract(line, '{LOG_LINE}', 1) AS raw_tag, regexp_extract(line, '{LOG_LINE}', 2) AS rest

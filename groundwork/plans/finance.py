@@ -19,8 +19,8 @@ c AS (SELECT l_orderkey AS orderkey,
       FROM lineitem GROUP BY 1),
 j AS (SELECT coalesce(d.orderkey, c.orderkey) AS orderkey, debit, credit, coalesce(debit, 0) - coalesce(credit, 0) AS gap
       FROM d FULL JOIN c ON d.orderkey = c.orderkey)
-SELECT orderkey, round(CAST(debit AS DOUBLE), 2) AS debit, round(CAST(credit AS DOUBLE), 2) AS credit,
-       round(CAST(gap AS DOUBLE), 2) AS difference,
+SELECT orderkey, CAST(round(debit, 2) AS DOUBLE) AS debit, CAST(round(credit, 2) AS DOUBLE) AS credit,
+       CAST(round(gap, 2) AS DOUBLE) AS difference,
        CASE WHEN credit IS NULL THEN 'debit only' WHEN debit IS NULL THEN 'credit only' ELSE 'both' END AS side
 FROM j WHERE abs(gap) > 1.0""",
 )

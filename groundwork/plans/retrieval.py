@@ -37,6 +37,19 @@ def vector_topk_dot(t: Tables) -> DataFrame:
     return _rounded(vectors.vector_topk(domain.vectors(t), _query_vector(t, 0), 5))
 
 
+@query(
+    "search_documents",
+    """WITH near AS (
+  SELECT vec_id AS id, round(-list_inner_product(CAST(embedding AS DOUBLE[]),
+         CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS distance
+  FROM embeddings ORDER BY distance, id LIMIT 5)
+SELECT id, distance, text AS content FROM near LEFT JOIN documents ON id = doc_id""",
+)
+def search_documents(t: Tables) -> DataFrame:
+    """The texts behind the five vectors nearest to the first one."""
+    return _rounded(retrieval.search_chunks(domain.vectors(t), domain.contents(t), _query_vector(t, 0), 5))
+
+
 @query(
     "vector_topk_cosine",
     """SELECT vec_id AS id,
