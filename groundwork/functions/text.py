@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,22 +14,23 @@ SPACES = (
 )
 LINE_ENDS = "\n\r\u2028\u2029"
 
+# Fixed values: "[tag] message", the tag and the message each within one line.
+LOG_LINE = rf"^\[([^\]{LINE_ENDS}]*)\][{SPACES}]*([^{LINE_ENDS}]*)"
+
 # Fixed value: the fence that marks a chart inside an answer.
 CHART_FENCE = "chartjs"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written once, so a pushed-down filter does not repeat it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(col: Column) -> Column:
     """Remove leading and trailing white space of every kind, line ends included."""
     return F.btrim(col, F.lit(SPACES))
 
 
-def first_line(col: Column) -> Column:
-    """The text up to its first line end."""
-    for end in LINE_ENDS:
-        col = F.substring_index(col, end, 1)
-    return col
-
-
 def slug(col: Column) -> Column:
     """Identifier form of a name: lower case, each run of white space one underscore."""
     return F.regexp_replace(F.lower(col), f"[{SPACES}]+", "_")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import SPACES, first_line, iso_utc, json_array, strip
+from groundwork.functions.text import LOG_LINE, bound, iso_utc, json_array, strip
 from groundwork.operators.upsert import ACTIVE
 
 SERVER = "Server"
@@ -31,31 +31,30 @@ RECENT_METRICS = 50
 def parse_logs(df: DataFrame, line: str) -> DataFrame:
     """Adds (tag, message) from ``[tag] message`` lines.
 
-    No tag: tag is NULL and the message the whole text. Nothing after the tag: the message is
-    the whole text again. What follows a line end is dropped; a tag does not contain one.
-    Plain string functions: a filter on the tag repeats them cheaply, unlike a regex.
+    No tag, or an empty one: tag is NULL. Nothing after the tag, or no tag: the message is the
+    whole text. What follows a line end is dropped; a tag does not contain one.
     """
-    text = F.col(line)
-    close = F.instr(text, "]")
-    inside = F.substring(text, F.lit(2), close - 2)
-    tagged = text.startswith("[") & (close > 0) & (first_line(inside) == inside)
-    rest = first_line(F.ltrim(F.substring(text, close + 1, F.length(text)), F.lit(SPACES)))
+    blank = F.lit("")
+    tag = strip(F.regexp_extract(line, LOG_LINE, 1))
     return df.withColumns(
         {
-            "tag": F.when(tagged, strip(inside)),
-            "message": F.when(tagged & (rest != ""), rest).otherwise(text),
+            "tag": F.nullif(tag, blank),
+            "message": F.coalesce(F.nullif(F.regexp_extract(line, LOG_LINE, 2), blank), F.col(line)),
         }
     )
 
 
 def agent_of(tag: Column, rules: Sequence[tuple[Sequence[str], str]] = AGENT_RULES) -> Column:
-    agent = F.lit(SERVER)
-    for texts, name in reversed(rules):
-        hit = F.lit(False)
-        for text in texts:
-            hit = hit | tag.contains(text)
-        agent = F.when(hit, F.lit(name)).otherwise(agent)
-    return agent
+    def chosen(t: Column) -> Column:
+        agent = F.lit(SERVER)
+        for texts, name in reversed(rules):
+            hit = F.lit(False)
+            for text in texts:
+                hit = hit | t.contains(text)
+            agent = F.when(hit, F.lit(name)).otherwise(agent)
+        return agent
+
+    return bound(tag, chosen)
 
 
 def classify(df: DataFrame, rules: Sequence[tuple[Sequence[str], str]] = AGENT_RULES) -> DataFrame:

@@ -144,7 +144,7 @@ def parse_sql(view: str, source: str, columns: str) -> str:
   FROM {source}),
 {view}_split AS (
   SELECT {columns}, line,
-         CASE WHEN tagged THEN regexp_replace(raw_tag, '^{SPACE}+|{SPACE}+$', '', 'g') END AS tag,
+         nullif(regexp_replace(raw_tag, '^{SPACE}+|{SPACE}+$', '', 'g'), '') AS tag,
          CASE WHEN tagged AND rest <> '' THEN rest ELSE line END AS message
   FROM {view}_tagged),
 {view} AS (

@@ -78,7 +78,8 @@ LINES = {
     "[ RAG engine ] y": ("RAG engine", "RAG Agent", "y"),
     "[RAG for the Graph Agent] z": ("RAG for the Graph Agent", "Graph Agent", "z"),
     "[other] z": ("other", "Server", "z"),
-    "[]": ("", "Server", "[]"),
+    "[]": (None, "Server", "[]"),
+    "[ ] z": (None, "Server", "z"),
     "[Graph Agent]  ": ("Graph Agent", "Graph Agent", "[Graph Agent]  "),
     "no tag [Graph Agent]": (None, "Server", "no tag [Graph Agent]"),
     "[Graph\nAgent] x": (None, "Server", "[Graph\nAgent] x"),
