@@ -47,61 +47,84 @@ def distances(corpus: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
 
 
 def nearest(ids: np.ndarray, column: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the k smallest distances, ties by id; NaN never qualifies."""
-    usable = np.flatnonzero(~np.isnan(column))
-    if len(usable) > k:
-        kth = np.partition(column[usable], k - 1)[k - 1]
-        usable = usable[column[usable] <= kth]
-    return usable[np.lexsort((ids[usable], column[usable]))][:k]
-
-
-def local_topk(
-    ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool
-) -> pa.Table | None:
-    """(query_id, id, distance) of the k nearest rows of this block for every query."""
-    found_q, found_id, found_d = [], [], []
-    for start in range(0, len(queries), QUERY_STRIP):
-        strip_ids = query_ids[start : start + QUERY_STRIP]
-        scores = distances(corpus, queries[start : start + QUERY_STRIP], metric)
-        if skip_self:
-            scores[ids[:, None] == strip_ids[None, :]] = np.nan
-        for q in range(len(strip_ids)):
-            rows = nearest(ids, scores[:, q], k)
-            found_q.append(np.repeat(strip_ids[q : q + 1], len(rows)))
-            found_id.append(ids[rows])
-            found_d.append(scores[rows, q])
-    if not found_q:
-        return None
-    return pa.table(
-        {
-            "query_id": pa.array(np.concatenate(found_q)),
-            "id": pa.array(np.concatenate(found_id)),
-            "distance": pa.array(np.concatenate(found_d), pa.float64()),
-        }
-    )
-
-
-def scan_topk(
-    query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """mapInArrow function over (id, embedding): each batch keeps its k nearest per query."""
+    """Row numbers of the k smallest distances, ties by id."""
+    rows = np.arange(len(column))
+    if len(rows) > k:
+        kth = np.partition(column, k - 1)[k - 1]
+        rows = np.flatnonzero(column <= kth)
+    return rows[np.lexsort((ids[rows], column[rows]))][:k]
+
+
+class Nearest:
+    """The k nearest rows of each query among all rows shown to it so far.
+
+    What a task keeps is queries x k entries, however many rows it reads; rows farther than a
+    query's k-th best are dropped by one comparison.
+    """
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool):
+        self.query_ids, self.queries = query_ids, queries
+        self.k, self.metric, self.skip_self = k, metric, skip_self
+        self.limit = np.full(len(queries), np.inf)
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, corpus: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Show a block of rows to all queries, or to those numbered ``asking``."""
+        asking = np.arange(len(self.queries)) if asking is None else asking
+        for start in range(0, len(asking), QUERY_STRIP):
+            strip = asking[start : start + QUERY_STRIP]
+            scores = distances(corpus, self.queries[strip], self.metric)
+            if self.skip_self:
+                scores[ids[:, None] == self.query_ids[strip][None, :]] = np.nan
+            # Ties with the k-th best stay in, for the id to decide; NaN is never near.
+            near = scores <= self.limit[strip]
+            for column in np.flatnonzero(near.any(axis=0)):
+                rows = near[:, column]
+                self._merge(int(strip[column]), ids[rows], scores[rows, column])
+
+    def _merge(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if query in self.found:
+            ids = np.concatenate([self.found[query][0], ids])
+            scores = np.concatenate([self.found[query][1], scores])
+        best = nearest(ids, scores, self.k)
+        self.found[query] = ids[best], scores[best]
+        if len(best) == self.k:
+            self.limit[query] = scores[best[-1]]
+
+    def table(self) -> pa.Table:
+        """(query_id, id, distance) of everything kept."""
+        kept = sorted(self.found)
+        sizes = [len(self.found[q][0]) for q in kept]
+        ids = [self.found[q][0] for q in kept] or [np.empty(0, np.int64)]
+        scores = [self.found[q][1] for q in kept] or [np.empty(0)]
+        return pa.table(
+            {
+                "query_id": pa.array(np.repeat(self.query_ids[kept], sizes), pa.int64()),
+                "id": pa.array(np.concatenate(ids), pa.int64()),
+                "distance": pa.array(np.concatenate(scores), pa.float64()),
+            }
+        )
+
+
+BatchFunction = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def scan_topk(query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool) -> BatchFunction:
+    """mapInArrow function over (id, embedding): each task returns its k nearest per query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(query_ids, queries, k, metric, skip_self)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            corpus = matrix(batch.column(1), queries.shape[1])
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            best = local_topk(ids, corpus, query_ids, queries, k, metric, skip_self)
-            if best is not None:
-                yield from best.to_batches()
+            if batch.num_rows:
+                best.add(batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), queries.shape[1]))
+        yield from best.table().to_batches()
 
     return run
 
 
 def scan_cells(
     query_ids: np.ndarray, queries: np.ndarray, cells: np.ndarray, k: int, metric: str, skip_self: bool
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+) -> BatchFunction:
     """mapInArrow function over (id, embedding, cell): a row meets the queries probing its cell.
 
     ``cells`` holds the probed cells of each query, one row per query.
@@ -112,6 +135,7 @@ def scan_cells(
             askers.setdefault(cell, []).append(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Nearest(query_ids, queries, k, metric, skip_self)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -119,11 +143,10 @@ def scan_cells(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             held = batch.column(2).to_numpy(zero_copy_only=False)
             for cell in np.unique(held).tolist():
-                asking = askers.get(cell)
-                if asking:
+                if cell in askers:
                     rows = held == cell
-                    best = local_topk(ids[rows], corpus[rows], query_ids[asking], queries[asking], k, metric, skip_self)
-                    yield from best.to_batches()
+                    best.add(ids[rows], corpus[rows], np.array(askers[cell]))
+        yield from best.table().to_batches()
 
     return run
 
@@ -133,9 +156,7 @@ def best_cells(points: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarr
     return np.argsort(-(points @ centers.T), axis=1, kind="stable")[:, : min(nprobe, len(centers))]
 
 
-def probe_cells(
-    centers: np.ndarray, nprobe: int
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def probe_cells(centers: np.ndarray, nprobe: int) -> BatchFunction:
     """mapInArrow function over (id, embedding): one row per query and probed cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from groundwork.functions.similarity import BOOST_ABOVE, PREFIX_LENGTH, PREFIX_S
 # selective join keys.
 COMMON_FIRST = " etaoinshrdlcumwfgypbvkjxqz"
 
+# Ratio between the lengths of neighbouring size classes.
+SIZE_STEP = 1.15
+
 
 def least_jaro(min_score: float) -> float:
     """Smallest Jaro score that can still reach ``min_score`` after the longest boost."""
@@ -18,6 +23,11 @@ def least_jaro(min_score: float) -> float:
     return min_score if min_score <= BOOST_ABOVE else max(BOOST_ABOVE, (min_score - boost) / (1 - boost))
 
 
+def _size_class(length: Column) -> Column:
+    """Lengths in steps of ``SIZE_STEP``: few classes to meet, even for long names."""
+    return F.floor(F.log(length) / math.log(SIZE_STEP)).cast("int")
+
+
 def _tokens(text: Column) -> Column:
     """Characters as a set: the second "a" is another token than the first; rare ones first."""
     chars = F.filter(F.split(text, ""), lambda ch: ch != "")
@@ -40,7 +50,7 @@ def fuzzy_pairs(df: DataFrame, column: str, block: int = 3, min_score: float = 0
 
     Not every pair of a block is formed. Two strings of lengths m and n with Jaro score j
     share at least (3j - 1) * m * n / (m + n) characters, so sorted by rarity they must share
-    one of the first few. Names join on block, both lengths and such a character; the score
+    one of the first few. Names join on block, both size classes and such a character; the score
     then decides. The bound is exact: no qualifying pair is missed.
     """
     spread = 3 * least_jaro(min_score) - 1
@@ -54,31 +64,36 @@ def fuzzy_pairs(df: DataFrame, column: str, block: int = 3, min_score: float = 0
     )
     own = F.col("len").cast("double")
     # Lengths a partner may have: its overlap cannot exceed the shorter name.
-    shortest = F.greatest(F.ceil(own * (spread - 1) - 1e-9), F.lit(block)).cast("int")
-    longest = F.floor(own / (spread - 1) + 1e-9).cast("int")
+    shortest = F.greatest(F.floor(own * (spread - 1)), F.lit(block)).cast("double")
+    longest = F.ceil(own / (spread - 1)).cast("double")
+    # The least overlap with any partner of the other size class; the block is shared by all.
+    least = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), "other")) - 1, shortest)
+    needed = F.ceil(spread * own * least / (own + least) - 1e-9).cast("int") - block
     keyed = (
         names.withColumn("tokens", _tokens(F.substring("name", block + 1, 1 << 30)))
-        .withColumn("other", F.explode(F.sequence(shortest, longest)))
-        # The block's characters are shared by all; the rest must supply the remainder.
-        .withColumn("needed", F.ceil(spread * own * F.col("other") / (own + F.col("other")) - 1e-9).cast("int") - block)
-        .where(F.col("needed") <= F.least("len", "other") - block)
+        .withColumn("size", _size_class(own))
+        .withColumn("other", F.explode(F.sequence(_size_class(shortest), _size_class(longest))))
+        .withColumn("needed", needed)
         .withColumn(
             "keys",
-            F.when(F.col("needed") <= 0, F.array(F.lit(""))).otherwise(
-                F.slice("tokens", F.lit(1), F.size("tokens") - F.col("needed") + 1)
+            F.when(F.col("needed") <= 0, F.array_append("tokens", F.lit(""))).otherwise(
+                F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - F.col("needed") + 1, F.lit(0)))
             ),
         )
-        .select("name", "rows", "block", "len", "other", F.explode("keys").alias("key"))
+        .select("name", "rows", "len", "block", "size", "other", F.explode("keys").alias("key"))
     )
-    a, b = keyed.where(F.col("len") <= F.col("other")).alias("a"), keyed.where(F.col("len") >= F.col("other")).alias("b")
+    a = keyed.where(F.col("size") <= F.col("other")).alias("a")
+    b = keyed.where(F.col("size") >= F.col("other")).alias("b")
+    in_reach = F.greatest("a.len", "b.len") * (spread - 1) <= F.least("a.len", "b.len") + 1e-9
     candidates = (
         a.join(
             b,
             (F.col("a.block") == F.col("b.block"))
-            & (F.col("a.len") == F.col("b.other"))
-            & (F.col("a.other") == F.col("b.len"))
+            & (F.col("a.size") == F.col("b.other"))
+            & (F.col("a.other") == F.col("b.size"))
             & (F.col("a.key") == F.col("b.key"))
-            & ((F.col("a.len") < F.col("b.len")) | (F.col("a.name") < F.col("b.name"))),
+            & ((F.col("a.size") < F.col("b.size")) | (F.col("a.name") < F.col("b.name")))
+            & in_reach,
         )
         .select(
             F.least("a.name", "b.name").alias("name_a"),

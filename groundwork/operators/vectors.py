@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -136,24 +137,13 @@ def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, sk
     )
     keys = ["cell", "corpus_block", "query_block"]
 
-    def meet(rows, asked):
-        import pyarrow as pa
-
-        best = None
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        vectors = asked.column("embedding").combine_chunks()
+        dim = vectors.value_lengths()[0].as_py() if len(vectors) else 0
+        best = kernels.Nearest(asked.column("query_id").to_numpy(), kernels.matrix(vectors, dim), k, metric, skip_self)
         if rows.num_rows and asked.num_rows:
-            first = asked.column("embedding").combine_chunks().value_lengths()[0].as_py()
-            best = kernels.local_topk(
-                rows.column("id").to_numpy(),
-                kernels.matrix(rows.column("embedding"), first),
-                asked.column("query_id").to_numpy(),
-                kernels.matrix(asked.column("embedding"), first),
-                k,
-                metric,
-                skip_self,
-            )
-        if best is None:
-            best = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        return best
+            best.add(rows.column("id").to_numpy(), kernels.matrix(rows.column("embedding"), dim))
+        return best.table()
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
     return _keep_best(found, k)

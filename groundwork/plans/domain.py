@@ -522,5 +522,5 @@ def scores_sql(corpus: str = "embeddings", k: int = 5, name: str = "near") -> st
          round(-list_inner_product(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS distance
   FROM {corpus} c, topics q),
 {name} AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM scored
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= {k})"""
