@@ -33,7 +33,7 @@ def dangling(vertex: DataFrame, edge: DataFrame) -> DataFrame:
 def neighbors(edge: DataFrame, ids: DataFrame | Sequence[str], vertex: DataFrame | None = None) -> DataFrame:
     """Outgoing edges of ``ids`` with their properties, and the neighbour's label and name."""
     if isinstance(ids, DataFrame):
-        out = edge.join(ids.select(F.col(ids.columns[0]).alias("src")).distinct(), "src", "left_semi")
+        out = edge.join(ids.select(F.col(ids.columns[0]).alias("src")), "src", "left_semi")
     else:
         out = edge.where(F.col("src").isin(list(ids)))
     if vertex is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.operators.joins import with_group_summary
+
 MONEY = "decimal(18,2)"
 
 
@@ -52,12 +54,16 @@ def large_disbursements(
 def zscore_outliers(df: DataFrame, group: str, value: str, z: float = 3.0) -> DataFrame:
     """The rows of ``df`` more than ``z`` sample deviations from their group's mean, with ``z_score``.
 
-    The moments are one aggregate joined back: no group is sorted or gathered, as in a window.
+    The moments are one aggregate joined back: no group is sorted or gathered, as in a window,
+    and the rows of a heavy group stay where they are.
     """
-    moments = df.groupBy(group).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    moments = df.groupBy(group).agg(
+        F.count("*").alias("group_rows"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation")
+    )
     score = (F.col(value) - F.col("mean")) / F.col("deviation")
     return (
-        df.join(moments.where(F.col("deviation") > 0), group)
+        with_group_summary(df, moments, group, "group_rows")
+        .where(F.col("deviation") > 0)
         .withColumn("z_score", score)
         .where(F.abs("z_score") > z)
         .select(*df.columns, F.round("z_score", 4).alias("z_score"))

@@ -64,7 +64,8 @@ def distinct_values(
     kind = (match_type or "").strip().lower()
     text = F.col("value").cast("string")
     if kind == EXACT:
-        matched = values.where(F.col("value") == F.lit(pattern))
+        # A pattern that is no value of the column's type equals nothing.
+        matched = values.where(F.col("value") == F.lit(pattern).try_cast(column_type(df, column)))
     elif kind == REGEX:
         matched = values.where(text.rlike(_valid_regex(df, "(?i)" + pattern)))
     else:

@@ -49,7 +49,7 @@ def rag_context(
     """
     near, bounded = topk_batch_sized(corpus, queries, k, metric)
     near = checkpointed(near)
-    wanted = near.select("id").distinct()
+    wanted = near.select("id")
     texts = contents.join(F.broadcast(wanted) if bounded else wanted, "id", "left_semi").select("id", "content")
     chunks = near.join(texts, "id", "left").groupBy("query_id").agg(
         # k entries per query.

@@ -114,7 +114,7 @@ def cascade_delete(
     parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, ids: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Parent without ``ids`` and child without the rows that refer to them."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
     return (
         parent.join(gone, parent[parent_key] == gone["__gone"], "left_anti"),
         child.join(gone, child[child_key] == gone["__gone"], "left_anti"),

@@ -31,6 +31,11 @@ def test_exact_is_not_trimmed(names):
     assert len(values(profiling.distinct_values(names, "word", " click", "exact"))) == 6
 
 
+def test_exact_on_numbers(names):
+    assert values(profiling.distinct_values(names, "n", "7", "exact")) == [7]
+    assert len(values(profiling.distinct_values(names, "n", "seven", "exact"))) == 17
+
+
 def test_regex_is_partial_and_ignores_case(names):
     assert values(profiling.distinct_values(names, "word", "^V|RR", "regex")) == ["error", "view"]
     with pytest.raises(ValueError, match="invalid pattern"):
