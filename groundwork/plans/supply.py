@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwork.operators import charts, graph, inventory
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
+from groundwork.sources.scratch import checkpointed
 from groundwork.sources.tables import Tables
 
 
@@ -110,9 +111,11 @@ def bottlenecks(t: Tables) -> DataFrame:
 SHORT_SHARE = 0.35
 
 
-def _threshold(t: Tables) -> int:
-    mean = domain.inventory(t).agg(F.avg("on_hand").alias("m")).first()["m"]
-    return int(round((mean or 0) * SHORT_SHARE))
+def _stock(t: Tables) -> tuple[DataFrame, int]:
+    """The inventory, summed once into the checkpoint folder, and the threshold it implies."""
+    stock = checkpointed(domain.inventory(t))
+    mean = stock.agg(F.avg("on_hand").alias("m")).first()["m"]
+    return stock, int(round((mean or 0) * SHORT_SHARE))
 
 
 THRESHOLD = f"limits AS (SELECT CAST(round(avg(on_hand) * {SHORT_SHARE}) AS BIGINT) AS threshold FROM inventory)"
@@ -144,7 +147,7 @@ relief AS (SELECT sku, destination, deficit, source, surplus FROM short JOIN sur
     ),
 )
 def relief_source(t: Tables) -> DataFrame:
-    return inventory.relief_source(domain.inventory(t), _threshold(t))
+    return inventory.relief_source(*_stock(t))
 
 
 BEST = """best AS (
@@ -173,7 +176,8 @@ FROM relief r LEFT JOIN best b ON r.source = b.origin AND r.destination = b.dest
     ),
 )
 def transfer_drafts(t: Tables) -> DataFrame:
-    return inventory.transfer_drafts(domain.inventory(t), domain.routes(t), _threshold(t))
+    stock, threshold = _stock(t)
+    return inventory.transfer_drafts(stock, domain.routes(t), threshold)
 
 
 @query(

@@ -57,3 +57,22 @@ def test_library_never_uses_local_checkpoints_or_rdds():
         assert "localCheckpoint" not in source
         assert ".rdd" not in source
         assert "crossJoin" not in source
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Workers started in another folder, where the package cannot be imported."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    script = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as entry
+from groundwork.session import build
+spark = build(master="local[2]", spark_ui_enabled="false", spark_sql_shuffle_partitions="2")
+queries = entry.queries()
+print(len(queries["distinct_fuzzy"](spark, {SMALL!r}).collect()), entry.entry(spark).count())
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split()[-2:] == ["4", "5"], done.stderr[-2000:]
