@@ -83,9 +83,11 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     best = checkpointed(best)
     for hop in range(1, k + 1):
         # Only paths found in the previous round can still improve a vertex.
+        frontier = best.where(F.col("total.hops") == hop - 1)
+        if frontier.isEmpty():
+            break
         onward = (
-            best.where(F.col("total.hops") == hop - 1)
-            .join(links, F.col("id") == F.col("src"))
+            frontier.join(links, F.col("id") == F.col("src"))
             .select(
                 "start",
                 F.col("dst").alias("id"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.functions.vectors import DOT
-from groundwork.operators.vectors import topk_batch_sized, vector_topk
+from groundwork.operators.vectors import MAX_BROADCAST_ROWS, topk_batch_sized, vector_topk
 from groundwork.sources.scratch import checkpointed
 
 
@@ -32,10 +32,14 @@ def chunk_documents(df: DataFrame, key: str, text: str, size: int = 1000, overla
 def search_chunks(
     corpus: DataFrame, contents: DataFrame, query: Sequence[float], k: int = 5, metric: str = DOT
 ) -> DataFrame:
-    """(id, distance, content) of the k chunks nearest to one query; the k ids fetch the texts."""
-    near = vector_topk(corpus, query, k, metric)
-    texts = contents.join(F.broadcast(near), "id").select("id", "content")
-    return near.join(F.broadcast(texts), "id", "left").select("id", "distance", "content")
+    """(id, distance, content) of the k chunks nearest to one query.
+
+    The search runs once, into the checkpoint folder; its k ids then fetch the texts.
+    """
+    near = checkpointed(vector_topk(corpus, query, k, metric))
+    wanted = near.select("id")
+    texts = contents.join(F.broadcast(wanted) if k <= MAX_BROADCAST_ROWS else wanted, "id", "left_semi")
+    return near.join(texts.select("id", "content"), "id", "left").select("id", "distance", "content")
 
 
 def rag_context(

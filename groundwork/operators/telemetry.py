@@ -120,6 +120,18 @@ def metrics_recent(df: DataFrame, agent: str | int | None = None, n: int = RECEN
     )
 
 
+def metrics_json(df: DataFrame, agent: str | int | None = None, n: int = RECENT_METRICS) -> DataFrame:
+    """One row (metrics_json): the newest ``n`` executions as a JSON array, "[]" when there are none."""
+    recent = metrics_recent(df, agent, n)
+    entry = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    # n entries, newest first.
+    placed = F.struct(F.col("executedAt"), F.col("executionId"), entry.alias("entry"))
+    newest = F.sort_array(F.collect_list(placed), asc=False)
+    return recent.agg(F.array_join(F.transform(newest, lambda e: e["entry"]), ",").alias("entries")).select(
+        F.concat(F.lit("["), "entries", F.lit("]")).alias("metrics_json")
+    )
+
+
 def metrics_by_agent(df: DataFrame) -> DataFrame:
     """(agent_id, invocations, last_execution) per agent."""
     return df.groupBy("agent_id").agg(

@@ -57,7 +57,8 @@ def run_sql_capped(t: Tables) -> DataFrame:
 
 
 SEGMENTS = (
-    "SELECT c_mktsegment, count(*) AS n_orders FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment"
+    "SELECT c_mktsegment, count(*) AS n_orders FROM customer JOIN orders ON c_custkey = o_custkey "
+    "GROUP BY c_mktsegment ORDER BY n_orders DESC, c_mktsegment"
 )
 
 
@@ -66,7 +67,7 @@ SEGMENTS = (
     f"""WITH r AS ({SEGMENTS})
 SELECT '{SEGMENTS}' AS sql_query, count(*) AS row_count,
        '[' || string_agg(CAST(json_object('c_mktsegment', c_mktsegment, 'n_orders', n_orders) AS VARCHAR), ','
-                         ORDER BY c_mktsegment) || ']' AS sql_result
+                         ORDER BY n_orders DESC, c_mktsegment) || ']' AS sql_result
 FROM r""",
 )
 def result_envelope(t: Tables) -> DataFrame:

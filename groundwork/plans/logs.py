@@ -104,6 +104,21 @@ def metrics_recent_one(t: Tables) -> DataFrame:
     return telemetry.metrics_recent(domain.metrics(t), agent=7)
 
 
+@query(
+    "metrics_json",
+    with_views(
+        domain.METRICS,
+        "recent AS (" + _RECENT.format(where="") + ")",
+        select="""SELECT '[' || string_agg(CAST(json_object('executionId', "executionId", 'agentId', "agentId",
+       'executionStatus', "executionStatus", 'latencyMs', "latencyMs", 'toolCallsCount', "toolCallsCount",
+       'executedBy', "executedBy", 'executedAt', "executedAt") AS VARCHAR), ','
+       ORDER BY "executedAt" DESC, "executionId" DESC) || ']' AS metrics_json FROM recent""",
+    ),
+)
+def metrics_json(t: Tables) -> DataFrame:
+    return telemetry.metrics_json(domain.metrics(t))
+
+
 @query(
     "metrics_by_agent",
     with_views(

@@ -105,10 +105,13 @@ def result_envelope(df: DataFrame, sql_text: str) -> DataFrame:
     """One row (sql_query, row_count, sql_result) around an already capped result.
 
     ``sql_result`` is a JSON array of the rows, or "No data found." when there are none.
-    Give it the output of :func:`run_sql`; it gathers every row it gets.
+    The rows keep their order. Give it the output of :func:`run_sql`; it gathers every row
+    it gets.
     """
-    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
-    return rows.agg(F.array_sort(F.collect_list("row")).alias("rows")).select(
+    row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
+    rows = df.select(row).select(F.struct(F.monotonically_increasing_id().alias("place"), "row").alias("placed"))
+    gathered = F.transform(F.array_sort(F.collect_list("placed")), lambda placed: placed["row"])
+    return rows.agg(gathered.alias("rows")).select(
         F.lit(sql_text).alias("sql_query"),
         F.size("rows").cast("bigint").alias("row_count"),
         F.when(F.size("rows") == 0, F.lit("No data found."))

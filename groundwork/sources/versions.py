@@ -29,6 +29,11 @@ def read_latest(spark: SparkSession, root: str, below: int | None = None) -> Dat
     return spark.read.parquet(version_path(root, versions[-1])) if versions else None
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to a fact table that is only ever added to."""
+    df.write.mode("append").parquet(path)
+
+
 def publish(df: DataFrame, root: str, version: int) -> str:
     """Write ``df`` as the given version; repeating a failed attempt starts it over."""
     path = version_path(root, version)

@@ -129,6 +129,17 @@ def test_recent_metrics_without_agent_have_no_predicate(tables, plan):
     assert "TakeOrderedAndProject" in text
 
 
+def test_metrics_json_is_newest_first(spark, tables):
+    import json
+
+    from groundwork.plans import domain
+
+    metrics = domain.metrics(tables)
+    listed = json.loads(telemetry.metrics_json(metrics, n=3).first().metrics_json)
+    assert [e["executionId"] for e in listed] == [999, 998, 997]
+    assert telemetry.metrics_json(metrics, agent=-1).first().metrics_json == "[]"
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" New \t Agent X ", "a, b ,, \n c ,")], "name string, items string")
     row = df.select(text.slug(F.col("name")).alias("s"), text.split_list(F.col("items")).alias("l")).first()

@@ -44,10 +44,20 @@ def test_sql_may_end_in_a_line_comment(spark):
 def test_envelope_with_and_without_rows(spark):
     some = access.result_envelope(access.run_sql(spark, "SELECT 1 AS a, CAST(NULL AS STRING) AS b"), "q").first()
     assert (some.sql_query, some.row_count, some.sql_result) == ("q", 1, '[{"a":1,"b":null}]')
+    ordered = access.run_sql(spark, "SELECT id FROM range(30) ORDER BY id DESC", max_rows=20)
+    assert access.result_envelope(ordered, "q").first().sql_result.startswith('[{"id":29},{"id":28}')
     none = access.result_envelope(access.run_sql(spark, "SELECT 1 AS a WHERE false"), "q").first()
     assert (none.row_count, none.sql_result) == (0, "No data found.")
 
 
+def test_facts_are_appended(spark, tmp_path):
+    from groundwork.sources.versions import append
+
+    append(spark.range(3), str(tmp_path / "facts"))
+    append(spark.range(2), str(tmp_path / "facts"))
+    assert spark.read.parquet(str(tmp_path / "facts")).count() == 5
+
+
 def test_scratch_folders_lie_under_the_shared_checkpoint_folder(spark):
     root = checkpoint_root(spark)
     first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
