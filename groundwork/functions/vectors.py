@@ -156,6 +156,21 @@ def best_cells(points: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarr
     return np.argsort(-(points @ centers.T), axis=1, kind="stable")[:, : min(nprobe, len(centers))]
 
 
+def cell_positions(centers: np.ndarray) -> BatchFunction:
+    """mapInArrow function over (embedding, cell): the place of the cell among the vector's best, from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            order = best_cells(matrix(batch.column(0), centers.shape[1]), centers, len(centers))
+            cells = batch.column(1).to_numpy(zero_copy_only=False)
+            place = (order == cells[:, None]).argmax(axis=1) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32())], names=["place"])
+
+    return run
+
+
 def probe_cells(centers: np.ndarray, nprobe: int) -> BatchFunction:
     """mapInArrow function over (id, embedding): one row per query and probed cell."""
 

@@ -184,8 +184,7 @@ def ivf_topk(
 ) -> DataFrame:
     """Approximate top-k: each query meets only its ``nprobe`` best cells, scored exactly there."""
     _check_metric(metric)
-    centers = spark.read.parquet(f"{path}/centers").orderBy("cell").limit(MAX_CELLS).collect()
-    points = np.array([row.center for row in centers])
+    points = _centers(spark, path)
     corpus = spark.read.parquet(f"{path}/cells")
     asked = _queries(queries)
     head = _bounded(asked)
@@ -193,7 +192,7 @@ def ivf_topk(
         ids, vectors = head
         cells = kernels.best_cells(vectors, points, nprobe)
         scan = kernels.scan_cells(ids, vectors, cells, k, metric, skip_self)
-        probed = _only_cells(corpus, np.unique(cells).tolist(), len(centers))
+        probed = _only_cells(corpus, np.unique(cells).tolist(), len(points))
         return _keep_best(probed.select("id", "embedding", "cell").mapInArrow(scan, FOUND), k)
     probes = asked.mapInArrow(
         kernels.probe_cells(points, nprobe), "query_id bigint, embedding array<double>, cell int"
@@ -201,6 +200,39 @@ def ivf_topk(
     return _blocked_topk(corpus, probes, k, metric, skip_self)
 
 
+def probes_for(
+    spark: SparkSession, path: str, queries: DataFrame, k: int = 5, target: float = 0.95, metric: str = DOT
+) -> int:
+    """Smallest ``nprobe`` with which the index finds ``target`` of the exact top k of ``queries``.
+
+    An exact neighbour is found once its cell is probed, so the place of that cell in each
+    query's order says how many probes it needs. One exact search measures all settings.
+    """
+    points = _centers(spark, path)
+    corpus = spark.read.parquet(f"{path}/cells")
+    near = _small(*topk_batch_sized(corpus, queries, k, metric)).select("query_id", "id")
+    placed = (
+        corpus.select("id", "cell")
+        .join(near, "id")
+        .join(_queries(queries).withColumnRenamed("id", "query_id"), "query_id")
+        .select("embedding", "cell")
+        .mapInArrow(kernels.cell_positions(points), "place int")
+    )
+    # One row per cell at most.
+    counts = {row["place"]: row["count"] for row in placed.groupBy("place").count().collect()}
+    wanted, found = target * sum(counts.values()), 0
+    for place in sorted(counts):
+        found += counts[place]
+        if found >= wanted:
+            return place
+    return len(points)
+
+
+def _centers(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centers").orderBy("cell").limit(MAX_CELLS).collect()
+    return np.array([row.center for row in rows])
+
+
 def _only_cells(corpus: DataFrame, cells: list[int], total: int) -> DataFrame:
     """At most one literal per cell; they prune the partition directories."""
     return corpus if len(cells) == total else corpus.where(F.col("cell").isin(cells))
@@ -280,6 +312,7 @@ __all__ = [
     "dim_report",
     "ivf_topk",
     "knn_label_vote",
+    "probes_for",
     "recall",
     "rul_estimate",
     "topk_batch_sized",

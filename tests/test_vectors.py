@@ -140,6 +140,19 @@ def test_index_recall(spark, index, monkeypatch, bound):
     assert whole.recall == 1.0
 
 
+def test_probes_meet_their_target(spark, index):
+    corpus, path = index
+    everything = corpus.selectExpr("id AS query_id", "embedding")
+    exact = vectors.vector_topk_batch(corpus, everything, 5)
+    probes = {target: vectors.probes_for(spark, path, everything, 5, target) for target in (0.6, 0.95, 1.0)}
+    assert 1 <= probes[0.6] < probes[0.95] <= probes[1.0] <= 16
+    for target, nprobe in probes.items():
+        reached = vectors.recall(vectors.ivf_topk(spark, path, everything, 5, nprobe), exact).first()
+        assert reached.n_found >= target * reached.n_exact
+    fewer = vectors.recall(vectors.ivf_topk(spark, path, everything, 5, probes[0.95] - 1), exact).first()
+    assert fewer.n_found < 0.95 * fewer.n_exact
+
+
 def test_index_prunes_directories(spark, index, tables):
     _, path = index
     one = tables["embeddings"].where("vec_id = 3").selectExpr("vec_id AS query_id", "embedding")
