@@ -9,7 +9,7 @@ from groundwork.operators import telemetry
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
 from groundwork.plans.writes import AS_OF, UPSERTED_SQL
-from groundwork.sources.scratch import scratch_dir
+from groundwork.sources.scratch import is_directory, scratch_dir
 from groundwork.sources.tables import Tables
 from groundwork.sources.versions import publish, read_latest
 from groundwork.streaming import jobs
@@ -195,6 +195,14 @@ def agents_with_tool(t: Tables) -> DataFrame:
     return telemetry.agents_with_tool(domain.catalog(t), "supply_graph").select("agent_id", "agent_name", "tools_json")
 
 
+def _feed(t: Tables, name: str, schema: str) -> DataFrame:
+    """The files of a table as a stream, whether it is one file or a directory of them."""
+    path = t.path(name)
+    if is_directory(t.spark, path):
+        return jobs.read_feed(t.spark, path, schema)
+    return jobs.read_feed(t.spark, t.directory, schema, f"{name}.parquet")
+
+
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -205,7 +213,7 @@ EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type st
 def stream_logs(t: Tables) -> DataFrame:
     """The event files as a stream of log lines, parsed into Parquet and read back."""
     work = scratch_dir(t.spark, "stream-logs")
-    feed = jobs.read_feed(t.spark, t.directory, EVENT_SCHEMA, "events.parquet")
+    feed = _feed(t, "events", EVENT_SCHEMA)
     lines = feed.select("event_id", "ts", domain.log_line().alias("line"))
     jobs.stream_logs(lines, "line", f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{work}/out").select("event_id", "ts", "tag", "agent", "message")
@@ -218,7 +226,7 @@ FROM events GROUP BY 1, 2""",
 )
 def stream_agent_counts(t: Tables) -> DataFrame:
     work = scratch_dir(t.spark, "stream-counts")
-    feed = jobs.read_feed(t.spark, t.directory, EVENT_SCHEMA, "events.parquet")
+    feed = _feed(t, "events", EVENT_SCHEMA)
     jobs.stream_agent_counts(feed, "ts", "user_id", f"{work}/out", f"{work}/checkpoint").awaitTermination()
     counts = jobs.read_agent_counts(t.spark, f"{work}/out")
     return counts.withColumns(
@@ -234,7 +242,7 @@ def stream_upsert(t: Tables) -> DataFrame:
     """The customer files as a stream of agents to provision, merged into the catalogue."""
     work = scratch_dir(t.spark, "stream-upsert")
     publish(domain.catalog(t), f"{work}/table", 0)
-    people = jobs.read_feed(t.spark, t.directory, CUSTOMER_SCHEMA, "customer.parquet")
+    people = _feed(t, "customer", CUSTOMER_SCHEMA)
     provisioned = domain.agents(people, t["nation"], "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     jobs.stream_upsert(
         provisioned.drop("status", "created_at").withColumnRenamed("updated_at", "sent_at"),

@@ -38,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def is_directory(spark: SparkSession, location: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(path).isDirectory()
+
+
 def list_names(spark: SparkSession, pattern: str) -> list[str]:
     """Last path components matching a Hadoop glob, sorted."""
     jvm = spark.sparkContext._jvm

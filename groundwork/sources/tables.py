@@ -28,12 +28,16 @@ class Tables(Mapping):
             self._names = [name[: -len(SUFFIX)] for name in found]
         return self._names
 
+    def path(self, name: str) -> str:
+        """Where a table lies: one file, or a directory of files."""
+        if name.lower() not in self.names():
+            raise TableNotFound(name)
+        return f"{self.directory}/{name.lower()}{SUFFIX}"
+
     def __getitem__(self, name: str) -> DataFrame:
         key = name.lower()
         if key not in self._open:
-            if key not in self.names():
-                raise TableNotFound(name)
-            self._open[key] = self.spark.read.parquet(f"{self.directory}/{key}{SUFFIX}")
+            self._open[key] = self.spark.read.parquet(self.path(key))
         return self._open[key]
 
     def register_views(self, *names: str) -> None:

@@ -76,3 +76,24 @@ print(len(queries["distinct_fuzzy"](spark, {SMALL!r}).collect()), entry.entry(sp
 """
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.split()[-2:] == ["4", "5"], done.stderr[-2000:]
+
+
+@pytest.fixture(scope="module")
+def split_tables(spark, tmp_path_factory):
+    """The same tables as directories of several files, rows in another order."""
+    folder = tmp_path_factory.mktemp("split")
+    for name in ("customer", "supplier", "nation", "events", "embeddings", "documents", "conversations", "orders"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").repartition(5).write.parquet(str(folder / f"{name}.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "stream_logs", "stream_agent_counts", "stream_upsert", "run_sql_capped", "result_envelope", "metrics_json",
+        "vector_topk_batch", "search_documents", "rag_context", "trace_final", "logs_last_500", "distinct_capped", "merge_dedup",
+    ],
+)
+def test_query_on_many_files(spark, con, split_tables, name):
+    verdict, _ = compare(spark, con, name, split_tables)
+    assert verdict == "ok"
