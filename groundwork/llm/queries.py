@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from groundwork.llm import exact_dedup, licenses, line_dedup, sharding, toxicity  # noqa: F401
+from groundwork.llm import decontamination, exact_dedup, licenses, line_dedup, packing, sharding, token_counts, toxicity  # noqa: F401
 from groundwork.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
