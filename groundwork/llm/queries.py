@@ -1,6 +1,16 @@
 """All registered queries of this subpackage."""
 
-from groundwork.llm import decontamination, exact_dedup, licenses, line_dedup, packing, sharding, token_counts, toxicity  # noqa: F401
+from groundwork.llm import (  # noqa: F401
+    decontamination,
+    exact_dedup,
+    licenses,
+    line_dedup,
+    packing,
+    sharding,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from groundwork.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
