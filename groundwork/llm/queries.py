@@ -3,6 +3,7 @@
 from groundwork.llm import (  # noqa: F401
     decontamination,
     exact_dedup,
+    jaccard_join,
     licenses,
     line_dedup,
     packing,
