@@ -233,7 +233,7 @@ def contamination(
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that :func:`contamination` reports; a null doc_id is kept."""
     bad = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 @query("op8_decontamination")

@@ -77,6 +77,30 @@ def exact_dedup(
     )
 
 
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest") -> DataFrame:
+    """``docs``, all columns, with one row for each distinct text: the one :func:`exact_dedup` keeps.
+
+    Of rows repeated with the same identifier and text, whatever their other columns, any one stays.
+    """
+    found = exact_dedup(docs, id_column, text_column, keep)
+    twins = ["id_", "sha_"]
+    judged = stored(found.select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), "kept"), "kept").groupBy(*twins)
+    judged = judged.agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    judged = stored(judged.where("times > 1 OR NOT stays"), "judged")
+    own = F.sha2(F.coalesce(docs[text_column], F.lit("")).cast("binary"), 256)
+
+    def same(side: DataFrame):
+        return docs[id_column].eqNullSafe(side["id_"]) & (own == side["sha_"])
+
+    repeated = judged.where("stays")
+    once = docs.join(judged, same(judged), "left_anti")
+    if repeated.isEmpty():
+        return once
+    # Seldom: a row that stays is there several times.
+    again = docs.join(repeated, same(repeated), "left_semi").withColumn("sha_", F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256))
+    return once.unionByName(again.dropDuplicates([id_column, "sha_"]).drop("sha_"))
+
+
 def _merged(runs: DataFrame, keys: list[str], keep: str) -> DataFrame:
     return runs.groupBy(*keys).agg(_best(keep, "best").alias("best"), F.sum("n").alias("n"))
 

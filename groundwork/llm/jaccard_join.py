@@ -307,6 +307,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id_column: str = "d
     return joined.unionByName(rest)
 
 
+def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs``, all columns, with the smallest doc_id of each component; rows without one stay."""
+    found = jaccard_components(docs, SHINGLE, id_column, text_column)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
+    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+
+
 @query("op1_jaccard_join")
 def op1(spark: SparkSession, directory: str) -> DataFrame:
     return jaccard_components(table(spark, directory, "documents"))

@@ -18,13 +18,14 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.arrow import map_rows, schema_with
 from groundwork.llm.registry import query, table
 from groundwork.llm.storage import stored
-from groundwork.llm.words import ALNUM
+from groundwork.llm.words import ALNUM, slices
 
 #: Labelled rows of each class that the fit may use.
 SAMPLE = 4_000
@@ -263,6 +264,20 @@ def score_toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", tex
     return map_rows(docs.selectExpr(f"`{id_column}` AS doc_id", f"`{text_column}` AS text"), schema, work)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic."""
+
+    def keep(batches):
+        scorers = [Scorer(half) for half in model.halves]
+        for batch in batches:
+            for part in slices(batch, text_column):
+                words = [fold(t or "") for t in part[text_column].to_pylist()]
+                scores = np.mean([s.scores(words) for s in scorers], axis=0) if scorers else np.full(len(words), model.base)
+                yield from part.filter(pa.array(scores < THRESHOLD)).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 @query("op6_toxicity")
 def op6(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
