@@ -125,15 +125,15 @@ def test_tokens_of_lines_match_offsets(frame, encoder):
     found = defaultdict(int)
     for r in count_tokens(frame(rows)).collect():
         found[r.doc_id, r.section] += r.n_tokens
-    want = defaultdict(int)
+    want, lengths = defaultdict(int), encoder.lengths()
     for name, text in rows:
         data, at = (text or "").encode(), 0
         edges = [0]
         edges += [i + 1 for i, b in enumerate(data) if b == 10]
         for i in range(len(edges)):
-            want[name, i] += 0
+            want[name, i] = want[name, i]
         for token in encoder.tokenizer.encode(text or "", add_special_tokens=False).ids:
-            stop = at + int(encoder.lengths()[token])
+            stop = at + int(lengths[token])
             share = [min(stop, b) - max(at, a) for a, b in zip(edges, [*edges[1:], len(data)], strict=True)]
             want[name, share.index(max(share))] += 1
             at = stop
