@@ -251,4 +251,4 @@ def stream_upsert(t: Tables) -> DataFrame:
         ["sent_at"],
         lambda: F.lit(AS_OF).cast("timestamp_ntz"),
     ).awaitTermination()
-    return read_latest(t.spark, f"{work}/table")
+    return read_latest(t.spark, f"{work}/table").drop("sent_at")

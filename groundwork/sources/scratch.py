@@ -44,6 +44,11 @@ def is_directory(spark: SparkSession, location: str) -> bool:
     return fs.getFileStatus(path).isDirectory()
 
 
+def make_folder(spark: SparkSession, location: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def list_names(spark: SparkSession, pattern: str) -> list[str]:
     """Last path components matching a Hadoop glob, sorted."""
     jvm = spark.sparkContext._jvm

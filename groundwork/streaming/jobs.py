@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from groundwork.operators.telemetry import classify, parse_logs
 from groundwork.operators.upsert import catalog_upsert, latest_per_key
-from groundwork.sources.versions import publish, read_latest
+from groundwork.sources.scratch import list_names
+from groundwork.sources.versions import claim_version, publish, read_latest, run_of
 
 
 def read_feed(spark: SparkSession, in_dir: str, schema: str, files: str = "*.parquet", per_batch: int = 1000) -> DataFrame:
@@ -46,37 +47,39 @@ def stream_agent_counts(
     out_dir: str,
     checkpoint: str,
     window: str = "1 day",
-    watermark: str = "1 day",
     continuous: str | None = None,
 ) -> StreamingQuery:
     """Running count and newest event per (tumbling window, agent).
 
-    Each batch adds the counters it changed to a change log, one directory per batch; state is
-    bounded by the watermark. :func:`read_agent_counts` folds the log to the current values.
+    Every batch writes its own partial counters, one directory per batch, and keeps no state, so
+    events count however late they come. A replayed batch replaces its directory; a new
+    checkpoint, which reads the feed from its start, counts into a directory of its own.
+    :func:`read_agent_counts` adds the partial counters up.
     """
-    counts = (
-        feed.withColumn("event_time", F.col(ts).cast("timestamp"))
-        .withWatermark("event_time", watermark)
-        .groupBy(F.window("event_time", window).alias("w"), F.col(agent).alias("agent_id"))
-        .agg(F.count("*").alias("invocations"), F.max("event_time").alias("last_execution"))
-        .select(F.col("w.start").alias("window_start"), "agent_id", "invocations", "last_execution")
-    )
+    spark = feed.sparkSession
+    run = run_of(spark, checkpoint)
+    mine = [name for name in list_names(spark, f"{out_dir}/run=*") if name.endswith(run)]
+    place = mine[0] if mine else f"run={len(list_names(spark, f'{out_dir}/run=*')):010d}-{run}"
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        counts = (
+            batch.withColumn("event_time", F.col(ts).cast("timestamp"))
+            .groupBy(F.window("event_time", window).alias("w"), F.col(agent).alias("agent_id"))
+            .agg(F.count("*").alias("invocations"), F.max("event_time").alias("last_execution"))
+            .select(F.col("w.start").alias("window_start"), "agent_id", "invocations", "last_execution")
+        )
+        counts.write.mode("overwrite").parquet(f"{out_dir}/{place}/batch_id={batch_id}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
-    return _started(writer, continuous)
+    return _started(feed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint), continuous)
 
 
 def read_agent_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """(window_start, agent_id, invocations, last_execution): the newest entry of each counter."""
-    newest = F.max_by(F.struct("invocations", "last_execution"), F.col("batch_id")).alias("now")
+    """(window_start, agent_id, invocations, last_execution) of the newest run."""
+    newest = list_names(spark, f"{out_dir}/run=*")[-1]
     return (
-        spark.read.parquet(out_dir)
+        spark.read.parquet(f"{out_dir}/{newest}")
         .groupBy("window_start", "agent_id")
-        .agg(newest)
-        .select("window_start", "agent_id", "now.invocations", "now.last_execution")
+        .agg(F.sum("invocations").alias("invocations"), F.max("last_execution").alias("last_execution"))
     )
 
 
@@ -90,16 +93,28 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert each batch of provisioned agents into the versioned catalogue at ``table_root``.
 
-    Version 0 is the starting catalogue; batch n reads the newest version up to n and writes
-    version n + 1, so a replay rebuilds the same version from the same input.
+    The catalogue keeps the ordering columns, and only a change that is not older than the stored
+    one is applied, so the order of the batches does not matter. Every batch of a checkpoint has a
+    version of its own, after all that are there; a replay rebuilds that version as long as it is
+    the newest.
     """
+    run = run_of(feed.sparkSession, checkpoint)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target = read_latest(batch.sparkSession, table_root, below=batch_id + 1)
+        spark = batch.sparkSession
+        version = claim_version(spark, table_root, f"{run}-{batch_id}")
+        target = read_latest(spark, table_root, below=version)
         if target is None:
             raise RuntimeError(f"no catalogue version under {table_root}")
-        source = latest_per_key(batch, ["agent_id"], order_by).drop(*[c for c in order_by if c not in target.columns])
-        publish(catalog_upsert(target, source, as_of()), table_root, batch_id + 1)
+        source = latest_per_key(batch, ["agent_id"], order_by)
+        for c in order_by:
+            if c not in target.columns:
+                target = target.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
+        known = target.where(F.col(order_by[0]).isNotNull()).select("agent_id", F.struct(*order_by).alias("__stored"))
+        fresh = source.join(known, "agent_id", "left").where(
+            F.col("__stored").isNull() | (F.struct(*order_by) >= F.col("__stored"))
+        )
+        publish(catalog_upsert(target, fresh.select(*source.columns), as_of()), table_root, version)
 
     writer = feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _started(writer, continuous)

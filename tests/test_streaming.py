@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import telemetry
-from groundwork.sources.versions import complete_versions, publish, read_latest
+from groundwork.sources.versions import claim_version, complete_versions, publish, read_latest
 from groundwork.streaming import jobs
 
 FEED = "id bigint, ts timestamp_ntz, agent string, line string"
@@ -81,11 +81,58 @@ def test_upserts_replay_to_the_same_version(spark, tmp_path, catalogue):
     assert complete_versions(spark, catalogue) == [0, 1]
     assert first["a"][1] == "new" and first["a"][3] == "ACTIVE" and first["a"][4].year == 2024
     assert first["b"][2] == "DB_NATIVE" and first["b"][4].year == 2025
-    # A lost checkpoint replays batch 0 from version 0 again.
+    # A lost checkpoint reads the feed again, into a version after all others.
     run(str(tmp_path / "state2"))
-    assert complete_versions(spark, catalogue) == [0, 1]
+    assert complete_versions(spark, catalogue) == [0, 1, 2]
     assert {r.agent_id: tuple(r) for r in read_latest(spark, catalogue).collect()} == first
     spark.createDataFrame([("c", "C", None, 1)], schema).coalesce(1).write.mode("append").parquet(src)
     run(state)
-    assert complete_versions(spark, catalogue) == [0, 1, 2]
+    assert complete_versions(spark, catalogue) == [0, 1, 2, 3]
     assert read_latest(spark, catalogue).count() == 3
+
+
+def test_older_changes_in_later_batches_lose(spark, tmp_path, catalogue):
+    schema = "agent_id string, agent_name string, deployment_target string, sent_at int"
+    src, as_of = str(tmp_path / "in"), lambda: F.lit("2025-01-01 00:00:00").cast("timestamp_ntz")
+    for sent, name in ((9, "newest"), (1, "stale"), (9, "same time"), (5, "stale too")):
+        spark.createDataFrame([("a", name, None, sent), (f"k{sent}", name, None, sent)], schema).coalesce(1).write.mode("append").parquet(src)
+        feed = jobs.read_feed(spark, src, schema, per_batch=1)
+        jobs.stream_upsert(feed, catalogue, str(tmp_path / "state"), ["sent_at"], as_of).awaitTermination()
+    found = {r.agent_id: r.agent_name for r in read_latest(spark, catalogue).collect()}
+    assert found == {"a": "same time", "k9": "same time", "k1": "stale", "k5": "stale too"}
+
+
+def test_a_claimed_version_is_rebuilt_while_it_is_the_newest(spark, catalogue):
+    assert claim_version(spark, catalogue, "run-0") == 1
+    assert claim_version(spark, catalogue, "run-0") == 1
+    publish(read_latest(spark, catalogue), catalogue, 1)
+    assert claim_version(spark, catalogue, "run-0") == 1
+    assert claim_version(spark, catalogue, "run-1") == 2
+    publish(read_latest(spark, catalogue), catalogue, 2)
+    assert claim_version(spark, catalogue, "run-0") == 3
+
+
+def test_counters_take_late_events_replays_and_new_checkpoints(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    days = [[(10 * d + i, f"2024-01-{d:02d} 0{i}:00:00", "ab"[i % 2], "x") for i in range(5)] for d in (20, 9, 2, 1)]
+    want = {(d, a): n for d in (1, 2, 9, 20) for a, n in (("a", 3), ("b", 2))}
+
+    def found():
+        return {(r.window_start.day, r.agent_id): r.invocations for r in jobs.read_agent_counts(spark, out).collect()}
+
+    def run(checkpoint):
+        feed = jobs.read_feed(spark, src, FEED, per_batch=1)
+        jobs.stream_agent_counts(feed, "ts", "agent", out, checkpoint).awaitTermination()
+
+    for data in days:
+        drop(spark, src, data)
+        run(state)
+    assert found() == want
+    # The last batch again, as after a failure before its commit.
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run(state)
+    assert found() == want
+    run(str(tmp_path / "state2"))
+    assert found() == want
