@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.operators.joins import numbered
+
 # The chart types and the colours, in the order they are dealt.
 CHART_TYPES = ("bar", "line", "pie", "doughnut", "radar", "scatter", "bubble", "polarArea")
+POINTS = ("scatter", "bubble")
 PALETTE = (
     "#007bff", "#6c757d", "#28a745", "#ffc107", "#dc3545",
     "#20c997", "#6610f2", "#e83e8c", "#fd7e14", "#17a2b8",
@@ -15,23 +18,49 @@ PALETTE = (
 )
 
 
+# What the row of all labels beyond a limit is called.
+OTHERS = "(others)"
+
+
 def chart_dataset(
-    df: DataFrame, label: str, value: Column, kind: str = "bar", max_labels: int = 20
+    df: DataFrame, label: str, value: Column, kind: str = "bar", max_labels: int | None = None
 ) -> DataFrame:
-    """(position, label, value, colour): the ``max_labels`` largest labels, colours dealt in turn.
+    """(position, label, value, colour) of every label, colours dealt in turn.
 
-    ``value`` is an aggregate. Ranking runs on the few labels a chart can show.
+    ``value`` is an aggregate. A line runs along its labels; other charts show the largest value
+    first. With ``max_labels``, the labels beyond it are aggregated into one last row. Points are
+    made by :func:`points_dataset`.
     """
     if kind not in CHART_TYPES:
         raise ValueError(f"chart type must be one of {CHART_TYPES}")
-    top = df.groupBy(F.col(label).alias("label")).agg(value.alias("value")).orderBy(F.desc("value"), "label").limit(max_labels)
-    position = F.row_number().over(Window.orderBy(F.desc("value"), "label"))
+    if kind in POINTS:
+        raise ValueError(f"{kind} charts take points_dataset")
+    order = [F.asc("label")] if kind == "line" else [F.desc("value"), F.asc("label")]
+    totals = df.groupBy(F.col(label).alias("label")).agg(value.alias("value"))
+    if max_labels is None:
+        return _coloured(numbered(totals, *order))
+    top = totals.orderBy(*order).limit(max_labels).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    shown = top.select(F.col("label").alias("__shown")).withColumn("__is", F.lit(True))
+    beyond = df.join(F.broadcast(shown), F.col(label).eqNullSafe(F.col("__shown")), "left").where("__is IS NULL")
+    rest = beyond.agg(value.alias("value"), F.count("*").alias("n")).where("n > 0").select(
+        F.lit(OTHERS).alias("label"), "value", F.lit(max_labels + 1).alias("position")
+    )
+    return _coloured(top.unionByName(rest))
+
+
+def _coloured(placed: DataFrame) -> DataFrame:
     colours = F.array(*[F.lit(c) for c in PALETTE])
-    return top.withColumn("position", position).select(
+    return placed.select(
         "position", "label", "value", F.element_at(colours, (F.col("position") - 1) % len(PALETTE) + 1).alias("colour")
     )
 
 
+def points_dataset(df: DataFrame, label: str, x: Column, y: Column, r: Column | None = None) -> DataFrame:
+    """(label, x, y) for scatter charts, with the radius ``r`` for bubbles: aggregates per label."""
+    measures = {"x": x, "y": y} | ({} if r is None else {"r": r})
+    return df.groupBy(F.col(label).alias("label")).agg(*[m.alias(n) for n, m in measures.items()])
+
+
 def chart_json(dataset: DataFrame, title: str, kind: str = "bar", series: str = "value") -> DataFrame:
     """One row (chart_json) describing the whole chart; for the output of :func:`chart_dataset`."""
     if kind not in CHART_TYPES:

@@ -55,11 +55,12 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.array_sort(numbered), lambda t: F.concat(t["ch"], t["nth"].cast("string")))
 
 
-def fuzzy_pairs(df: DataFrame, column: str, block: int = 3, min_score: float = 0.9) -> DataFrame:
-    """(name_a, name_b, rows_a, rows_b, score): distinct names sharing their first ``block``
-    characters whose Jaro-Winkler score is at least ``min_score``; name_a < name_b.
+def fuzzy_pairs(df: DataFrame, column: str, block: int = 0, min_score: float = 0.9) -> DataFrame:
+    """(name_a, name_b, rows_a, rows_b, score): distinct names whose Jaro-Winkler score is at least
+    ``min_score``; name_a < name_b. With ``block``, only names that share their first ``block``
+    characters are compared, and shorter names are left out.
 
-    Not every pair of a block is formed. Two strings of lengths m and n with Jaro score j
+    Not every pair is formed. Two strings of lengths m and n with Jaro score j
     share at least (3j - 1) * m * n / (m + n) characters, so sorted by rarity they must share
     one of the first few. Names join on block, both size classes and such a character, which
     spreads one large block over many keys; a bit mask of all characters drops most pairs
@@ -70,7 +71,7 @@ def fuzzy_pairs(df: DataFrame, column: str, block: int = 3, min_score: float = 0
     if spread <= 1:
         raise ValueError("min_score is too low to bound the lengths of matching names")
     names = (
-        df.where(F.length(column) >= block)
+        df.where(F.length(column) >= max(block, 1))
         .groupBy(F.col(column).alias("name"))
         .agg(F.count("*").alias("rows"))
         .select("name", "rows", F.length("name").alias("len"), F.substring("name", 1, block).alias("block"))
@@ -82,7 +83,7 @@ def fuzzy_pairs(df: DataFrame, column: str, block: int = 3, min_score: float = 0
     names = checkpointed(names)
     own = F.col("len").cast("double")
     # Lengths a partner may have: its overlap cannot exceed the shorter name.
-    shortest = F.greatest(F.floor(own * (spread - 1)), F.lit(block)).cast("double")
+    shortest = F.greatest(F.floor(own * (spread - 1)), F.lit(max(block, 1))).cast("double")
     longest = F.ceil(own / (spread - 1)).cast("double")
     # The least overlap with any partner of the other size class; the block is shared by all.
     least = F.greatest(F.floor(F.pow(F.lit(SIZE_STEP), "other")) - 1, shortest)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.sources.scratch import checkpointed
@@ -64,14 +64,21 @@ def khop(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return reached
 
 
+def _unknown_last(figures: Sequence[str]) -> Column:
+    """Order in which a missing figure comes after every known one."""
+    return F.struct(*[F.coalesce(F.col(c), F.lit(float("inf"))).alias(f"o{i}") for i, c in enumerate(figures)])
+
+
 def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(start, id, hops, transit_days, cost, max_risk) of the quickest path of at most ``k`` hops.
 
-    Quickest means least total transit, then cost, then worst edge risk, then hops. One
+    Quickest means least total transit, then cost, then worst edge risk, then hops; an unknown
+    figure comes last. One
     best path per start and vertex is carried from hop to hop, never all paths.
     """
+    figures = ("transit_days", "cost", "risk")
     links = checkpointed(
-        edge.groupBy("src", "dst").agg(F.min(F.struct("transit_days", "cost", "risk")).alias("e"))
+        edge.groupBy("src", "dst").agg(F.min_by(F.struct(*figures), _unknown_last(figures)).alias("e"))
     )
     best = starts.select(F.col(starts.columns[0]).alias("start")).distinct().select(
         "start",
@@ -81,6 +88,7 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
         ).alias("total"),
     )
     best = checkpointed(best)
+    parts = ("total.transit_days", "total.cost", "total.max_risk", "total.hops")
     for hop in range(1, k + 1):
         # Only paths found in the previous round can still improve a vertex.
         frontier = best.where(F.col("total.hops") == hop - 1)
@@ -99,7 +107,7 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
                 ).alias("total"),
             )
         )
-        best = checkpointed(best.unionByName(onward).groupBy("start", "id").agg(F.min("total").alias("total")))
+        best = checkpointed(best.unionByName(onward).groupBy("start", "id").agg(F.min_by("total", _unknown_last(parts)).alias("total")))
     return best.where(F.col("id") != F.col("start")).select(
         "start", "id", "total.hops", "total.transit_days", "total.cost", "total.max_risk"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CRITICAL = "CRITICAL_STOCKOUT"
@@ -55,23 +55,56 @@ def best_route(routes: DataFrame) -> DataFrame:
     return routes.groupBy("origin", "destination").agg(best).select("origin", "destination", "r.*")
 
 
+def allocate(inventory: DataFrame, min_threshold: int = MIN_THRESHOLD) -> DataFrame:
+    """(sku, source, destination, units): deficits covered from surpluses, no unit promised twice.
+
+    The deficits of a SKU, largest first, and its surpluses, largest first, are laid end to end
+    along one line each; where both lines overlap, that many units go from the one to the other.
+    Running sums per SKU place the ends; every stretch between two neighbouring ends is one
+    transfer, so short and surplus cells are never paired. What exceeds the surplus stays short.
+    """
+    held = stockout_risk(inventory, min_threshold)
+    gap = F.lit(min_threshold) - F.col("on_hand")
+    cells = held.where(gap != 0).select(
+        "sku", (gap > 0).alias("short"), "warehouse", F.abs(gap).cast("bigint").alias("size")
+    )
+    line = Window.partitionBy("sku", "short").orderBy(F.desc("size"), "warehouse")
+    placed = cells.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    whole = F.sum("size").over(Window.partitionBy("sku", "short"))
+    placed = placed.withColumn("whole", whole)
+    along = Window.partitionBy("sku").orderBy("start", "short")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    sku = Window.partitionBy("sku")
+
+    def latest(short: bool, column: str) -> Column:
+        return F.last(F.when(F.col("short") == short, F.col(column)), ignorenulls=True).over(so_far)
+
+    def total(short: bool) -> Column:
+        return F.coalesce(F.max(F.when(F.col("short") == short, F.col("whole"))).over(sku), F.lit(0))
+
+    end = F.least(F.coalesce(F.lead("start").over(along), F.greatest(total(True), total(False))), total(True), total(False))
+    return placed.select(
+        "sku", latest(False, "warehouse").alias("source"), latest(True, "warehouse").alias("destination"), (end - F.col("start")).alias("units")
+    ).where(F.col("units") > 0)
+
+
 def transfer_drafts(inventory: DataFrame, routes: DataFrame, min_threshold: int = MIN_THRESHOLD) -> DataFrame:
-    """A draft transfer for every short cell that has a relief source; a person approves each.
+    """A draft for every transfer of :func:`allocate`; a person approves each.
 
-    Units are the smaller of deficit and surplus. The destination is part of the id, since one
-    SKU can be short in several places. Destinations are matched independently.
+    Source and destination are part of the id, since one SKU can be short in several places and
+    one place can need several sources.
     """
-    relief = relief_source(inventory, min_threshold)
+    relief = allocate(inventory, min_threshold)
     by_route = best_route(routes).select(
         F.col("origin").alias("source"), "destination", "route_id", "transport_mode", "transit_days"
     )
     return relief.join(by_route, ["source", "destination"], "left").select(
-        F.concat(F.lit(DRAFT_PREFIX), F.lower("sku"), F.lit("-"), F.lower("destination")).alias("draft_action_id"),
+        F.concat(F.lit(DRAFT_PREFIX), F.lower("sku"), F.lit("-"), F.lower("source"), F.lit("-"), F.lower("destination")).alias("draft_action_id"),
         F.lit(TRANSFER).alias("action_type"),
         "sku",
         "source",
         "destination",
-        F.least("deficit", "surplus").alias("units"),
+        "units",
         "route_id",
         "transport_mode",
         "transit_days",

@@ -79,6 +79,7 @@ def truncate_values(values: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     """(value, truncated): the sorted values whose JSON list stays within ``max_chars``.
 
     Whole values only, so the list is always valid JSON; ``truncated`` says if any is left out.
+    When not even the first value fits, one row without a value says so.
     """
     # An element takes two characters at least, so this many rows always overfill the list.
     bounded = values.orderBy("value").limit(max_chars // 2 + 1)
@@ -86,11 +87,13 @@ def truncate_values(values: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
     # Running length of the list over those few rows: brackets, elements, commas.
     in_order = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     measured = bounded.withColumn("used", F.sum(width).over(in_order) + 1)
+    measured = measured.withColumn("first", F.row_number().over(Window.orderBy("value")) == 1)
     longest = F.max("used").over(Window.partitionBy(F.lit(0)))
+    fits = F.col("used") <= max_chars
     return (
         measured.withColumn("truncated", longest > max_chars)
-        .where(F.col("used") <= max_chars)
-        .select("value", "truncated")
+        .where(fits | F.col("first"))
+        .select(F.when(fits, F.col("value")).alias("value"), "truncated")
     )
 
 

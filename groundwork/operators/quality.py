@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,7 +28,7 @@ def between(column: str, low, high) -> Column:
 
 def fits_precision(column: str, precision: int, scale: int) -> Column:
     """The value survives rounding to ``scale`` digits within ``precision`` digits in all."""
-    return F.abs(F.round(F.col(column).cast("double"), scale)) < F.lit(10.0 ** (precision - scale))
+    return F.col(column).isNull() | F.col(column).try_cast(T.DecimalType(precision, scale)).isNotNull()
 
 
 def check_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -52,12 +53,12 @@ def check_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 def fk_orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """(key, n_rows): referenced keys without a parent row; a NULL reference is no orphan.
 
-    The child is counted per key before the join, so a hot key travels as one row.
+    Both sides are reduced to their keys before the join, so a hot key travels as one row per task.
     """
     referenced = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("key")).agg(
         F.count("*").alias("n_rows")
     )
-    return referenced.join(parent.select(F.col(parent_key).alias("key")), "key", "left_anti")
+    return referenced.join(parent.select(F.col(parent_key).alias("key")).distinct(), "key", "left_anti")
 
 
 # Where an agent may be deployed.

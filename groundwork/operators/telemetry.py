@@ -107,9 +107,14 @@ def latency_ms(start: str, end: str) -> Column:
 
 def metrics_recent(df: DataFrame, agent: str | int | None = None, n: int = RECENT_METRICS) -> DataFrame:
     """The newest ``n`` executions, of one agent if given, under their published names."""
+    return _recent(df, agent, n).drop("executed_at")
+
+
+def _recent(df: DataFrame, agent: str | int | None, n: int) -> DataFrame:
     # Without an agent there is no predicate at all.
     chosen = df if agent is None else df.where(F.col("agent_id") == F.lit(agent))
     return chosen.orderBy(F.desc("executed_at"), F.desc("execution_id")).limit(n).select(
+        "executed_at",
         F.col("execution_id").alias("executionId"),
         F.col("agent_id").alias("agentId"),
         F.col("execution_status").alias("executionStatus"),
@@ -122,10 +127,11 @@ def metrics_recent(df: DataFrame, agent: str | int | None = None, n: int = RECEN
 
 def metrics_json(df: DataFrame, agent: str | int | None = None, n: int = RECENT_METRICS) -> DataFrame:
     """One row (metrics_json): the newest ``n`` executions as a JSON array, "[]" when there are none."""
-    recent = metrics_recent(df, agent, n)
-    entry = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    # n entries, newest first.
-    placed = F.struct(F.col("executedAt"), F.col("executionId"), entry.alias("entry"))
+    recent = _recent(df, agent, n)
+    published = [c for c in recent.columns if c != "executed_at"]
+    entry = F.to_json(F.struct(*published), {"ignoreNullFields": "false"})
+    # n entries, newest first; the published time has lost what is below a second.
+    placed = F.struct(F.col("executed_at"), F.col("executionId"), entry.alias("entry"))
     newest = F.sort_array(F.collect_list(placed), asc=False)
     return recent.agg(F.array_join(F.transform(newest, lambda e: e["entry"]), ",").alias("entries")).select(
         F.concat(F.lit("["), "entries", F.lit("]")).alias("metrics_json")

@@ -33,6 +33,14 @@ def _fits_broadcast(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= int(limit)
 
 
+def _once(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``source``, which fails when it is read if a key without NULLs occurs twice."""
+    known = source.select(*keys).dropna()
+    twice = known.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    failure = F.raise_error(F.lit(f"the source holds a key ({', '.join(keys)}) more than once")).cast("boolean")
+    return source.where(F.when(twice.exists(), failure).otherwise(F.lit(True)))
+
+
 def merge_into(
     target: DataFrame,
     source: DataFrame,
@@ -44,12 +52,14 @@ def merge_into(
 
     Matched rows take ``update_cols`` from the source and keep the rest. Unmatched source rows
     are inserted; a column they lack or hold as NULL takes its default. Target rows absent
-    from the source stay. The source must hold each key once: see :func:`latest_per_key`.
+    from the source stay. A source that holds a key twice fails the query: see
+    :func:`latest_per_key`.
 
     A source within the broadcast threshold leaves the target unshuffled; a larger one costs
     a single full outer join.
     """
     defaults = dict(defaults or {})
+    source = _once(source, keys)
     given = [c for c in target.columns if c in source.columns]
     marked = source.select(*given, F.lit(True).alias(MATCHED))
 
@@ -114,7 +124,7 @@ def cascade_delete(
     parent: DataFrame, child: DataFrame, parent_key: str, child_key: str, ids: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Parent without ``ids`` and child without the rows that refer to them."""
-    gone = ids.select(F.col(ids.columns[0]).alias("__gone"))
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
     return (
         parent.join(gone, parent[parent_key] == gone["__gone"], "left_anti"),
         child.join(gone, child[child_key] == gone["__gone"], "left_anti"),
@@ -122,7 +132,11 @@ def cascade_delete(
 
 
 def patch(df: DataFrame, changes: DataFrame, key: str, blank_allowed: Sequence[str] = ()) -> DataFrame:
-    """Partial update: NULL or '' keeps the old value, but '' is taken for ``blank_allowed``."""
+    """Partial update: NULL or '' keeps the old value, but '' is taken for ``blank_allowed``.
+
+    Changes that hold a key twice fail the query.
+    """
+    changes = _once(changes, [key])
     cols = [c for c in changes.columns if c != key]
 
     def change(c: str) -> Column:

@@ -291,13 +291,13 @@ def knn_label_vote(live: DataFrame, history: DataFrame, k: int = 5, metric: str
 def rul_estimate(live: DataFrame, history: DataFrame, k: int = 5, metric: str = DOT) -> DataFrame:
     """(query_id, remaining): mean life of the k nearest histories, nearer ones weigh more.
 
-    The weight is 1 / (1 + distance - smallest possible distance): 1 for an identical unit
-    vector, falling as it gets farther.
+    The weight is 1 / (1 + distance beyond the nearest one's): 1 for the nearest, whatever the
+    length of the vectors, falling as they get farther.
     """
     near = _small(*topk_batch_sized(history, live, k, metric))
-    floor = -1.0 if metric == DOT else 0.0
-    weighted = history.select("id", "life").join(near, "id").withColumn(
-        "weight", 1 / (1 + F.greatest(F.col("distance") - F.lit(floor), F.lit(0.0)))
+    least = F.min("distance").over(Window.partitionBy("query_id"))  # k rows each
+    weighted = history.select("id", "life").join(near.withColumn("beyond", F.col("distance") - least), "id").withColumn(
+        "weight", 1 / (1 + F.col("beyond"))
     )
     total = F.sum(F.col("weight") * F.col("life")) / F.sum("weight")
     return weighted.groupBy("query_id").agg(F.round(total, 4).alias("remaining"), F.count("*").alias("neighbours"))

@@ -48,6 +48,17 @@ def large_disbursements(t: Tables) -> DataFrame:
     return large.select("o_orderkey", "o_custkey", "o_totalprice", "month")
 
 
+@query(
+    "large_disbursements_month",
+    """SELECT o_orderkey, o_custkey, o_totalprice, strftime(o_orderdate, '%Y-%m') AS month
+FROM orders WHERE o_totalprice > 50000 AND o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1996-04-01'""",
+)
+def large_disbursements_month(t: Tables) -> DataFrame:
+    """One month's orders over 50,000."""
+    large = ledger.large_disbursements(t["orders"], "o_orderdate", "o_totalprice", as_of="1996-03-15")
+    return large.select("o_orderkey", "o_custkey", "o_totalprice", "month")
+
+
 @query(
     "zscore_outliers",
     """WITH m AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS deviation FROM events GROUP BY 1)
@@ -71,10 +82,10 @@ def value_histogram(t: Tables) -> DataFrame:
 
 @query(
     "fuzzy_pairs",
-    """WITH n AS (SELECT p_name AS name, count(*) AS n_rows FROM part WHERE length(p_name) >= 3 GROUP BY 1)
+    """WITH n AS (SELECT p_name AS name, count(*) AS n_rows FROM part WHERE length(p_name) >= 1 GROUP BY 1)
 SELECT a.name AS name_a, b.name AS name_b, a.n_rows AS rows_a, b.n_rows AS rows_b,
        round(jaro_winkler_similarity(a.name, b.name), 6) AS score
-FROM n a JOIN n b ON substring(a.name, 1, 3) = substring(b.name, 1, 3) AND a.name < b.name
+FROM n a JOIN n b ON a.name < b.name
 WHERE jaro_winkler_similarity(a.name, b.name) >= 0.85""",
 )
 def fuzzy_pairs(t: Tables) -> DataFrame:

@@ -88,18 +88,18 @@ def trace_progress(t: Tables) -> DataFrame:
     return telemetry.trace_progress(steps, "conv_id", "turn", "role", "result")
 
 
-_RECENT = """SELECT execution_id AS "executionId", agent_id AS "agentId", execution_status AS "executionStatus",
+_RECENT = """SELECT {first}execution_id AS "executionId", agent_id AS "agentId", execution_status AS "executionStatus",
        latency_ms AS "latencyMs", tool_calls_count AS "toolCallsCount", executed_by AS "executedBy",
        strftime(executed_at, '%Y-%m-%dT%H:%M:%SZ') AS "executedAt"
 FROM metrics {where} ORDER BY executed_at DESC, execution_id DESC LIMIT 50"""
 
 
-@query("metrics_recent_all", with_views(domain.METRICS, select=_RECENT.format(where="")))
+@query("metrics_recent_all", with_views(domain.METRICS, select=_RECENT.format(first="", where="")))
 def metrics_recent_all(t: Tables) -> DataFrame:
     return telemetry.metrics_recent(domain.metrics(t))
 
 
-@query("metrics_recent_one", with_views(domain.METRICS, select=_RECENT.format(where="WHERE agent_id = 7")))
+@query("metrics_recent_one", with_views(domain.METRICS, select=_RECENT.format(first="", where="WHERE agent_id = 7")))
 def metrics_recent_one(t: Tables) -> DataFrame:
     return telemetry.metrics_recent(domain.metrics(t), agent=7)
 
@@ -108,11 +108,11 @@ def metrics_recent_one(t: Tables) -> DataFrame:
     "metrics_json",
     with_views(
         domain.METRICS,
-        "recent AS (" + _RECENT.format(where="") + ")",
+        "recent AS (" + _RECENT.format(first="executed_at, ", where="") + ")",
         select="""SELECT '[' || string_agg(CAST(json_object('executionId', "executionId", 'agentId', "agentId",
        'executionStatus', "executionStatus", 'latencyMs', "latencyMs", 'toolCallsCount', "toolCallsCount",
        'executedBy', "executedBy", 'executedAt', "executedAt") AS VARCHAR), ','
-       ORDER BY "executedAt" DESC, "executionId" DESC) || ']' AS metrics_json FROM recent""",
+       ORDER BY executed_at DESC, "executionId" DESC) || ']' AS metrics_json FROM recent""",
     ),
 )
 def metrics_json(t: Tables) -> DataFrame:

@@ -160,7 +160,7 @@ def knn_label_vote(t: Tables) -> DataFrame:
         "histories AS (SELECT vec_id, embedding, n_chars FROM embeddings JOIN documents ON vec_id = doc_id)",
         domain.scores_sql("histories", 10),
         """weighted AS (
-  SELECT query_id, n_chars AS life, 1 / (1 + greatest(distance + 1, 0)) AS weight FROM near JOIN histories ON id = vec_id)""",
+  SELECT query_id, n_chars AS life, 1 / (1 + distance - min(distance) OVER (PARTITION BY query_id)) AS weight FROM near JOIN histories ON id = vec_id)""",
         select="""SELECT query_id, round(sum(weight * life) / sum(weight), 4) AS remaining, count(*) AS neighbours
 FROM weighted GROUP BY query_id""",
     ),

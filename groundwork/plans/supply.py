@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,31 +108,31 @@ def bottlenecks(t: Tables) -> DataFrame:
     return graph.bottlenecks(graph.sku_dependency(domain.supply(t)), domain.vertices(t), domain.disruptions(t))
 
 
-# Below this a warehouse is short. Stock grows with the data, so the mean cell sets it: a
-# cell is short below this share of the mean.
-SHORT_SHARE = 0.35
+# The tenth of the cells with the least stock is short, whatever the size of the tables.
+SHORT_QUANTILE = 0.1
 
 
 def _stock(t: Tables) -> tuple[DataFrame, int]:
     """The inventory, summed once into the checkpoint folder, and the threshold it implies."""
     stock = checkpointed(domain.inventory(t))
-    mean = stock.agg(F.avg("on_hand").alias("m")).first()["m"]
-    return stock, int(round((mean or 0) * SHORT_SHARE))
+    low = stock.agg(F.percentile("on_hand", SHORT_QUANTILE).alias("low")).first()["low"]
+    return stock, math.ceil(low or 0)
 
 
-THRESHOLD = f"limits AS (SELECT CAST(round(avg(on_hand) * {SHORT_SHARE}) AS BIGINT) AS threshold FROM inventory)"
+THRESHOLD = f"limits AS (SELECT CAST(ceil(quantile_cont(on_hand, {SHORT_QUANTILE})) AS BIGINT) AS threshold FROM inventory)"
 
 
 @query(
     "stockout_risk",
     with_views(
         domain.INVENTORY,
-        select="""SELECT sku, warehouse, on_hand, CAST(300 AS BIGINT) AS min_threshold,
-       CASE WHEN on_hand < 300 THEN 'CRITICAL_STOCKOUT' ELSE 'OK' END AS risk_status FROM inventory""",
+        THRESHOLD,
+        select="""SELECT sku, warehouse, on_hand, threshold AS min_threshold,
+       CASE WHEN on_hand < threshold THEN 'CRITICAL_STOCKOUT' ELSE 'OK' END AS risk_status FROM inventory, limits""",
     ),
 )
 def stockout_risk(t: Tables) -> DataFrame:
-    return inventory.stockout_risk(domain.inventory(t))
+    return inventory.stockout_risk(*_stock(t))
 
 
 RELIEF = """short AS (SELECT sku, warehouse AS destination, threshold - on_hand AS deficit FROM inventory, limits WHERE on_hand < threshold),
@@ -161,18 +163,32 @@ def best_route(t: Tables) -> DataFrame:
     return inventory.best_route(domain.routes(t))
 
 
+ALLOCATED = """needs AS (
+  SELECT sku, warehouse AS destination, sum(threshold - on_hand) OVER w AS upto, threshold - on_hand AS part
+  FROM inventory, limits WHERE on_hand < threshold
+  WINDOW w AS (PARTITION BY sku ORDER BY on_hand, warehouse ROWS UNBOUNDED PRECEDING)),
+gives AS (
+  SELECT sku, warehouse AS source, sum(on_hand - threshold) OVER w AS upto, on_hand - threshold AS part
+  FROM inventory, limits WHERE on_hand > threshold
+  WINDOW w AS (PARTITION BY sku ORDER BY on_hand DESC, warehouse ROWS UNBOUNDED PRECEDING)),
+allocated AS (
+  SELECT n.sku, source, destination,
+         CAST(least(n.upto, g.upto) - greatest(n.upto - n.part, g.upto - g.part) AS BIGINT) AS units
+  FROM needs n JOIN gives g ON n.sku = g.sku AND n.upto - n.part < g.upto AND g.upto - g.part < n.upto)"""
+
+
 @query(
     "transfer_drafts",
     with_views(
         domain.INVENTORY,
         THRESHOLD,
-        RELIEF,
+        ALLOCATED,
         domain.ROUTES,
         BEST,
-        select="""SELECT 'draft-transfer-' || lower(sku) || '-' || lower(r.destination) AS draft_action_id,
-       'INVENTORY_TRANSFER' AS action_type, sku, source, r.destination, least(deficit, surplus) AS units,
+        select=f"""SELECT '{inventory.DRAFT_PREFIX}' || lower(sku) || '-' || lower(r.source) || '-' || lower(r.destination) AS draft_action_id,
+       '{inventory.TRANSFER}' AS action_type, sku, source, r.destination, units,
        route_id, transport_mode, transit_days, true AS requires_approval
-FROM relief r LEFT JOIN best b ON r.source = b.origin AND r.destination = b.destination""",
+FROM allocated r LEFT JOIN best b ON r.source = b.origin AND r.destination = b.destination""",
     ),
 )
 def transfer_drafts(t: Tables) -> DataFrame:
@@ -197,14 +213,13 @@ def shipment_risk(t: Tables) -> DataFrame:
 _COLOURS = ", ".join(f"'{c}'" for c in charts.PALETTE)
 STOCK_CHART = f"""stock AS (SELECT warehouse AS label, CAST(sum(on_hand) AS BIGINT) AS value FROM inventory GROUP BY 1),
 chart AS (
-  SELECT CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER) AS position, label, value FROM stock
-  QUALIFY row_number() OVER (ORDER BY value DESC, label) <= 25),
+  SELECT CAST(row_number() OVER (ORDER BY value DESC, label) AS INTEGER) AS position, label, value FROM stock),
 coloured AS (SELECT position, label, value, ([{_COLOURS}])[(position - 1) % 20 + 1] AS colour FROM chart)"""
 
 
 def _stock_chart(t: Tables) -> DataFrame:
     total = F.sum("on_hand").cast("bigint")
-    return charts.chart_dataset(domain.inventory(t), "warehouse", total, max_labels=25)
+    return charts.chart_dataset(domain.inventory(t), "warehouse", total)
 
 
 @query(
@@ -242,3 +257,47 @@ FROM orders GROUP BY 1""",
 def monthly_trend(t: Tables) -> DataFrame:
     total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
     return charts.monthly_trend(t["orders"], "o_orderdate", total)
+
+
+@query(
+    "chart_line",
+    f"""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS label, count(*) AS value FROM orders GROUP BY 1),
+p AS (SELECT CAST(row_number() OVER (ORDER BY label) AS INTEGER) AS position, label, value FROM m)
+SELECT position, label, value, ([{_COLOURS}])[(position - 1) % 20 + 1] AS colour FROM p""",
+)
+def chart_line(t: Tables) -> DataFrame:
+    """Orders by month, in the order of the months."""
+    by_month = t["orders"].select(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    return charts.chart_dataset(by_month, "month", F.count("*"), kind="line")
+
+
+@query(
+    "chart_bubble",
+    with_views(
+        domain.INVENTORY,
+        select="""SELECT warehouse AS label, count(*) AS x, CAST(sum(on_hand) AS BIGINT) AS y, CAST(max(on_hand) AS BIGINT) AS r
+FROM inventory GROUP BY 1""",
+    ),
+)
+def chart_bubble(t: Tables) -> DataFrame:
+    """Warehouses by their SKUs and stock, the radius their largest cell."""
+    stock = domain.inventory(t)
+    largest = F.max("on_hand").cast("bigint")
+    return charts.points_dataset(stock, "warehouse", F.count("*"), F.sum("on_hand").cast("bigint"), largest)
+
+
+@query(
+    "chart_limited",
+    with_views(
+        domain.INVENTORY,
+        "stock AS (SELECT warehouse AS label, sum(on_hand) AS value FROM inventory GROUP BY 1)",
+        "ranked AS (SELECT row_number() OVER (ORDER BY value DESC, label) AS place, label, value FROM stock)",
+        "kept AS (SELECT least(place, 6) AS position, CASE WHEN place <= 5 THEN label ELSE '(others)' END AS label, value FROM ranked)",
+        select=f"""SELECT CAST(position AS INTEGER) AS position, label, CAST(sum(value) AS BIGINT) AS value,
+       ([{_COLOURS}])[(position - 1) % 20 + 1] AS colour FROM kept GROUP BY position, label""",
+    ),
+)
+def chart_limited(t: Tables) -> DataFrame:
+    """The five fullest warehouses, and all others as one."""
+    total = F.sum("on_hand").cast("bigint")
+    return charts.chart_dataset(domain.inventory(t), "warehouse", total, max_labels=5)

@@ -68,6 +68,7 @@ def test_truncation_keeps_whole_values(spark):
     assert not any(r.truncated for r in profiling.truncate_values(df, 28).collect())
     assert profiling.truncate_values(df, 28).count() == 4
     assert profiling.truncate_values(df.limit(0)).count() == 0
+    assert [tuple(r) for r in profiling.truncate_values(df, 3).collect()] == [(None, True)]
 
 
 def test_truncated_list_is_within_the_budget(tables):
@@ -128,8 +129,8 @@ def test_null_inputs_give_null(spark):
     assert [r[0] for r in spark.sql("SELECT jaro_winkler(x, y) FROM jw").collect()] == [None, None, 1.0]
 
 
-def _brute_pairs(names, min_score, block=3):
-    distinct = sorted({n for n in names if len(n) >= block})
+def _brute_pairs(names, min_score, block=0):
+    distinct = sorted({n for n in names if len(n) >= max(block, 1)})
     pairs = [(a, b) for a in distinct for b in distinct if a < b and a[:block] == b[:block]]
     if not pairs:
         return set()
@@ -160,6 +161,12 @@ def test_fuzzy_pairs_in_one_hot_block_form_few_candidates(spark, plan):
     assert found == _brute_pairs(names, 0.93)
 
 
+def test_fuzzy_pairs_need_no_common_prefix(spark):
+    df = spark.createDataFrame([("The Acme Stores",), ("Teh Acme Stores",), ("ab",), ("a",), ("",)], "name string")
+    assert {(r.name_a, r.name_b) for r in fuzzy.fuzzy_pairs(df, "name").collect()} == {("Teh Acme Stores", "The Acme Stores")}
+    assert fuzzy.fuzzy_pairs(df, "name", block=3).count() == 0
+
+
 def test_fuzzy_pairs_count_rows_of_each_name(spark):
     df = spark.createDataFrame([("hot plate",)] * 3 + [("hot plates",)] * 2, "name string")
     row = fuzzy.fuzzy_pairs(df, "name").first()

@@ -138,15 +138,60 @@ def test_best_route(spark):
 
 def test_transfer_drafts(spark):
     drafts = {r.destination: r for r in inventory.transfer_drafts(_stock(spark), _routes(spark)).collect()}
-    assert drafts["north"].draft_action_id == "draft-transfer-a-north"
+    assert drafts["north"].draft_action_id == "draft-transfer-a-east-north"
     assert (drafts["north"].units, drafts["north"].route_id, drafts["north"].requires_approval) == (180, 2, True)
     assert drafts["west"].route_id is None and drafts["west"].action_type == "INVENTORY_TRANSFER"
 
 
+def test_allocation_promises_no_unit_twice(spark):
+    import random
+    from collections import Counter
+
+    draw = random.Random(4)
+    cells = [(f"s{k}", f"w{w:02d}", draw.choice([0, 50, 90, 100, 101, 130, 180, 400])) for k in range(40) for w in range(12)]
+    stock = spark.createDataFrame(cells, "sku string, warehouse string, on_hand bigint")
+    given, taken = Counter(), Counter()
+    for r in inventory.allocate(stock, 100).collect():
+        assert r.units > 0
+        given[r.sku, r.source] += r.units
+        taken[r.sku, r.destination] += r.units
+    for k in range(40):
+        own = {w: n for s, w, n in cells if s == f"s{k}"}
+        spare, lack = sum(max(n - 100, 0) for n in own.values()), sum(max(100 - n, 0) for n in own.values())
+        assert sum(n for (s, _), n in taken.items() if s == f"s{k}") == min(spare, lack)
+        assert all(given[f"s{k}", w] <= max(n - 100, 0) and taken[f"s{k}", w] <= max(100 - n, 0) for w, n in own.items())
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_some_cells_are_short_at_every_size(spark, scale):
+    from groundwork.plans import QUERIES
+
+    folder = f"/root/testdata/{scale}"
+    status = {r.risk_status for r in QUERIES["stockout_risk"](spark, folder).collect()}
+    assert status == {"OK", "CRITICAL_STOCKOUT"}
+    assert not QUERIES["relief_source"](spark, folder).isEmpty()
+
+
+def test_unknown_transit_is_not_the_quickest(spark):
+    edge = spark.createDataFrame(
+        [("a", "b", None, 1.0, 0.1), ("a", "b", 4.0, 9.0, 0.1), ("a", "c", 1.0, 1.0, 0.1), ("c", "d", None, 1.0, 0.1), ("b", "d", 3.0, 1.0, 0.1)],
+        "src string, dst string, transit_days double, cost double, risk double",
+    )
+    found = {r.id: r.transit_days for r in graph.path_totals(edge, starts(spark, "a"), 2).collect()}
+    assert found == {"b": 4.0, "c": 1.0, "d": 7.0}
+
+
 def test_chart_colours_repeat(spark):
     df = spark.createDataFrame([(f"l{i:02d}", i) for i in range(30)], "label string, n int")
     dataset = charts.chart_dataset(df, "label", F.sum("n"), max_labels=25).orderBy("position").collect()
-    assert [r.label for r in dataset[:2]] == ["l29", "l28"] and len(dataset) == 25
+    assert [r.label for r in dataset[:2]] == ["l29", "l28"] and len(dataset) == 26
+    assert (dataset[25].label, dataset[25].value) == ("(others)", sum(range(5)))
+    every = charts.chart_dataset(df, "label", F.sum("n")).collect()
+    assert sorted(r.position for r in every) == list(range(1, 31))
+    line = charts.chart_dataset(df, "label", F.sum("n"), kind="line").orderBy("position").collect()
+    assert [r.label for r in line] == [f"l{i:02d}" for i in range(30)]
+    with pytest.raises(ValueError):
+        charts.chart_dataset(df, "label", F.sum("n"), kind="bubble")
     assert dataset[20].colour == dataset[0].colour == charts.PALETTE[0]
     with pytest.raises(ValueError):
         charts.chart_dataset(df, "label", F.sum("n"), kind="sankey")

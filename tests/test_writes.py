@@ -178,3 +178,21 @@ def test_contract(spark):
     df = df.withColumn("metadata", F.struct(F.col("c").alias("confidence"), F.col("l").alias("latencyMs")))
     broken = {r.rule for r in quality.contract_violations(df).collect() if r.n_violations}
     assert broken == {"agentName present", "deploymentTarget known", "confidence in [0, 1]", "latencyMs not negative"}
+
+
+def test_a_source_with_a_key_twice_fails(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, v string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "k int, v string")
+    for change in (lambda: upsert.merge_into(target, twice, ["k"], ["v"]), lambda: upsert.patch(target, twice, "k")):
+        with pytest.raises(Exception, match="more than once"):
+            change().collect()
+    unknown = spark.createDataFrame([(None, "b"), (None, "c")], "k int, v string")
+    assert upsert.merge_into(target, unknown, ["k"], ["v"]).count() == 3
+
+
+def test_a_hot_parent_key_counts_once(spark, plan):
+    child = spark.createDataFrame([(1,), (3,)], "ref int")
+    parent = spark.createDataFrame([(1,)] * 500 + [(2,)], "id int")
+    orphans = quality.fk_orphans(child, "ref", parent, "id")
+    assert [tuple(r) for r in orphans.collect()] == [(3, 1)]
+    assert plan(orphans).count("HashAggregate") >= 4
