@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from groundwork.errors import ColumnNotFound, UnsupportedColumnType
 from groundwork.functions.similarity import jaro_winkler_pinned
+from groundwork.sources.scratch import checkpointed
 
 EXACT = "exact"
 REGEX = "regex"
@@ -56,7 +57,8 @@ def distinct_values(
     """Distinct non-NULL values as (value), narrowed by a pattern.
 
     A blank pattern is no pattern. A pattern with a missing or unknown match type is fuzzy.
-    A pattern that matches nothing returns every value, decided inside the same plan.
+    A pattern that matches nothing returns every value. With a pattern the table is read once: its
+    distinct values and whether each matches are written to the checkpoint folder.
     """
     values = _distinct(df, column)
     if pattern is None or not pattern.strip():
@@ -65,14 +67,14 @@ def distinct_values(
     text = F.col("value").cast("string")
     if kind == EXACT:
         # A pattern that is no value of the column's type equals nothing.
-        matched = values.where(F.col("value") == F.lit(pattern).try_cast(column_type(df, column)))
+        hit = F.col("value") == F.lit(pattern).try_cast(column_type(df, column))
     elif kind == REGEX:
-        matched = values.where(text.rlike(_valid_regex(df, "(?i)" + pattern)))
+        hit = text.rlike(_valid_regex(df, "(?i)" + pattern))
     else:
         # The score is pinned above the distinct: one evaluation per value, not per row.
-        score = jaro_winkler_pinned(text, F.lit(pattern))
-        matched = values.withColumn("score", score).where(F.col("score") * 100 >= threshold).select("value")
-    return matched.unionByName(values.where(~matched.exists()))
+        hit = jaro_winkler_pinned(text, F.lit(pattern)) * 100 >= threshold
+    judged = checkpointed(values.withColumn("hit", F.coalesce(hit, F.lit(False))))
+    return judged.where(F.col("hit") | ~judged.where("hit").exists()).select("value")
 
 
 def truncate_values(values: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -111,8 +113,9 @@ def diagnose_empty(df: DataFrame, predicates: Sequence[tuple[str, object]], k: i
     """Why a query returned nothing: (column_name, finding, rank, value, score).
 
     ``predicates`` are the (column, searched value) pairs of the query. A numeric or temporal
-    column reports its ``min`` and ``max``; any other reports the ``k`` nearest values by
-    Jaro-Winkler, best first.
+    column reports its ``min`` and ``max``, and as ``outside`` a searched value beyond them; any
+    other reports the ``k`` nearest values by Jaro-Winkler, best first. The table is read once for
+    the bounds and once for all distinct values.
     """
     ranged, named = [], []
     for column, searched in predicates:
@@ -131,7 +134,14 @@ def diagnose_empty(df: DataFrame, predicates: Sequence[tuple[str, object]], k: i
                 bound(agg, column).alias(f"{finding}_{i}")
                 for i, (column, _) in enumerate(ranged)
                 for finding, agg in (("min", F.min), ("max", F.max))
-            ]
+            ],
+            *[
+                (
+                    (F.min(df[column]) > F.lit(searched).try_cast(column_type(df, column)))
+                    | (F.max(df[column]) < F.lit(searched).try_cast(column_type(df, column)))
+                ).alias(f"outside_{i}")
+                for i, (column, searched) in enumerate(ranged)
+            ],
         )
         rows = F.array(
             *[
@@ -139,18 +149,24 @@ def diagnose_empty(df: DataFrame, predicates: Sequence[tuple[str, object]], k: i
                     F.lit(column).alias("column_name"),
                     F.lit(finding).alias("finding"),
                     F.lit(1).alias("rank"),
-                    F.col(f"{finding}_{i}").alias("value"),
+                    (F.lit(str(searched)) if finding == "outside" else F.col(f"{finding}_{i}")).alias("value"),
                     F.lit(None).cast("double").alias("score"),
+                    (F.col(f"outside_{i}") if finding == "outside" else F.lit(True)).alias("shown"),
                 )
-                for i, (column, _) in enumerate(ranged)
-                for finding in ("min", "max")
+                for i, (column, searched) in enumerate(ranged)
+                for finding in ("min", "max", "outside")
             ]
         )
-        parts.append(bounds.select(F.inline(rows)))
-    for column, searched in named:
-        scored = _distinct(df, column).select(
-            F.col("value").cast("string").alias("value"),
-            F.round(jaro_winkler_pinned(F.col("value").cast("string"), F.lit(str(searched))), 6).alias("score"),
+        parts.append(bounds.select(F.inline(rows)).where("shown").drop("shown"))
+    if named:
+        pairs = F.array(
+            *[F.struct(F.lit(i).alias("place"), df[column].cast("string").alias("value")) for i, (column, _) in enumerate(named)]
+        )
+        known = df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
+        known = checkpointed(known) if len(named) > 1 else known
+    for i, (column, searched) in enumerate(named):
+        scored = known.where(F.col("place") == i).select(
+            "value", F.round(jaro_winkler_pinned(F.col("value"), F.lit(str(searched))), 6).alias("score")
         )
         nearest = scored.orderBy(F.desc("score"), "value").limit(k)
         # k rows.

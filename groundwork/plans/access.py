@@ -38,7 +38,7 @@ DOCUMENT_COLUMNS = (("doc_id", "bigint"), ("text", "string"), ("lang", "string")
     ),
 )
 def table_schema(t: Tables) -> DataFrame:
-    return access.table_schema(t, "DOCUMENTS")
+    return access.table_schema(t, "DOCUMENTS", measure=True)
 
 
 @query("rag_stats", "SELECT count(*) AS total_documents FROM documents")
@@ -137,6 +137,12 @@ def _bound_sql(column: str, finding: str) -> str:
 @query(
     "diagnose_empty",
     "\nUNION ALL ".join(_bound_sql(c, f) for c in ("value", "ts") for f in ("min", "max"))
+    + "".join(
+        f"""
+UNION ALL SELECT '{c}', 'outside', 1, '{shown}', NULL FROM (SELECT min({c}) AS low, max({c}) AS high FROM events)
+WHERE low > {value} OR high < {value}"""
+        for c, shown, value in (("value", "1000000000.0", "1e9"), ("ts", "2031-01-01", "TIMESTAMP '2031-01-01'"))
+    )
     + """
 UNION ALL
 SELECT 'event_type', 'nearest', CAST(row_number() OVER (ORDER BY score DESC, value) AS INTEGER), value, score

@@ -71,12 +71,16 @@ def list_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     return listing
 
 
-def table_schema(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
-    """(column_name, data_type, data_length) in column order; the name is case-insensitive.
+def table_schema(tables: Mapping[str, DataFrame], name: str, measure: bool = False) -> DataFrame:
+    """(position, column_name, data_type, data_length); the name is case-insensitive.
 
-    Spark strings declare no width, so ``data_length`` is the widest value found.
+    Spark strings declare no width, so ``data_length`` is NULL unless ``measure`` asks for a scan
+    that finds the widest value of each column.
     """
     df = tables[name]
+    if not measure:
+        listed = [(i, f.name, f.dataType.simpleString(), None) for i, f in enumerate(df.schema.fields, 1)]
+        return df.sparkSession.createDataFrame(listed, "position int, column_name string, data_type string, data_length bigint")
     widths = df.agg(*[F.max(F.length(F.col(c).cast("string"))).alias(c) for c in df.columns])
     rows = F.array(
         *[

@@ -92,7 +92,19 @@ def test_diagnosis_of_an_empty_result(names, rows):
     by_finding = {(r.column_name, r.finding, r["rank"]): r.value for r in report}
     assert by_finding[("n", "min", 1)] == "0" and by_finding[("n", "max", 1)] == "100"
     assert by_finding[("word", "nearest", 1)] == "click"
-    assert len(report) == 4
+    assert by_finding[("n", "outside", 1)] == "5000"
+    assert len(report) == 5
+    inside = profiling.diagnose_empty(names, [("n", 50), ("word", "x"), ("word", "y")], k=1).collect()
+    assert sorted(r.finding for r in inside) == ["max", "min", "nearest", "nearest"]
+
+
+def test_patterns_read_the_table_once(spark, tmp_path, plan):
+    spark.createDataFrame([("alpha",), ("beta",)], "word string").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for kind in ("exact", "regex", "fuzzy"):
+        found = profiling.distinct_values(df, "word", "alpha", kind)
+        assert "FileScan" not in plan(found)  # read into the checkpoint already, once
+        assert {r.value for r in found.collect()} == {"alpha"}
 
 
 words = st.text(alphabet="abcdeé ", max_size=80)
