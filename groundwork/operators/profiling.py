@@ -60,9 +60,15 @@ def distinct_values(
     A pattern that matches nothing returns every value. With a pattern the table is read once: its
     distinct values and whether each matches are written to the checkpoint folder.
     """
-    values = _distinct(df, column)
     if pattern is None or not pattern.strip():
-        return values
+        return _distinct(df, column)
+    judged = checkpointed(judged_values(df, column, pattern, match_type, threshold))
+    return judged.where(F.col("hit") | ~judged.where("hit").exists()).select("value")
+
+
+def judged_values(df: DataFrame, column: str, pattern: str, match_type: str | None, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """(value, hit): the distinct non-NULL values and whether the pattern matches each."""
+    values = _distinct(df, column)
     kind = (match_type or "").strip().lower()
     text = F.col("value").cast("string")
     if kind == EXACT:
@@ -73,8 +79,7 @@ def distinct_values(
     else:
         # The score is pinned above the distinct: one evaluation per value, not per row.
         hit = jaro_winkler_pinned(text, F.lit(pattern)) * 100 >= threshold
-    judged = checkpointed(values.withColumn("hit", F.coalesce(hit, F.lit(False))))
-    return judged.where(F.col("hit") | ~judged.where("hit").exists()).select("value")
+    return values.withColumn("hit", F.coalesce(hit, F.lit(False)))
 
 
 def truncate_values(values: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:

@@ -48,7 +48,7 @@ def test_fuzzy_is_the_default(names, kind):
 
 
 def test_fuzzy_is_scored_once_per_value(names, plan):
-    text = plan(profiling.distinct_values(names, "word", "clck"))
+    text = plan(profiling.judged_values(names, "word", "clck", None))
     first = text.index("ArrowEvalPython")
     assert "HashAggregate" in text[first : text.index("Scan", first)]
 
