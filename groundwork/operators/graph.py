@@ -45,22 +45,20 @@ def khop(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(start, id, hops): every vertex within ``k`` hops of each start, by its shortest hop count.
 
     Breadth-first over frames: a vertex is expanded once per start, so cycles end. The links
-    and each hop's state are written to the shared checkpoint folder, which keeps the plan
-    short and lets a lost executor cost one hop at most.
+    and what each hop newly reaches are written to the shared checkpoint folder, once: that
+    keeps the plan short and lets a lost executor cost one hop at most.
     """
     links = checkpointed(edge.select("src", "dst").distinct())
     start = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
-    reached = checkpointed(start.select("start", F.col("start").alias("id"), F.lit(0).alias("hops")))
+    frontier = checkpointed(start.select("start", F.col("start").alias("id"), F.lit(0).alias("hops")))
+    reached = frontier
     for hop in range(1, k + 1):
-        frontier = reached.where(F.col("hops") == hop - 1)
+        onward = frontier.join(links, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        unseen = onward.join(reached.select("start", "id"), ["start", "id"], "left_anti")
+        frontier = checkpointed(unseen.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        onward = frontier.join(links, F.col("id") == F.col("src")).select(
-            "start", F.col("dst").alias("id"), F.lit(hop).alias("hops")
-        )
-        reached = checkpointed(
-            reached.unionByName(onward).groupBy("start", "id").agg(F.min("hops").alias("hops"))
-        )
+        reached = reached.unionByName(frontier)
     return reached
 
 
