@@ -85,7 +85,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
     schema = schema_with(docs, {"doc_id": "doc_id"}, "point long, n long, ids binary")
 
     def work(tables):
-        encoder = Encoder(vocabulary)
+        encoder = Encoder.of(vocabulary)
         vectors = directions(max(encoder.tokenizer.get_vocab_size(), end + 1))
         last = np.array([end], encoder.dtype).tobytes()
         for part in tables:

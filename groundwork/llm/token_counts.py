@@ -84,7 +84,7 @@ def count_tokens(
     fields = [f.name for f in schema.fields]
 
     def work(tables):
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         lengths = encoder.lengths()
         for part in tables:
             rows = []
