@@ -9,18 +9,22 @@ ones share. So no link is lost, whatever the hash does.
 
 Signatures meet packed (:mod:`exchange`); a set that shares fewer than ``filled - k`` of its
 signatures with anything drops them at once, which removes nearly all chance and boilerplate
-meetings before a row is written. Equal sets are one vertex from there on. Vertices of one
-signature are compared in a star first; connected components merge groups of near copies without
-forming their pairs, and only pairs across components that still share a signature are compared
-afterwards. A signature of more than ``HOT`` vertices counts only between sets which could be
-similar through such signatures alone. Every link is decided by intersecting the two sets.
+meetings before a row is written. Equal sets are one vertex from there on. Similar sets share
+``filled - k`` signatures and more, so each set lets go of all but one of that many, the most
+frequent ones: the rarest signature that two of them share is always kept by both.
+
+How many shingles of a set any other set has bounds every intersection it can have. That bound
+drops sets and pairs before sets travel. Vertices of one signature are compared in a star first;
+connected components merge groups of near copies without forming their pairs, and only pairs
+across components that still share a signature are compared afterwards. Every link is decided by
+intersecting the two sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -28,17 +32,16 @@ from groundwork.llm.arrow import schema_with
 from groundwork.llm.exchange import answers, ask, asked, buckets_of, chunked, heard, place
 from groundwork.llm.links import components
 from groundwork.llm.registry import query, table
-from groundwork.llm.storage import partitions, stored
+from groundwork.llm.storage import partitions, stored, with_summary
 from groundwork.llm.words import LOWER, U, Words, gram_hashes, mix, slices, texts_of, whole_hashes, within
-from groundwork.operators.joins import with_group_summary
 
 SHINGLE = 5
 #: Similar: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Expected shingles per part at a band's smallest size; it fills more than k parts nearly always.
 LOAD = 1.7
-HOT = 64
-ROUNDS = 3
+#: Rounds of stars before the pairs that are left are formed.
+ROUNDS = 2
 
 
 def bands(most: int) -> np.ndarray:
@@ -84,19 +87,16 @@ class Sets:
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.values = np.concatenate([*found, np.empty(0, U)])
 
-    def checks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit sums that tell sets apart."""
-        out = []
-        for seed in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179):
-            total = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.values ^ U(seed)), dtype=U)])
-            out.append(total[self.first[1:]] - total[self.first[:-1]])
-        return out[0], out[1]
+    def checks(self) -> np.ndarray:
+        """A 64-bit hash of each whole set."""
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(self.values ^ U(0x1F83D9ABFB41BD6B)), dtype=U)])
+        return mix(total[self.first[1:]] - total[self.first[:-1]] + mix(self.count.astype(U)))
 
     def signatures(self, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(signature, row, slack) for the band of each set (``below`` 0) or the band under it (1).
 
-        ``slack`` is how many signatures a set shares at least with any similar one; 0 where even
-        that is not certain, and then every shingle is a signature too.
+        ``slack`` is how many signatures a set shares at least with any similar one of that band
+        pair; 0 where even that is not certain, and then every shingle is a signature too.
         """
         n = self.count
         low = bands(int(n.max(initial=1)))
@@ -121,8 +121,14 @@ class Sets:
         owner = np.searchsorted(base, spot, "right") - 1
         name = band[owner].astype(U) << U(40) | (spot - base[owner]).astype(U)
         sigs = mix(content[spot] + mix(name))
-        slack = np.where(live, np.bincount(owner, minlength=len(n)) - k[band], 1 << 30)
-        weak = slack <= 0
+        # Every set has its own size to bound the differences; k is the band's worst case.
+        high = low[band] * 100 // PERCENT
+        other = n * 100 // PERCENT if not below else high
+        worst = np.minimum((n + other) * (100 - PERCENT) // (100 + PERCENT), k[band])
+        slack = np.where(live, np.bincount(owner, minlength=len(n)) - worst, 1 << 30)
+        # Both sets of a pair must be weak for it to need its shingles, so the band's k decides.
+        weak = live & (np.bincount(owner, minlength=len(n)) - k[band] <= 0)
+        slack = np.where(weak, 0, slack)
         more = weak[row]
         alone = mix(value[more] ^ mix(band[row[more]].astype(U) + U(0xBB67AE8584CAA73B)))
         return np.concatenate([sigs, alone]), np.concatenate([owner, row[more]]), np.maximum(slack, 0)
@@ -137,16 +143,16 @@ def _all_signatures(chunk: pa.Table, size: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, n, v, check, own, own_slack, under, under_slack, shingles) of every row, written once.
+    """(doc_id, n, v, met, own, own_slack, under, under_slack, shingles) of every row, written once.
 
-    ``own`` and ``under`` are the signatures worth comparing; without any, ``shingles`` is null.
-    ``v`` and ``check`` are two hashes of the whole set.
+    ``met`` tells whether there are signatures worth comparing: ``own`` and ``under``. They and the
+    ``shingles`` are given once for equal sets of a chunk. ``v`` is a hash of the whole set.
     """
     dealt, buckets = chunked(docs, id_column, text_column), buckets_of(docs)
     replies = answers(ask(dealt, lambda chunk: (_all_signatures(chunk, size), None), buckets))
     schema = schema_with(
         docs, {"doc_id": id_column},
-        "n long, v long, check long, own array<long>, own_slack int, under array<long>, under_slack int, shingles array<long>",
+        "n long, v long, met boolean, own array<long>, own_slack int, under array<long>, under_slack int, shingles array<long>",
     )
     arrow = to_arrow_schema(schema)
 
@@ -160,9 +166,9 @@ def shingle_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -
             return arrow.empty_table()
         places, _ = asked(_all_signatures(chunk, size), None, buckets)
         shared = heard(places, reply)
-        out = []
+        out, given = [], set()
         for part in slices(chunk, "text"):
-            sets, columns = Sets(part, size), []
+            sets, columns, both = Sets(part, size), [], []
             some = np.zeros(part.num_rows, bool)
             for below in (0, 1):
                 sigs, row, slack = sets.signatures(below)
@@ -170,13 +176,20 @@ def shingle_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -
                 sigs, row = sigs[order], row[order]
                 met = shared[np.searchsorted(places, place(sigs, buckets))] if len(sigs) else np.zeros(0, bool)
                 enough = np.bincount(row[met], minlength=part.num_rows) >= np.maximum(slack, 1)
-                met &= enough[row]
+                both.append((sigs, row, slack, met & enough[row]))
                 some |= enough
+            whole = sets.checks()
+            first = some.copy()
+            for r in np.flatnonzero(some).tolist():
+                first[r] = whole[r] not in given
+                given.add(whole[r])
+            for sigs, row, slack, met in both:
+                met &= first[row]
                 columns += [lists(sigs[met], row[met], part.num_rows), pa.array(np.minimum(slack, 1 << 30).astype(np.int32))]
             row = np.repeat(np.arange(part.num_rows), sets.count)
-            used = some[row]
-            a, b = (pa.array(c.view(np.int64)) for c in sets.checks())
-            columns = [part["doc_id"].combine_chunks(), pa.array(sets.count), a, b, *columns, lists(sets.values[used], row[used], part.num_rows, True)]
+            used = first[row]
+            names = pa.array(whole.view(np.int64))
+            columns = [part["doc_id"].combine_chunks(), pa.array(sets.count), names, pa.array(some), *columns, lists(sets.values[used], row[used], part.num_rows, True)]
             out.append(pa.table([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow))
         return pa.concat_tables(out)
 
@@ -190,7 +203,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     the set of ``a``.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    dealt = with_group_summary(pairs, counts, "a", "n")
+    dealt = with_summary(pairs, counts, "a", "n")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("b"), F.floor(F.col("n") / 1024) + 1)).select("a", "b", "salt")
     one = sets.select(F.col("v").alias("b"), "shingles")
     others = dealt.join(one, "b").select("a", "salt", "b", "shingles")
@@ -219,70 +232,112 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _in_order(x, y):
-    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+def vertices(met: DataFrame) -> DataFrame:
+    """(v, n, common, shingles, own, own_slack, under, under_slack) of the distinct sets, written once.
+
+    ``common`` counts the shingles that another of the sets has too: no intersection is larger.
+    Sets in which that is under 75 % are similar to none and left out.
+    """
+    buckets = buckets_of(met)
+    chunk = F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int").alias("chunk")
+    signed = ("own", "own_slack", "under", "under_slack")
+    dealt = met.select("v", "n", "shingles", *signed, chunk).repartition(partitions(met), "chunk")
+    schema = schema_with(met, {c: c for c in ("v", "n", "shingles", *signed)}, "common long")
+    arrow = to_arrow_schema(schema)
+
+    def distinct(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        _, rows = np.unique(table["v"].to_numpy(), return_index=True)
+        table = table.take(pa.array(rows)).combine_chunks()
+        lists = table["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        return table, lists.flatten().to_numpy().view(U), np.diff(lists.offsets.to_numpy())
+
+    def shingles(table: pa.Table) -> tuple[np.ndarray, None]:
+        return distinct(table)[1], None
+
+    replies = answers(ask(dealt, shingles, buckets))
+
+    def count(table: pa.Table, reply: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return arrow.empty_table()
+        table, values, sizes = distinct(table)
+        places, _ = asked(values, None, buckets)
+        shared = heard(places, reply)[np.searchsorted(places, place(values, buckets))]
+        total = np.concatenate([[0], np.cumsum(shared)])
+        ends = np.cumsum(sizes)
+        common = total[ends] - total[ends - sizes]
+        out = table.drop_columns(["chunk"]).append_column("common", pa.array(common)).select(arrow.names)
+        return out.filter(pa.array(100 * common >= PERCENT * sizes)).cast(arrow)
+
+    return stored(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(count, schema), "sets")
+
+
+def _possible(n, common, m, shared):
+    """Whether sets of these sizes and bounds can be similar: 100 * least >= 75 * (n + m - least)."""
+    return (100 + PERCENT) * F.least(common, shared, n, m) >= PERCENT * (n + m)
 
 
 def similarity_components(sets: DataFrame) -> DataFrame:
-    """(v, c) of the vertices that have links, from the table of :func:`shingle_sets`."""
+    """(v, c) of the vertices that may have links, from the table of :func:`shingle_sets`."""
     met = sets.where("shingles IS NOT NULL")
-    signed = met.select("v", F.explode("own").alias("sig"), F.lit(0).alias("side"), F.col("own_slack").alias("slack")).unionByName(
-        met.select("v", F.explode("under").alias("sig"), F.lit(1).alias("side"), F.col("under_slack").alias("slack"))
+    one = vertices(met)
+    sizes = one.select("v", "n", "common")
+    signed = one.select("v", "n", "common", F.explode("own").alias("sig"), F.lit(0).alias("side"), F.col("own_slack").alias("slack"))
+    signed = signed.unionByName(
+        one.select("v", "n", "common", F.explode("under").alias("sig"), F.lit(1).alias("side"), F.col("under_slack").alias("slack"))
     )
-    signed = stored(signed.groupBy("sig", "v").agg(F.first("side").alias("side"), F.first("slack").alias("slack")), "signatures")
-    one = stored(met.select("v", "shingles").dropDuplicates(["v"]), "sets")
-    spread = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high")
-    live = stored(with_group_summary(signed, spread.select("sig", "n"), "sig", "n"), "signatures")
-    hot = F.col("n") > HOT
-    # A set with a signature to spare beside the hot ones meets its like in another one.
-    only_hot = live.groupBy("v", "side").agg(F.count_if(hot).alias("hot"), F.max("slack").alias("slack"))
-    only_hot = only_hot.where("hot >= slack AND hot > 0").select("v", "side")
-    rows = live.where(~hot).unionByName(live.where(hot).join(only_hot, ["v", "side"], "left_semi").select(*live.columns))
-    rows = stored(rows.select("sig", "v"), "signatures")
-    tried, links = None, None
-    own = one.select("v", F.col("v").alias("c"))
+    spread = signed.groupBy("sig").agg(F.count("*").alias("times"), F.min("v").alias("low"), F.max("v").alias("high"), F.min("n").alias("least"))
+    spread = spread.where("low <> high").select("sig", "times", "least")
+    live = with_summary(signed, spread, "sig", "times")
+    # The most frequent of the signatures that similar sets share go, all but one of that many.
+    frequent = Window.partitionBy("v", "side").orderBy(F.desc("times"), "sig")
+    live = live.withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= F.col("slack"))
+    rows = stored(live.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("least"))).select("sig", "v"), "signatures")
+    tried, links, own = None, None, sizes.withColumn("c", F.col("v"))
     for turn in range(ROUNDS):
-        pairs = stored(_stars(rows, own, turn), "pairs")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = _stars(rows, own, turn)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         found = stored(verified(pairs, one), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        tried = stored(tried, "tried")
         links = found if links is None else links.unionByName(found)
-        own = _labelled(one, components(links))
-        open_rows = _open(rows, own)
-        if open_rows.isEmpty():
-            return own
-        rows = stored(open_rows, "signatures")
-        if rows.groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > HOT).isEmpty():
-            break
-    # What is left: pairs across components that share a signature.
+        own = _labelled(sizes, components(links))
+        rows = stored(_open(rows, own), "signatures")
+        if rows.isEmpty():
+            return own.select("v", "c")
+    # What is left: possible pairs across components that share a signature.
     left = rows.join(own, "v")
-    right = left.select("sig", F.col("v").alias("w"), F.col("c").alias("d"))
-    pairs = left.join(right, "sig").where("v < w AND c <> d").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
-    found = stored(verified(stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), one), "links")
-    return _labelled(one, components(links.unionByName(found)))
+    right = left.select("sig", F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("common").alias("shared"))
+    possible = _possible(F.col("n"), F.col("common"), F.col("m"), F.col("shared"))
+    pairs = left.join(right, (left["sig"] == right["sig"]) & (F.col("v") < F.col("w")) & (F.col("c") != F.col("d")) & possible)
+    pairs = pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    found = stored(verified(stored(pairs, "pairs"), one), "links")
+    return _labelled(sizes, components(links.unionByName(found))).select("v", "c")
 
 
 def _stars(rows: DataFrame, own: DataFrame, turn: int) -> DataFrame:
-    """Pairs of a centre per signature with its vertices of other components."""
-    order = F.struct(F.xxhash64(F.lit(turn), "v").alias("o"), F.col("v"), F.col("c"))
+    """Possible pairs of a centre per signature with its vertices of other components.
+
+    The first centre is the set with the fewest shingles of its own, then chance decides.
+    """
     known = rows.join(own, "v")
-    centre = known.groupBy("sig").agg(F.min(order).alias("x"), F.count("*").alias("n")).select("sig", "n", F.col("x.v").alias("u"), F.col("x.c").alias("d"))
-    met = with_group_summary(known, centre, "sig", "n").where("c <> d")
-    return met.select(*_in_order(F.col("u"), F.col("v"))).distinct()
+    rank = F.col("common") - F.col("n") if turn == 0 else F.lit(0)
+    order = F.struct((-rank).alias("r"), F.xxhash64(F.lit(turn), "v").alias("o"), "v", "c", "n", "common")
+    centre = known.groupBy("sig").agg(F.min(order).alias("x"), F.count("*").alias("times"))
+    centre = centre.select("sig", "times", *(F.col(f"x.{c}").alias(f"its_{c}") for c in ("v", "c", "n", "common")))
+    met = with_summary(known, centre, "sig", "times").where(F.col("c") != F.col("its_c"))
+    met = met.where(_possible(F.col("n"), F.col("common"), F.col("its_n"), F.col("its_common")))
+    return met.select(F.least("its_v", "v").alias("a"), F.greatest("its_v", "v").alias("b")).distinct()
 
 
 def _open(rows: DataFrame, own: DataFrame) -> DataFrame:
     """Rows of the signatures that still span several components."""
     known = rows.join(own, "v")
-    spans = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high")
-    return with_group_summary(rows, spans.select("sig", "n"), "sig", "n").select("sig", "v")
+    spans = known.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("times")).where("low <> high")
+    return with_summary(rows, spans.select("sig", "times"), "sig", "times").select("sig", "v")
 
 
-def _labelled(one: DataFrame, found: DataFrame) -> DataFrame:
-    labels = one.select("v").join(found, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
-    return stored(labels, "labels")
+def _labelled(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    return stored(sizes.join(found, "v", "left").withColumn("c", F.coalesce("c", "v")), "labels")
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -297,13 +352,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id_column: str = "d
     """
     sets = shingle_sets(docs, size, id_column, text_column)
     labels = similarity_components(sets)
-    narrow = sets.select("doc_id", "n", "v", "shingles")
-    met = stored(
-        narrow.where("shingles IS NOT NULL").select("doc_id", "n", "v").join(labels, "v").select("doc_id", "n", "c"), "members"
-    )
+    narrow = sets.select("doc_id", "n", "v", "met")
+    # A set that is similar to no other is still the set of all its copies.
+    met = narrow.where("met").join(labels, "v", "left").select("doc_id", "n", F.coalesce("c", "v").alias("c"))
+    met = stored(met, "members")
     least = stored(met.groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
     joined = met.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    rest = narrow.where("shingles IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    rest = narrow.where("NOT met").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.unionByName(rest)
 
 

@@ -18,6 +18,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Summaries of up to this many groups are broadcast. A group with more than one part in this many
+#: of all rows is heavy, so there are never more heavy groups than that either.
+HEAVY = 10_000
+
+
+def with_summary(df: DataFrame, summary: DataFrame, key: str, rows: str) -> DataFrame:
+    """``df`` inner-joined with one ``summary`` row per ``key``; ``rows`` counts the group's rows.
+
+    The summary is written once. Heavy groups join by broadcast, so their rows never meet in one
+    task; the others, all small, by shuffle.
+    """
+    summary = stored(summary, "summary")
+    size = summary.agg(F.count("*").alias("groups"), F.sum(rows).alias("rows")).first()
+    if size["groups"] <= HEAVY:
+        return df.join(F.broadcast(summary), key)
+    is_heavy = F.col(rows) * HEAVY > size["rows"]
+    heavy = F.broadcast(summary.where(is_heavy))
+    rest = df.join(heavy.select(key), key, "left_anti").join(summary.where(~is_heavy), key)
+    return df.join(heavy, key).unionByName(rest)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -69,7 +69,7 @@ def test_components_match_all_pairs(frame):
 
 
 def test_large_groups_and_boilerplate(frame, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "HOT", 4)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
     line = prose(1, 9, 5000)
     rows = [(i, f"{line} {prose(100 + i, 15 + i % 30, 5000)}") for i in range(120)]
     text = prose(2, 150, 5000)
