@@ -292,7 +292,9 @@ def similarity_components(sets: DataFrame) -> DataFrame:
     # The most frequent of the signatures that similar sets share go, all but one of that many.
     frequent = Window.partitionBy("v", "side").orderBy(F.desc("times"), "sig")
     live = live.withColumn("place", F.row_number().over(frequent)).where(F.col("place") >= F.col("slack"))
-    rows = stored(live.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("least"))).select("sig", "v"), "signatures")
+    # The best partner a signature can offer has as many shingles as may be common, or the fewest there are.
+    best = F.greatest("least", "common")
+    rows = stored(live.where(_possible(F.col("n"), F.col("common"), best, best)).select("sig", "v"), "signatures")
     tried, links, own = None, None, sizes.withColumn("c", F.col("v"))
     for turn in range(ROUNDS):
         pairs = _stars(rows, own, turn)

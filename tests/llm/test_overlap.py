@@ -79,6 +79,19 @@ def test_large_groups_and_boilerplate(frame, monkeypatch):
     assert found(jaccard_components(frame(rows))) == linked(rows)
 
 
+def test_links_across_a_band_edge_beside_shorter_variants(frame):
+    rows = []
+    for group in range(6):
+        whole = prose(40 + group, 164, 5000).split()
+        own = whole[:142]
+        # Sets of 160, 138 and 117 shingles: the first is linked with the second only.
+        variants = [own[:p] + own[p + 21 :] for p in range(0, 120, 4)]
+        rows += [(1000 * group + i, " ".join(w)) for i, w in enumerate([own, *variants, whole])]
+    want = linked(rows)
+    assert {c for _, _, c in want} == {1000 * group for group in range(6)}
+    assert found(jaccard_components(frame(rows))) == want
+
+
 def test_long_text_and_empty_table(frame):
     long = prose(5, 120_000, 50_000)
     rows = [(2, long), (1, long + " tail"), (3, prose(6, 100))]
