@@ -180,6 +180,19 @@ def test_templates_find_reparameterised_items(frame, spark):
     assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 4, 5, 6, 7, 9]
 
 
+def test_shifted_copies_are_read_together(frame, spark):
+    whole = prose(11, 39, 5000).split()
+    shifted = " ".join([*whole[:13], "extra", *whole[13:26], "more", *whole[26:]])
+    ask = "When Ann counts the coins in her box she finds {} of them and gives {} to {} before they leave the market"
+    items = spark.createDataFrame([(1, " ".join(whole)), (2, ask.format(12, 7, "Bob"))], "item_id long, text string")
+    noise = prose(12, 60, 5000)
+    rows = [(1, f"{noise} {shifted} {noise}"), (2, f"{noise} {ask.format('1,250', '2.5', 'Mary Jane')} {noise}"), (3, noise)]
+    found = {(r.doc_id, r.item_id): r for r in contamination(frame(rows), items).collect()}
+    assert set(found) == {(1, 1), (2, 2)}
+    assert found[1, 1].covered == found[1, 1].exact == 39
+    assert found[2, 2].covered == found[2, 2].n_words
+
+
 def test_leaked_items_of_the_given_tables(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
 
