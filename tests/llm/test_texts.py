@@ -193,6 +193,20 @@ def test_shifted_copies_are_read_together(frame, spark):
     assert found[2, 2].covered == found[2, 2].n_words
 
 
+def test_dense_slots_clashes_and_short_items(frame, spark):
+    ask = "the farmer sold {} old sheep and {} young goats then bought {} brown hens for the empty barn"
+    dense = "in the town market hall we met Ann, 3, Bob, 4, Carl, 5, Dora, 6, Emil, 7, Fay, 8, Gus, 9"
+    other = "in the town market hall we met Hal, 13, Ida, 14, Jon, 15, Kim, 16, Lea, 17, Max, 18, Ned, 19"
+    items = spark.createDataFrame([(1, ask.format(3, 5, 3)), (2, dense), (3, "blue moon tide")], "item_id long, text string")
+    noise = prose(13, 60, 5000)
+    rows = [
+        (1, f"{noise} {ask.format(4, 4, 4)} {noise}"), (2, f"{noise} {ask.format(4, 6, 7)} {noise}"), (3, f"{noise} {other} {noise}"),
+        (4, f"{noise} Blue moon, tide {noise}"), (5, f"{noise} blue tide moon"), (6, f"{noise} Hal, 13, Ida, 14, Jon, 15, Kim, 16, Lea, 17, Max, 18 {noise}"),
+    ]
+    for block in (2_000_000, 7):
+        assert {(r.doc_id, r.item_id) for r in contamination(frame(rows), items, block=block).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_leaked_items_of_the_given_tables(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
 
