@@ -2,7 +2,7 @@
 
 The tokenizer's pattern never joins a space to what stands before it, so a text may be cut before
 every space that follows something other than white space, and the pieces encoded one by one give
-the ids of the whole text. A Python worker encodes each distinct piece once. Pieces of plain Latin
+the ids of the whole text. Texts that hold an added token are not cut. A Python worker encodes each distinct piece once. Pieces of plain Latin
 characters go through the rank form of the same vocabulary, which is faster and gives the same ids;
 all others, and vocabularies whose merges are not ranks, through the tokenizer itself. The
 vocabulary file is named by its path, which must exist on every executor.
@@ -82,7 +82,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        # Texts that hold one of these go through the tokenizer whole.
+        self.added = {t.content: n for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.holds = re.compile("|".join(map(re.escape, self.added))).search if self.added else lambda text: None
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.fast = None
@@ -109,6 +111,8 @@ class Encoder:
         """All ids of ``text``, without special tokens."""
         if not text:
             return b""
+        if self.holds(text):
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         pieces = _CUT.split(text) if _AFTER_SPACE.search(text) else text.split(" ")
         return self.encode(pieces[0]) + b"".join(map(self.known.__getitem__, pieces[1:]))
 
@@ -116,5 +120,5 @@ class Encoder:
         """Bytes of each id: a byte-level vocabulary writes every byte as one character."""
         out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, number in self.tokenizer.get_vocab().items():
-            out[number] = len(token)
+            out[number] = len(token.encode()) if token in self.added else len(token)
         return out

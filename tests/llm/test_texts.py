@@ -75,6 +75,17 @@ def test_pieces_give_the_ids_of_the_whole(encoder):
         assert encoder.lengths()[whole].sum() == len(text.encode())
 
 
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer(encoder):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(default_vocabulary())
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "don't<|endoftext|><|endoftext|>  é stop", "a <|endoftext| > b"]
+    for text in texts:
+        ids = np.frombuffer(encoder.ids(text), encoder.dtype).tolist()
+        assert ids == fresh.encode(text, add_special_tokens=False).ids
+        assert encoder.lengths()[ids].sum() == len(text.encode())
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = hilbert_keys(cells, 3)
