@@ -7,6 +7,7 @@ from groundwork.llm import (  # noqa: F401
     licenses,
     line_dedup,
     packing,
+    quality_rules,
     sharding,
     substring_dedup,
     token_counts,
