@@ -1,6 +1,7 @@
 """All registered queries of this subpackage."""
 
 from groundwork.llm import (  # noqa: F401
+    clustering,
     decontamination,
     exact_dedup,
     jaccard_join,
