@@ -2,6 +2,7 @@
 
 from groundwork.llm import (  # noqa: F401
     clustering,
+    conversations,
     decontamination,
     exact_dedup,
     jaccard_join,
