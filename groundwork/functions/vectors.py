@@ -62,8 +62,9 @@ class Nearest:
     query's k-th best are dropped by one comparison.
     """
 
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool):
-        self.query_ids, self.queries = query_ids, queries
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, metric: str, skip_self: bool, distinct: bool = False):
+        # ``distinct``: an id may be shown several times, in different blocks, and is kept once.
+        self.query_ids, self.queries, self.distinct = query_ids, queries, distinct
         self.k, self.metric, self.skip_self = k, metric, skip_self
         self.limit = np.full(len(queries), np.inf)
         self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -86,6 +87,9 @@ class Nearest:
         if query in self.found:
             ids = np.concatenate([self.found[query][0], ids])
             scores = np.concatenate([self.found[query][1], scores])
+            if self.distinct:
+                ids, first = np.unique(ids, return_index=True)
+                scores = scores[first]
         best = nearest(ids, scores, self.k)
         self.found[query] = ids[best], scores[best]
         if len(best) == self.k:
@@ -135,7 +139,7 @@ def scan_cells(
             askers.setdefault(cell, []).append(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Nearest(query_ids, queries, k, metric, skip_self)
+        best = Nearest(query_ids, queries, k, metric, skip_self, distinct=True)
         for batch in batches:
             if batch.num_rows == 0:
                 continue

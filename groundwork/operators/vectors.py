@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from groundwork.errors import DimensionMismatch
 from groundwork.functions import vectors as kernels
 from groundwork.functions.vectors import COSINE, DOT, METRICS
+from groundwork.sources.scratch import checkpointed
 
 # A query set is broadcast up to this many rows and scored block against block beyond it.
 MAX_BROADCAST_QUERIES = 4096
@@ -103,9 +104,23 @@ def _bounded(asked: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     return ids, np.array([row.embedding for row in head], dtype=np.float64)
 
 
-def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, skip_self: bool) -> DataFrame:
+def distinct_hits(found: DataFrame) -> DataFrame:
+    """(query_id, id, distance) with one row for an id that several cells hold."""
+    return found.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+
+
+def checkpointed_queries(df: DataFrame) -> DataFrame:
+    """(query_id, embedding) of (id, embedding) rows, computed once."""
+    return checkpointed(df.select(F.col("id").alias("query_id"), "embedding"))
+
+
+def _blocked_topk(
+    corpus: DataFrame, queries: DataFrame, k: int, metric: str, skip_self: bool, twice: bool = False
+) -> DataFrame:
     """Top-k of (id, embedding, cell) for (query_id, embedding, cell), matched on cell.
 
+    ``twice`` says that an id may lie in several cells.
+
     Each cell is cut into corpus and query blocks of bounded size and one task meets one pair
     of blocks, so a cell holding a third of all rows only becomes more tasks. A task returns
     k rows per query, not its pairs.
@@ -146,7 +161,7 @@ def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, sk
         return best.table()
 
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, FOUND)
-    return _keep_best(found, k)
+    return _keep_best(distinct_hits(found) if twice else found, k)
 
 
 def build_ivf(

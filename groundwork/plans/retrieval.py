@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.operators import retrieval, vectors
+from groundwork.operators.graph_index import GraphIndex, build_graph
+from groundwork.operators.vector_index import VectorIndex, build
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
-from groundwork.sources.scratch import checkpointed, scratch_dir
+from groundwork.sources.scratch import checkpoint_root, checkpointed, file_states, list_names
 from groundwork.sources.tables import Tables
 
 # The index grows with the square root of the corpus from this many cells.
 LEAST_CELLS = 16
-# Fixed value: the share of exact neighbours the index is asked to find.
-TARGET_ACCURACY = 0.95
+# Share of exact neighbours that held-out rows must find: above the fixed 0.95 asked of the index, since
+# other queries find a little less or more.
+TARGET_ACCURACY = 0.97
 
 
 def _query_vector(t: Tables, vec_id: int) -> list[float]:
@@ -74,26 +78,64 @@ def vector_topk_batch(t: Tables) -> DataFrame:
     return _rounded(vectors.vector_topk_batch(domain.vectors(t), domain.topic_vectors(t), 5))
 
 
-def _search_index(t: Tables, topics: DataFrame) -> DataFrame:
-    """Build the index, let the topics themselves set the number of probes, and search."""
-    rows = t["embeddings"].count()
-    cells = min(max(LEAST_CELLS, math.isqrt(rows)), vectors.MAX_CELLS)
-    path = vectors.build_ivf(domain.vectors(t), scratch_dir(t.spark, "ivf"), cells=cells)
-    nprobe = vectors.probes_for(t.spark, path, topics, 5, TARGET_ACCURACY)
-    return vectors.ivf_topk(t.spark, path, topics, 5, nprobe)
+def _folder(t: Tables, kind: str) -> str:
+    """A shared folder named after the files of the vectors, their sizes and times."""
+    files = "|".join(sorted(f"{f}:{size}:{time}" for f, size, time in file_states(t.spark, t.path("embeddings"))))
+    return f"{checkpoint_root(t.spark)}/groundwork/{kind}-{hashlib.sha256(files.encode()).hexdigest()[:24]}"
+
+
+def _index(t: Tables) -> VectorIndex:
+    """The index of the vectors, built the first time and found again by every later query of these files."""
+    rows = domain.vectors(t)
+    index = VectorIndex(t.spark, _folder(t, "cells"))
+    if not index.exists():
+        cells = min(max(LEAST_CELLS, math.isqrt(rows.count())), vectors.MAX_CELLS)
+        build(rows, index.folder, cells=cells)
+    if index.nprobe() is None:
+        index.calibrate(5, TARGET_ACCURACY)
+    return index
 
 
 @query("vector_ivf_topk")
 def vector_ivf_topk(t: Tables) -> DataFrame:
     """Nearest chunks of every label's mean vector, from the index's nearest cells only."""
-    return _rounded(_search_index(t, checkpointed(domain.topic_vectors(t))))
+    return _rounded(_index(t).search(domain.topic_vectors(t), 5))
+
+
+@query(
+    "vector_index_all_cells",
+    with_views(
+        domain.TOPICS,
+        domain.scores_sql(),
+        select="SELECT query_id, id, round(distance, 6) AS distance, rank FROM near",
+    ),
+)
+def vector_index_all_cells(t: Tables) -> DataFrame:
+    """The same search with every cell probed: exact."""
+    index = _index(t)
+    return _rounded(index.search(domain.topic_vectors(t), 5, nprobe=len(index.centers())))
 
 
 @query("ivf_recall")
 def ivf_recall(t: Tables) -> DataFrame:
-    """Share of the exact top 5 of every label's mean vector that the index finds."""
+    """Share of the exact top 5 that the index finds for queries it was never set by: every label's mean vector."""
+    topics = checkpointed(domain.topic_vectors(t))
+    return vectors.recall(_index(t).search(topics, 5), vectors.vector_topk_batch(domain.vectors(t), topics, 5))
+
+
+def _graph(t: Tables) -> GraphIndex:
+    """The neighbour graph of the vectors, built the first time and found again by every later query of these files."""
+    folder = _folder(t, "graph")
+    if not list_names(t.spark, f"{folder}/_SUCCESS"):
+        build_graph(domain.vectors(t), folder)
+    return GraphIndex(t.spark, folder)
+
+
+@query("graph_index_recall")
+def graph_index_recall(t: Tables) -> DataFrame:
+    """Share of the exact top 5 of every label's mean vector that a walk on the neighbour graphs finds."""
     topics = checkpointed(domain.topic_vectors(t))
-    return vectors.recall(_search_index(t, topics), vectors.vector_topk_batch(domain.vectors(t), topics, 5))
+    return vectors.recall(_graph(t).search(topics, 5), vectors.vector_topk_batch(domain.vectors(t), topics, 5))
 
 
 @query(

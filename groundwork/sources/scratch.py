@@ -56,3 +56,10 @@ def list_names(spark: SparkSession, pattern: str) -> list[str]:
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(path)
     return sorted(status.getPath().getName() for status in found or [])
+
+
+def file_states(spark: SparkSession, location: str) -> list[tuple[str, int, int]]:
+    """(path, bytes, modification time) of a file, or of the files of a directory."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
