@@ -497,6 +497,13 @@ def contents(t: Tables) -> DataFrame:
     return t["documents"].select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
 
 
+def rag_rows(t: Tables) -> DataFrame:
+    """(id, content, metadata, embedding): chunks with their metadata as JSON text, where a document has a vector."""
+    described = F.to_json(F.struct("lang", "source", F.struct(F.col("n_chars").alias("chars")).alias("size")))
+    texts = t["documents"].select(F.col("doc_id").alias("id"), F.col("text").alias("content"), described.alias("metadata"))
+    return texts.join(t["embeddings"].select(F.col("vec_id").alias("id"), "embedding"), "id")
+
+
 def vectors(t: Tables) -> DataFrame:
     return t["embeddings"].select(F.col("vec_id").alias("id"), "embedding", "label")
 

@@ -12,7 +12,7 @@ from groundwork.plans.writes import AS_OF, UPSERTED_SQL
 from groundwork.sources.scratch import is_directory, scratch_dir
 from groundwork.sources.tables import Tables
 from groundwork.sources.versions import publish, read_latest
-from groundwork.streaming import jobs
+from groundwork.streaming import jobs, traces
 
 
 @query(
@@ -219,6 +219,42 @@ def stream_logs(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{work}/out").select("event_id", "ts", "tag", "agent", "message")
 
 
+@query("stream_text_logs", with_views(domain.PARSED, select="SELECT tag, agent, message FROM parsed"))
+def stream_text_logs(t: Tables) -> DataFrame:
+    """Raw text files of log lines, followed as a stream."""
+    work = scratch_dir(t.spark, "stream-text")
+    domain.logs(t).select("line").write.text(f"{work}/in")
+    jobs.stream_logs(jobs.read_lines(t.spark, f"{work}/in"), "line", f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{work}/out").select("tag", "agent", "message")
+
+
+CONVERSATION_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
+
+
+@query(
+    "stream_traces",
+    """SELECT CAST(conv_id AS VARCHAR) AS execution_id,
+       CASE WHEN bool_or(role = 'system' AND length(text) > 400) THEN 'error'
+            WHEN arg_max(role = 'assistant' AND text <> '', turn) THEN 'completed' ELSE 'processing' END AS state,
+       count(*) AS n_steps, count(*) FILTER (WHERE role = 'assistant' AND text <> '') AS n_done, max(turn) AS last_step,
+       CASE WHEN arg_max(role = 'assistant' AND text <> '', turn) THEN arg_max(text, turn) END AS answer
+FROM conversations GROUP BY conv_id""",
+)
+def stream_traces(t: Tables) -> DataFrame:
+    """Conversations as executions followed live: assistant turns are results, long system turns failures."""
+    work = scratch_dir(t.spark, "stream-traces")
+    feed = _feed(t, "conversations", CONVERSATION_SCHEMA)
+    steps = feed.select(
+        F.col("conv_id").alias("execution_id"),
+        F.col("turn").alias("step"),
+        F.timestamp_seconds(F.col("turn")).alias("at"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("result"),
+        ((F.col("role") == "system") & (F.length("text") > 400)).alias("failed"),
+    )
+    traces.stream_traces(steps, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return traces.read_traces(t.spark, f"{work}/out")
+
+
 @query(
     "stream_agent_counts",
     """SELECT date_trunc('day', ts) AS window_start, user_id AS agent_id, count(*) AS invocations, max(ts) AS last_execution

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.operators import retrieval, vectors
+from groundwork.operators import metadata, retrieval, vectors
 from groundwork.operators.graph_index import GraphIndex, build_graph
 from groundwork.operators.vector_index import VectorIndex, build
 from groundwork.plans import domain
@@ -172,6 +172,33 @@ def chunk_documents(t: Tables) -> DataFrame:
     return retrieval.chunk_documents(t["documents"], "doc_id", "text")
 
 
+_MEANT = "lang = 'en' AND n_chars >= 500 AND source IN ('src0', 'src1', 'src2')"
+
+
+@query(
+    "metadata_topk",
+    f"""SELECT vec_id AS id,
+       round(-list_inner_product(CAST(embedding AS DOUBLE[]),
+             CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS distance
+FROM embeddings JOIN documents ON vec_id = doc_id WHERE {_MEANT} ORDER BY distance, id LIMIT 5""",
+)
+def metadata_topk(t: Tables) -> DataFrame:
+    """The nearest vectors among rows whose JSON metadata names a language, a least size and some sources."""
+    meant = {"$.lang": "en", "$.size.chars": (">=", 500), "$.source": ["src0", "src1", "src2"]}
+    rows = metadata.where_metadata(domain.rag_rows(t), meant)
+    return _rounded(vectors.vector_topk(rows, _query_vector(t, 0), 5))
+
+
+@query(
+    "metadata_facets",
+    """SELECT '$.lang' AS path, lang AS value, count(*) AS n_rows FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY lang
+UNION ALL
+SELECT '$.source', source, count(*) FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY source""",
+)
+def metadata_facets(t: Tables) -> DataFrame:
+    return metadata.facets(metadata.parsed(domain.rag_rows(t)), ["$.lang", "$.source"])
+
+
 LABELLED = "labelled AS (SELECT vec_id, embedding, quality FROM embeddings JOIN labels ON vec_id = doc_id)"
 
 

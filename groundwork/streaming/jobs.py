@@ -28,6 +28,20 @@ def read_feed(spark: SparkSession, in_dir: str, schema: str, files: str = "*.par
     )
 
 
+def read_lines(spark: SparkSession, in_dir: str, files: str = "*", per_batch: int = 1000) -> DataFrame:
+    """Raw log feed: the lines of text files as (line, file), as the files arrive.
+
+    Spark's own file source reads them, from any store it can reach, and its checkpoint says which files
+    a batch holds, so a replayed batch holds the same lines. A file must be complete when it appears.
+    """
+    return (
+        spark.readStream.option("pathGlobFilter", files)
+        .option("maxFilesPerTrigger", per_batch)
+        .text(in_dir)
+        .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    )
+
+
 def _started(writer, continuous: str | None) -> StreamingQuery:
     """Run until the present input is used up, or forever at a fixed interval."""
     return (writer.trigger(availableNow=True) if continuous is None else writer.trigger(processingTime=continuous)).start()
