@@ -34,11 +34,15 @@ def _fits_broadcast(df: DataFrame) -> bool:
 
 
 def _once(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``source``, which fails when it is read if a key without NULLs occurs twice."""
-    known = source.select(*keys).dropna()
-    twice = known.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """``source``, which fails when it is read if a key without NULLs occurs twice; read in one pass."""
+    rest = [c for c in source.columns if c not in keys]
+    # Rows without a full key are no duplicates of each other.
+    unknown = F.when(F.greatest(F.lit(False), *(F.col(k).isNull() for k in keys)), F.monotonically_increasing_id())
+    grouped = source.withColumn("__row", unknown).groupBy(*keys, "__row")
+    found = grouped.agg(F.first(F.struct(F.lit(0).alias("__none"), *rest)).alias("__rest"), F.count("*").alias("__n"))
     failure = F.raise_error(F.lit(f"the source holds a key ({', '.join(keys)}) more than once")).cast("boolean")
-    return source.where(F.when(twice.exists(), failure).otherwise(F.lit(True)))
+    single = found.where(F.when(F.col("__n") > 1, failure).otherwise(F.lit(True)))
+    return single.select(*[F.col(c) if c in keys else F.col(f"__rest.`{c}`").alias(c) for c in source.columns])
 
 
 def merge_into(
@@ -55,8 +59,8 @@ def merge_into(
     from the source stay. A source that holds a key twice fails the query: see
     :func:`latest_per_key`.
 
-    A source within the broadcast threshold leaves the target unshuffled; a larger one costs
-    a single full outer join.
+    A source within the broadcast threshold leaves the target unshuffled and reads its keys a second
+    time; a larger one costs a single full outer join.
     """
     defaults = dict(defaults or {})
     source = _once(source, keys)
@@ -92,14 +96,18 @@ def merge_into(
     return stored.alias("t").join(marked.alias("s"), on, "full_outer").select(*merged)
 
 
-def catalog_upsert(catalog: DataFrame, provisioned: DataFrame, as_of: Column) -> DataFrame:
-    """Provision agents: created_at is kept, updated_at is ``as_of``, every touched agent ACTIVE."""
+def provision(provisioned: DataFrame, as_of: Column) -> tuple[DataFrame, list[str], dict[str, Column]]:
+    """Source, updated columns and defaults of the merge that provisions agents at ``as_of``."""
     source = provisioned.withColumns({"status": F.lit(ACTIVE), "created_at": as_of, "updated_at": as_of})
     described = [c for c in provisioned.columns if c not in ("agent_id", "created_at")]
     update = list(dict.fromkeys([*described, "status", "updated_at"]))
-    return merge_into(
-        catalog, source, ["agent_id"], update, {"deployment_target": F.lit("HYBRID"), "status": F.lit(ACTIVE)}
-    )
+    return source, update, {"deployment_target": F.lit("HYBRID"), "status": F.lit(ACTIVE)}
+
+
+def catalog_upsert(catalog: DataFrame, provisioned: DataFrame, as_of: Column) -> DataFrame:
+    """Provision agents: created_at is kept, updated_at is ``as_of``, every touched agent ACTIVE."""
+    source, update, defaults = provision(provisioned, as_of)
+    return merge_into(catalog, source, ["agent_id"], update, defaults)
 
 
 def _flag_ids(df: DataFrame, key: str, ids: DataFrame | Sequence) -> tuple[DataFrame, Column]:

@@ -9,6 +9,7 @@ from groundwork.operators import telemetry
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
 from groundwork.plans.writes import AS_OF, UPSERTED_SQL
+from groundwork.sources import buckets
 from groundwork.sources.scratch import is_directory, scratch_dir
 from groundwork.sources.tables import Tables
 from groundwork.sources.versions import publish, read_latest
@@ -273,18 +274,32 @@ def stream_agent_counts(t: Tables) -> DataFrame:
 CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 
 
-@query("stream_upsert", UPSERTED_SQL)
-def stream_upsert(t: Tables) -> DataFrame:
-    """The customer files as a stream of agents to provision, merged into the catalogue."""
-    work = scratch_dir(t.spark, "stream-upsert")
-    publish(domain.catalog(t), f"{work}/table", 0)
+def _provisioned(t: Tables, root: str, checkpoint: str) -> None:
+    """The customer files as a stream of agents to provision, merged into the catalogue at ``root``."""
     people = _feed(t, "customer", CUSTOMER_SCHEMA)
     provisioned = domain.agents(people, t["nation"], "c_custkey", "c_name", "c_nationkey", "c_acctbal")
     jobs.stream_upsert(
         provisioned.drop("status", "created_at").withColumnRenamed("updated_at", "sent_at"),
-        f"{work}/table",
-        f"{work}/checkpoint",
+        root,
+        checkpoint,
         ["sent_at"],
         lambda: F.lit(AS_OF).cast("timestamp_ntz"),
     ).awaitTermination()
+
+
+@query("stream_upsert", UPSERTED_SQL)
+def stream_upsert(t: Tables) -> DataFrame:
+    """Agents provisioned by a stream, in a catalogue that is written whole."""
+    work = scratch_dir(t.spark, "stream-upsert")
+    publish(domain.catalog(t), f"{work}/table", 0)
+    _provisioned(t, f"{work}/table", f"{work}/checkpoint")
     return read_latest(t.spark, f"{work}/table").drop("sent_at")
+
+
+@query("stream_upsert_buckets", UPSERTED_SQL)
+def stream_upsert_buckets(t: Tables) -> DataFrame:
+    """Agents provisioned by a stream, in a catalogue of which only the touched buckets are written."""
+    work = scratch_dir(t.spark, "stream-buckets")
+    table = buckets.create(domain.catalog(t), f"{work}/table", ["agent_id"], 16)
+    _provisioned(t, table.root, f"{work}/checkpoint")
+    return table.read().drop("sent_at")

@@ -63,3 +63,8 @@ def file_states(spark: SparkSession, location: str) -> list[tuple[str, int, int]
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)]
+
+
+def remove_folder(spark: SparkSession, location: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundwork.operators.telemetry import classify, parse_logs
-from groundwork.operators.upsert import catalog_upsert, latest_per_key
-from groundwork.sources.scratch import list_names
+from groundwork.operators.upsert import catalog_upsert, latest_per_key, provision
+from groundwork.sources.buckets import BucketedTable
+from groundwork.sources.scratch import list_names, remove_folder
 from groundwork.sources.versions import claim_version, publish, read_latest, run_of
 
 
@@ -62,13 +63,15 @@ def stream_agent_counts(
     checkpoint: str,
     window: str = "1 day",
     continuous: str | None = None,
+    compact_every: int = 50,
 ) -> StreamingQuery:
     """Running count and newest event per (tumbling window, agent).
 
     Every batch writes its own partial counters, one directory per batch, and keeps no state, so
     events count however late they come. A replayed batch replaces its directory; a new
     checkpoint, which reads the feed from its start, counts into a directory of its own.
-    :func:`read_agent_counts` adds the partial counters up.
+    :func:`read_agent_counts` adds the partial counters up. Every ``compact_every`` batches the earlier ones
+    are merged into a base, so a reader never adds up more than that many batches and one base.
     """
     spark = feed.sparkSession
     run = run_of(spark, checkpoint)
@@ -83,20 +86,57 @@ def stream_agent_counts(
             .select(F.col("w.start").alias("window_start"), "agent_id", "invocations", "last_execution")
         )
         counts.write.mode("overwrite").parquet(f"{out_dir}/{place}/batch_id={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            compact_agent_counts(spark, out_dir, place)
 
     return _started(feed.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint), continuous)
 
 
-def read_agent_counts(spark: SparkSession, out_dir: str) -> DataFrame:
-    """(window_start, agent_id, invocations, last_execution) of the newest run."""
-    newest = list_names(spark, f"{out_dir}/run=*")[-1]
+def _counter_parts(spark: SparkSession, folder: str) -> tuple[int, list[int]]:
+    """(last batch in the newest complete base or -1, the batches after it)."""
+    bases = [name for name in list_names(spark, f"{folder}/base=*") if list_names(spark, f"{folder}/{name}/_SUCCESS")]
+    base = max((int(name.split("=")[1]) for name in bases), default=-1)
+    batches = sorted(int(name.split("=")[1]) for name in list_names(spark, f"{folder}/batch_id=*"))
+    return base, [b for b in batches if b > base]
+
+
+def _added(spark: SparkSession, folder: str, base: int, batches: list[int]) -> DataFrame:
+    paths = [f"{folder}/batch_id={b}" for b in batches] + ([f"{folder}/base={base:012d}"] if base >= 0 else [])
     return (
-        spark.read.parquet(f"{out_dir}/{newest}")
+        spark.read.parquet(*paths)
         .groupBy("window_start", "agent_id")
         .agg(F.sum("invocations").alias("invocations"), F.max("last_execution").alias("last_execution"))
     )
 
 
+def compact_agent_counts(spark: SparkSession, out_dir: str, run: str | None = None) -> int | None:
+    """Merge all but the newest batch of a run into a base; the last batch it holds, or None.
+
+    A batch can be replayed only while it is the newest, so what a base holds never changes again. The base
+    counts once it is complete; until then, and if its writer fails, readers use the old one. What the base
+    before it replaced is removed, so a reader that has just listed the folder still finds its files.
+    """
+    folder = f"{out_dir}/{run or list_names(spark, f'{out_dir}/run=*')[-1]}"
+    base, batches = _counter_parts(spark, folder)
+    if len(batches) < 2:
+        return None
+    last = batches[-2]
+    _added(spark, folder, base, batches[:-1]).write.mode("overwrite").parquet(f"{folder}/base={last:012d}")
+    for name in list_names(spark, f"{folder}/batch_id=*"):
+        if int(name.split("=")[1]) <= base:
+            remove_folder(spark, f"{folder}/{name}")
+    for name in list_names(spark, f"{folder}/base=*"):
+        if int(name.split("=")[1]) < base:
+            remove_folder(spark, f"{folder}/{name}")
+    return last
+
+
+def read_agent_counts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(window_start, agent_id, invocations, last_execution) of the newest run: its base and the batches after it."""
+    folder = f"{out_dir}/{list_names(spark, f'{out_dir}/run=*')[-1]}"
+    return _added(spark, folder, *_counter_parts(spark, folder))
+
+
 def stream_upsert(
     feed: DataFrame,
     table_root: str,
@@ -107,6 +147,9 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Upsert each batch of provisioned agents into the versioned catalogue at ``table_root``.
 
+    A catalogue kept in buckets (:mod:`groundwork.sources.buckets`) has only the buckets rewritten that a
+    batch touches; one kept whole is written whole.
+
     The catalogue keeps the ordering columns, and only a change that is not older than the stored
     one is applied, so the order of the batches does not matter. Every batch of a checkpoint has a
     version of its own, after all that are there; a replay rebuilds that version as long as it is
@@ -114,21 +157,33 @@ def stream_upsert(
     """
     run = run_of(feed.sparkSession, checkpoint)
 
+    def newer(target: DataFrame, source: DataFrame) -> DataFrame:
+        """The changes that are not older than what the table holds."""
+        if order_by[0] not in target.columns:
+            return source
+        known = target.where(F.col(order_by[0]).isNotNull()).select("agent_id", F.struct(*order_by).alias("__stored"))
+        fresh = source.join(known, "agent_id", "left").where(
+            F.col("__stored").isNull() | (F.struct(*order_by) >= F.col("__stored"))
+        )
+        return fresh.select(*source.columns)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         version = claim_version(spark, table_root, f"{run}-{batch_id}")
+        source = latest_per_key(batch, ["agent_id"], order_by)
+        table = BucketedTable(spark, table_root)
+        if table.exists():
+            # Only the buckets that the batch falls into are read and written.
+            described = provision(newer(table.read_touched(source, below=version), source), as_of())
+            table.merge(*described, version=version, new_columns=order_by)
+            return
         target = read_latest(spark, table_root, below=version)
         if target is None:
             raise RuntimeError(f"no catalogue version under {table_root}")
-        source = latest_per_key(batch, ["agent_id"], order_by)
         for c in order_by:
             if c not in target.columns:
                 target = target.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
-        known = target.where(F.col(order_by[0]).isNotNull()).select("agent_id", F.struct(*order_by).alias("__stored"))
-        fresh = source.join(known, "agent_id", "left").where(
-            F.col("__stored").isNull() | (F.struct(*order_by) >= F.col("__stored"))
-        )
-        publish(catalog_upsert(target, fresh.select(*source.columns), as_of()), table_root, version)
+        publish(catalog_upsert(target, newer(target, source), as_of()), table_root, version)
 
     writer = feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return _started(writer, continuous)
