@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +23,8 @@ FUZZY_THRESHOLD = 50
 MAX_CHARS = 32767
 
 RANGED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+#: What the Parquet reader takes bounds of from file footers.
+FOOTER_RANGED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType)
 
 
 def column_type(df: DataFrame, column: str) -> T.DataType:
@@ -114,6 +116,28 @@ def range_values(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def range_from_footers(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """:func:`range_values` of a column of Parquet files, answered from their footers: no column is read.
+
+    Numbers and dates only; Parquet keeps no usable bounds of other columns for this. The scan runs in a
+    session of its own, whose reader may push aggregates down, and only the two bounds come back.
+    """
+    kind = spark.read.parquet(path).schema[column].dataType
+    if not isinstance(kind, FOOTER_RANGED):
+        raise UnsupportedColumnType(f"{column} is {kind.simpleString()}; footers bound numbers and dates")
+    row = footer_bounds(spark, path, column).first()
+    schema = T.StructType([T.StructField("column_name", T.StringType()), T.StructField("min_value", kind), T.StructField("max_value", kind)])
+    return spark.createDataFrame([(column, row["min_value"], row["max_value"])], schema)
+
+
+def footer_bounds(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(min_value, max_value), planned in a session that pushes aggregates into the Parquet reader."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.min(column).alias("min_value"), F.max(column).alias("max_value"))
+
+
 def diagnose_empty(df: DataFrame, predicates: Sequence[tuple[str, object]], k: int = 5) -> DataFrame:
     """Why a query returned nothing: (column_name, finding, rank, value, score).
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.errors import ConfigNotFound
+from groundwork.operators.joins import numbered
 
 MATCHED = "__matched"
 ACTIVE = "ACTIVE"
@@ -174,3 +175,23 @@ def config_value(config: DataFrame, agent: str, key: str) -> str:
     if row is None:
         raise ConfigNotFound(f"no {key} configured for {agent}")
     return row["value"]
+
+
+def config_replace(config: DataFrame, given: DataFrame) -> DataFrame:
+    """Configuration (id, key, value, agent) after storing (key, agent, value): a stored pair gets the new value, others are added.
+
+    A pair given twice fails; new rows get ids after the largest one, in the order of agent and key.
+    """
+    last = F.coalesce(config.agg(F.max("id")).scalar(), F.lit(0))
+    fresh = given.select("key", "agent").distinct().join(config.select("key", "agent"), ["key", "agent"], "left_anti")
+    placed = numbered(fresh, F.col("agent"), F.col("key"))
+    ids = placed.select("key", "agent", (last + F.col("position")).cast(config.schema["id"].dataType).alias("id"))
+    source = given.join(ids, ["key", "agent"], "left")
+    return merge_into(config, source, ["key", "agent"], ["value"])
+
+
+def config_values(config: DataFrame, asked: DataFrame) -> DataFrame:
+    """(agent, key, value, error) for each (agent, key) asked for; ``error`` says where nothing is stored."""
+    found = asked.select("agent", "key").join(config.select("agent", "key", "value", F.lit(True).alias("__there")), ["agent", "key"], "left")
+    missing = F.concat(F.lit("no "), F.col("key"), F.lit(" configured for "), F.col("agent"))
+    return found.select("agent", "key", "value", F.when(F.col("__there").isNull(), missing).alias("error"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.functions import text
+from groundwork.functions import text, tools
 from groundwork.operators import profiling
 from groundwork.plans.domain import SPACE
 from groundwork.plans.registry import query
@@ -122,6 +122,60 @@ def range_numeric(t: Tables) -> DataFrame:
     return profiling.range_values(t["part"], "p_retailprice")
 
 
+@query(
+    "range_footers",
+    """SELECT 'p_retailprice' AS column_name, min(p_retailprice) AS min_value, max(p_retailprice) AS max_value FROM part""",
+)
+def range_footers(t: Tables) -> DataFrame:
+    """The same bounds, from the footers of the files alone."""
+    return profiling.range_from_footers(t.spark, t.path("part"), "p_retailprice")
+
+
+@query(
+    "sql_jaro_winkler",
+    """SELECT DISTINCT c_mktsegment AS segment, round(jaro_winkler_similarity(c_mktsegment, 'MACHINES'), 6) AS score
+FROM customer WHERE jaro_winkler_similarity(c_mktsegment, 'MACHINES') >= 0.45""",
+)
+def sql_jaro_winkler(t: Tables) -> DataFrame:
+    """The similarity score called from SQL text, on distinct values."""
+    tools.register(t.spark)
+    t.register_views("customer")
+    return t.spark.sql(
+        """SELECT segment, round(jaro_winkler(segment, 'MACHINES'), 6) AS score
+        FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer) WHERE jaro_winkler(segment, 'MACHINES') >= 0.45"""
+    )
+
+
+@query(
+    "sql_distinct_values",
+    "SELECT event_type AS key, CAST(user_id AS VARCHAR) AS value, count(*) AS n_rows FROM events GROUP BY 1, 2",
+)
+def sql_distinct_values(t: Tables) -> DataFrame:
+    """A table function called from SQL text: the distinct users of each event type, from sorted partitions."""
+    tools.register(t.spark)
+    t.register_views("events")
+    return t.spark.sql(
+        "SELECT * FROM distinct_values_of(TABLE(SELECT event_type, user_id FROM events) PARTITION BY event_type ORDER BY user_id)"
+    )
+
+
+@query(
+    "sql_trace_summary",
+    """SELECT CAST(conv_id AS VARCHAR) AS execution, count(*) AS n_steps, count(*) FILTER (WHERE role = 'assistant' AND text <> '') AS n_done,
+       CASE WHEN arg_max(role = 'assistant' AND text <> '', turn) THEN arg_max(text, turn) END AS answer
+FROM conversations GROUP BY conv_id""",
+)
+def sql_trace_summary(t: Tables) -> DataFrame:
+    """A table function called from SQL text: steps, results and answer of every conversation."""
+    tools.register(t.spark)
+    t.register_views("conversations")
+    return t.spark.sql(
+        """SELECT * FROM trace_summary(
+            TABLE(SELECT conv_id AS execution, turn AS step, if(role = 'assistant', text, NULL) AS result FROM conversations)
+            PARTITION BY execution ORDER BY step)"""
+    )
+
+
 @query("range_timestamp", "SELECT 'ts' AS column_name, min(ts) AS min_value, max(ts) AS max_value FROM events")
 def range_timestamp(t: Tables) -> DataFrame:
     return profiling.range_values(t["events"], "ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.operators import audit, fuzzy, ledger
+from groundwork.operators import audit, fuzzy, ledger, quantiles
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
 from groundwork.sources.tables import Tables
@@ -179,3 +179,17 @@ def telemetry_corr(t: Tables) -> DataFrame:
         "event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k")
     )
     return audit.telemetry_corr(readings, "event_type", "value", "k")
+
+
+_SHARES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query(
+    "amount_quantiles",
+    "\nUNION ALL ".join(f"SELECT CAST({s} AS DOUBLE) AS share, round(quantile_cont(o_totalprice, {s}), 4) AS amount FROM orders" for s in _SHARES),
+)
+def amount_quantiles(t: Tables) -> DataFrame:
+    """Exact quantiles of all order totals."""
+    found = quantiles.percentiles(t["orders"], "o_totalprice", _SHARES)
+    rows = [(share, float(amount)) for share, amount in zip(_SHARES, found, strict=True)]
+    return t.spark.createDataFrame(rows, "share double, amount double").select("share", F.round("amount", 4).alias("amount"))

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundwork.operators import charts, graph, inventory
+from groundwork.operators import charts, graph, inventory, patterns, quantiles
+from groundwork.operators.patterns import Hop, Node
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
 from groundwork.sources.scratch import checkpointed
@@ -87,6 +88,64 @@ def path_totals(t: Tables) -> DataFrame:
     return graph.path_totals(domain.edges(t), _suppliers(t), 3)
 
 
+@query(
+    "pattern_chain",
+    with_views(
+        domain.EDGES,
+        domain.VERTICES,
+        select="""SELECT s.id AS supplier, p.id AS plant, r.id AS port, x.cost AS feed_cost, y.cost AS export_cost
+FROM vertices s JOIN edges x ON x.src = s.id JOIN vertices p ON x.dst = p.id JOIN edges y ON y.src = p.id JOIN vertices r ON y.dst = r.id
+WHERE s.label = 'Supplier' AND p.label = 'Plant' AND r.label = 'Port' AND x.cost > 2000 AND r.name LIKE 'A%'""",
+    ),
+)
+def pattern_chain(t: Tables) -> DataFrame:
+    """Suppliers with costly feeds into plants that export through ports of some names."""
+    found = patterns.match(
+        domain.vertices(t),
+        domain.edges(t),
+        [Node("supplier", "Supplier"), Hop("feed", F.col("cost") > 2000), Node("plant", "Plant"), Hop("export"), Node("port", "Port", F.col("name").like("A%"))],
+    )
+    return found.select("supplier", "plant", "port", F.col("feed.cost").alias("feed_cost"), F.col("export.cost").alias("export_cost"))
+
+
+@query(
+    "pattern_reach",
+    with_views(
+        domain.EDGES,
+        domain.VERTICES,
+        """walks AS (
+  SELECT DISTINCT src, dst, 1 AS hops FROM edges
+  UNION SELECT DISTINCT a.src, b.dst, 2 FROM edges a JOIN edges b ON a.dst = b.src
+  UNION SELECT DISTINCT a.src, c.dst, 3 FROM edges a JOIN edges b ON a.dst = b.src JOIN edges c ON b.dst = c.src)""",
+        select="""SELECT s.id AS supplier, w.id AS warehouse, hops FROM vertices s JOIN walks ON src = s.id JOIN vertices w ON dst = w.id
+WHERE s.label = 'Supplier' AND w.label = 'Warehouse'""",
+    ),
+)
+def pattern_reach(t: Tables) -> DataFrame:
+    """Warehouses that a supplier reaches in one to three hops."""
+    pattern = [Node("supplier", "Supplier"), Hop("hops", least=1, most=3), Node("warehouse", "Warehouse")]
+    return patterns.match(domain.vertices(t), domain.edges(t), pattern)
+
+
+@query(
+    "pattern_risky_end",
+    with_views(
+        domain.EDGES,
+        domain.VERTICES,
+        select="""SELECT p.id AS plant, w.id AS warehouse, count(*) AS routes, round(max(z.transit_days), 6) AS slowest
+FROM vertices p JOIN edges y ON y.src = p.id JOIN vertices r ON y.dst = r.id JOIN edges z ON z.src = r.id JOIN vertices w ON z.dst = w.id
+WHERE p.label = 'Plant' AND r.label = 'Port' AND w.label = 'Warehouse' AND z.risk >= 0.05 AND p.name < w.name GROUP BY 1, 2""",
+    ),
+)
+def pattern_risky_end(t: Tables) -> DataFrame:
+    """Plants and the warehouses their goods reach over a risky last leg."""
+    vertex = domain.vertices(t)
+    pattern = [Node("plant", "Plant"), Hop("export"), Node("port", "Port"), Hop("ship", F.col("risk") >= 0.05), Node("warehouse", "Warehouse")]
+    found = patterns.match(vertex, domain.edges(t), pattern)
+    ends = found.where(F.substring("plant", 3, 1000) < F.substring("warehouse", 3, 1000)).groupBy("plant", "warehouse")
+    return ends.agg(F.count("*").alias("routes"), F.round(F.max("ship.transit_days"), 6).alias("slowest"))
+
+
 @query("sku_dependency", with_views(domain.SUPPLY, select="SELECT sku, tier, src, dst FROM dependency"))
 def sku_dependency(t: Tables) -> DataFrame:
     return graph.sku_dependency(domain.supply(t))
@@ -115,7 +174,7 @@ SHORT_QUANTILE = 0.1
 def _stock(t: Tables) -> tuple[DataFrame, int]:
     """The inventory, summed once into the checkpoint folder, and the threshold it implies."""
     stock = checkpointed(domain.inventory(t))
-    low = stock.agg(F.percentile("on_hand", SHORT_QUANTILE).alias("low")).first()["low"]
+    low = quantiles.percentiles(stock, "on_hand", [SHORT_QUANTILE])[0]
     return stock, math.ceil(low or 0)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from groundwork.operators import quality, upsert
 from groundwork.plans import domain
 from groundwork.plans.registry import query, with_views
+from groundwork.sources import buckets
+from groundwork.sources.scratch import scratch_dir
 from groundwork.sources.tables import Tables
+from groundwork.sources.versions import append
 
 # Orders up to here are the stored table, later ones the change to merge.
 CUT = "1997-01-01"
@@ -318,3 +321,89 @@ def contract_violations(t: Tables) -> DataFrame:
         ),
     )
     return quality.contract_violations(results)
+
+
+CONFIG = """config AS (SELECT CAST(n_nationkey AS BIGINT) AS id, 'key_' || (n_nationkey % 7) AS key, n_name AS value,
+  'agent_' || (n_nationkey // 7) AS agent FROM nation),
+given AS (SELECT 'key_' || (s_suppkey % 9) AS key, 'agent_' || (s_suppkey // 9 % 5) AS agent, max(s_name) AS value FROM supplier GROUP BY 1, 2)"""
+
+
+def _config(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Stored configuration and what is to replace or join it."""
+    n, s = F.col("n_nationkey"), F.col("s_suppkey")
+    stored = t["nation"].select(
+        n.cast("bigint").alias("id"),
+        F.concat(F.lit("key_"), (n % 7).cast("string")).alias("key"),
+        F.col("n_name").alias("value"),
+        F.concat(F.lit("agent_"), F.floor(n / 7).cast("string")).alias("agent"),
+    )
+    key = F.concat(F.lit("key_"), (s % 9).cast("string")).alias("key")
+    agent = F.concat(F.lit("agent_"), (F.floor(s / 9) % 5).cast("string")).alias("agent")
+    return stored, t["supplier"].groupBy(key, agent).agg(F.max("s_name").alias("value"))
+
+
+@query(
+    "config_replace",
+    "WITH "
+    + CONFIG
+    + """,
+fresh AS (
+  SELECT key, agent, value, (SELECT max(id) FROM config) + row_number() OVER (ORDER BY agent, key) AS id
+  FROM given WHERE (key, agent) NOT IN (SELECT (key, agent) FROM config))
+SELECT c.id, c.key, coalesce(g.value, c.value) AS value, c.agent FROM config c LEFT JOIN given g ON c.key = g.key AND c.agent = g.agent
+UNION ALL SELECT id, key, value, agent FROM fresh""",
+)
+def config_replace(t: Tables) -> DataFrame:
+    return upsert.config_replace(*_config(t))
+
+
+@query(
+    "config_read",
+    "WITH "
+    + CONFIG
+    + """
+SELECT g.agent, g.key, c.value, CASE WHEN c.id IS NULL THEN 'no ' || g.key || ' configured for ' || g.agent END AS error
+FROM given g LEFT JOIN config c ON c.key = g.key AND c.agent = g.agent""",
+)
+def config_read(t: Tables) -> DataFrame:
+    stored, asked = _config(t)
+    return upsert.config_values(stored, asked)
+
+
+@query(
+    "metric_append",
+    "WITH "
+    + domain.METRICS
+    + """
+SELECT execution_status, count(*) AS n_rows, count(DISTINCT agent_id) AS n_agents, max(execution_id) AS newest FROM metrics GROUP BY 1""",
+)
+def metric_append(t: Tables) -> DataFrame:
+    """Executions appended to a fact table in two loads, and what it then holds."""
+    facts = scratch_dir(t.spark, "metrics")
+    rows = domain.metrics(t)
+    for status in ("SUCCESS", "FAILED"):
+        append(rows.where(F.col("execution_status") == status), facts)
+    held = t.spark.read.parquet(facts).groupBy("execution_status")
+    return held.agg(F.count("*").alias("n_rows"), F.count_distinct("agent_id").alias("n_agents"), F.max("execution_id").alias("newest"))
+
+
+@query(
+    "merge_buckets",
+    with_views(
+        _per_customer_sql("stored", "<"),
+        _per_customer_sql("changed", ">="),
+        select="""SELECT coalesce(s.custkey, c.custkey) AS custkey,
+       CASE WHEN s.custkey IS NULL THEN 'unknown' ELSE s.first_order END AS first_order,
+       coalesce(c.last_order, s.last_order) AS last_order, coalesce(c.n_orders, s.n_orders) AS n_orders,
+       coalesce(c.total, s.total) AS total, CASE WHEN s.custkey IS NULL THEN 'NEW' ELSE 'STORED' END AS tier
+FROM stored s FULL JOIN changed c ON s.custkey = c.custkey""",
+    ),
+)
+def merge_buckets(t: Tables) -> DataFrame:
+    """The merge of :func:`merge_upsert` on a table in buckets."""
+    before, after = _split(t)
+    target = _per_customer(before).withColumn("tier", F.lit("STORED"))
+    table = buckets.create(target, scratch_dir(t.spark, "merge-buckets"), ["custkey"], 16)
+    defaults = {"first_order": F.lit("unknown"), "tier": F.lit("NEW")}
+    table.merge(_per_customer(after).drop("first_order"), ["last_order", "n_orders", "total"], defaults)
+    return table.read()
