@@ -22,6 +22,10 @@ PALETTE = (
 OTHERS = "(others)"
 
 
+#: Labels that one chart may show.
+DRAWN = 10_000
+
+
 def chart_dataset(
     df: DataFrame, label: str, value: Column, kind: str = "bar", max_labels: int | None = None
 ) -> DataFrame:
@@ -61,11 +65,18 @@ def points_dataset(df: DataFrame, label: str, x: Column, y: Column, r: Column |
     return df.groupBy(F.col(label).alias("label")).agg(*[m.alias(n) for n, m in measures.items()])
 
 
-def chart_json(dataset: DataFrame, title: str, kind: str = "bar", series: str = "value") -> DataFrame:
-    """One row (chart_json) describing the whole chart; for the output of :func:`chart_dataset`."""
+def chart_json(dataset: DataFrame, title: str, kind: str = "bar", series: str = "value", most: int = DRAWN) -> DataFrame:
+    """One row (chart_json) describing the whole chart; for the output of :func:`chart_dataset`.
+
+    More than ``most`` labels are no chart: the query fails before it has gathered them all, and
+    ``max_labels`` of :func:`chart_dataset` is the way to sum up the rest.
+    """
     if kind not in CHART_TYPES:
         raise ValueError(f"chart type must be one of {CHART_TYPES}")
-    rows = dataset.agg(F.array_sort(F.collect_list(F.struct("position", "label", "value", "colour"))).alias("r"))
+    some = dataset.limit(most + 1)
+    rows = some.agg(F.array_sort(F.collect_list(F.struct("position", "label", "value", "colour"))).alias("r"))
+    too_many = F.raise_error(F.lit(f"the dataset has more than {most} labels; give chart_dataset max_labels"))
+    rows = rows.select(F.when(F.size("r") <= most, F.col("r")).otherwise(too_many).alias("r"))
     chart = F.struct(
         F.lit(kind).alias("type"),
         F.struct(

@@ -86,12 +86,10 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
         ).alias("total"),
     )
     best = checkpointed(best)
-    parts = ("total.transit_days", "total.cost", "total.max_risk", "total.hops")
+    order = _unknown_last(("total.transit_days", "total.cost", "total.max_risk", "total.hops"))
+    # Each round writes only the paths it finds or improves; the best of all rounds is taken at the end.
+    found, frontier = best, best
     for hop in range(1, k + 1):
-        # Only paths found in the previous round can still improve a vertex.
-        frontier = best.where(F.col("total.hops") == hop - 1)
-        if frontier.isEmpty():
-            break
         onward = (
             frontier.join(links, F.col("id") == F.col("src"))
             .select(
@@ -105,7 +103,15 @@ def path_totals(edge: DataFrame, starts: DataFrame, k: int) -> DataFrame:
                 ).alias("total"),
             )
         )
-        best = checkpointed(best.unionByName(onward).groupBy("start", "id").agg(F.min_by("total", _unknown_last(parts)).alias("total")))
+        # What is known before counts as round 0 of this hop, so that a tie stays with it.
+        both = onward.withColumn("new", F.lit(1)).unionByName(found.withColumn("new", F.lit(0)))
+        least = F.min_by(F.struct("total", "new"), F.struct(order, "new")).alias("b")
+        improved = both.groupBy("start", "id").agg(least).where("b.new = 1").select("start", "id", F.col("b.total").alias("total"))
+        frontier = checkpointed(improved)
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    best = found.groupBy("start", "id").agg(F.min_by("total", order).alias("total"))
     return best.where(F.col("id") != F.col("start")).select(
         "start", "id", "total.hops", "total.transit_days", "total.cost", "total.max_risk"
     )

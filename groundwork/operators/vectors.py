@@ -24,9 +24,10 @@ from groundwork.sources.scratch import checkpointed
 MAX_BROADCAST_QUERIES = 4096
 # A result of up to this many (query, id, distance) rows may be broadcast.
 MAX_BROADCAST_ROWS = 1_000_000
-# Rows of one corpus block and of one query block: what one task holds at a time.
+# Rows of one corpus block and of one query block: what one task holds at a time. The corpus is copied once per
+# query block and the queries once per corpus block, so equal blocks move the least.
 CORPUS_BLOCK = 16384
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16384
 # Bound on the number of index cells, so that the centres always fit in one task.
 MAX_CELLS = 65536
 # Rows sampled per cell to fit the centres, at least.

@@ -75,6 +75,18 @@ def result_envelope(t: Tables) -> DataFrame:
     return access.result_envelope(access.run_sql(t.spark, SEGMENTS), SEGMENTS)
 
 
+@query(
+    "result_pages",
+    """WITH p AS (SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 200 AS page, c_custkey, c_mktsegment FROM customer)
+SELECT 'customers' AS sql_query, page, count(*) AS row_count,
+       '[' || string_agg(CAST(json_object('c_custkey', c_custkey, 'c_mktsegment', c_mktsegment) AS VARCHAR), ',' ORDER BY c_custkey) || ']' AS sql_result
+FROM p GROUP BY page""",
+)
+def result_pages(t: Tables) -> DataFrame:
+    """All customers as envelopes of 200 rows."""
+    return access.result_pages(t["customer"].select("c_custkey", "c_mktsegment"), "customers", ["c_custkey"], 200)
+
+
 @query("distinct_all", "SELECT DISTINCT p_name AS value FROM part WHERE p_name IS NOT NULL")
 def distinct_all(t: Tables) -> DataFrame:
     return profiling.distinct_values(t["part"], "p_name")

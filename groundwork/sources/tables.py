@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.errors import TableNotFound
+from groundwork.operators.joins import numbered
 from groundwork.sources.scratch import list_names
 
 SUFFIX = ".parquet"
@@ -109,20 +110,47 @@ def run_sql(spark: SparkSession, sql: str, max_rows: int | None = 1000, args: di
     return spark.sql(f"SELECT * FROM (\n{sql}\n){cap}", args=args)
 
 
-def result_envelope(df: DataFrame, sql_text: str) -> DataFrame:
+#: Rows that one envelope may hold.
+ENVELOPE_ROWS = 1000
+
+
+def result_envelope(df: DataFrame, sql_text: str, max_rows: int = ENVELOPE_ROWS) -> DataFrame:
     """One row (sql_query, row_count, sql_result) around an already capped result.
 
     ``sql_result`` is a JSON array of the rows, or "No data found." when there are none.
-    The rows keep their order. Give it the output of :func:`run_sql`; it gathers every row
-    it gets.
+    The rows keep their order. Give it the output of :func:`run_sql`: a frame of more than ``max_rows``
+    rows fails before it is gathered whole; :func:`result_pages` takes one of any size.
     """
     row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")
-    rows = df.select(row).select(F.struct(F.monotonically_increasing_id().alias("place"), "row").alias("placed"))
+    rows = df.limit(max_rows + 1).select(row).select(F.struct(F.monotonically_increasing_id().alias("place"), "row").alias("placed"))
     gathered = F.transform(F.array_sort(F.collect_list("placed")), lambda placed: placed["row"])
+    checked = F.when(F.size("rows") <= max_rows, F.size("rows")).otherwise(
+        F.raise_error(F.lit(f"the result has more than {max_rows} rows; cap it or ask for pages"))
+    )
     return rows.agg(gathered.alias("rows")).select(
-        F.lit(sql_text).alias("sql_query"),
-        F.size("rows").cast("bigint").alias("row_count"),
-        F.when(F.size("rows") == 0, F.lit("No data found."))
-        .otherwise(F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")))
-        .alias("sql_result"),
+        F.lit(sql_text).alias("sql_query"), checked.cast("bigint").alias("row_count"), _json_rows(F.col("rows")).alias("sql_result")
+    )
+
+
+def result_pages(df: DataFrame, sql_text: str, order: Sequence[str], page_rows: int = ENVELOPE_ROWS) -> DataFrame:
+    """(sql_query, page, row_count, sql_result): an envelope for every ``page_rows`` rows in the order of some columns.
+
+    The rows are numbered across range partitions, never gathered, so a page is all that a task holds. No rows give
+    one page that says so.
+    """
+    placed = numbered(df, *[F.col(c) for c in order])
+    row = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    page = F.floor((F.col("position") - 1) / page_rows).cast("bigint").alias("page")
+    pages = placed.select(page, F.struct(F.col("position"), row.alias("row")).alias("placed")).groupBy("page")
+    held = pages.agg(F.transform(F.array_sort(F.collect_list("placed")), lambda p: p["row"]).alias("rows"))
+    # One empty page where there is no row at all.
+    none = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("page")).join(held.select("page"), "page", "left_anti")
+    every = held.unionByName(none.withColumn("rows", F.array().cast("array<string>")))
+    return every.select(
+        F.lit(sql_text).alias("sql_query"), "page", F.size("rows").cast("bigint").alias("row_count"), _json_rows(F.col("rows")).alias("sql_result")
     )
+
+
+def _json_rows(rows: Column) -> Column:
+    whole = F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]"))
+    return F.when(F.size(rows) == 0, F.lit("No data found.")).otherwise(whole)

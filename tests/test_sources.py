@@ -51,6 +51,18 @@ def test_envelope_with_and_without_rows(spark):
     assert (none.row_count, none.sql_result) == (0, "No data found.")
 
 
+def test_large_results_come_in_pages(spark):
+    df = spark.range(0, 2500, 1, 5).selectExpr("id", "CAST(NULL AS STRING) AS b")
+    with pytest.raises(Exception, match="more than 1000 rows"):
+        access.result_envelope(df, "q").collect()
+    assert access.result_envelope(df, "q", max_rows=2500).first().row_count == 2500
+    pages = sorted(access.result_pages(df, "q", ["id"]).collect(), key=lambda r: r.page)
+    assert [(r.page, r.row_count) for r in pages] == [(0, 1000), (1, 1000), (2, 500)]
+    assert pages[2].sql_result.startswith('[{"id":2000,"b":null},{"id":2001')
+    none = access.result_pages(df.limit(0), "q", ["id"]).collect()
+    assert [(r.page, r.row_count, r.sql_result) for r in none] == [(0, 0, "No data found.")]
+
+
 def test_facts_are_appended(spark, tmp_path):
     from groundwork.sources.versions import append
 

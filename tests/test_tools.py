@@ -30,9 +30,9 @@ def test_configuration_is_replaced_and_read(spark):
     got = upsert.config_replace(config, given)
     assert sorted(map(tuple, got.collect())) == [(1, "p", "new", "a"), (4, "m", "x", "b"), (5, "m", "2", "a"), (6, "z", "1", "c")]
     read = upsert.config_values(config, given.select("agent", "key"))
-    assert sorted((r.agent, r.value, r.error) for r in read.collect()) == [
-        ("a", None, "no m configured for a"),
+    assert sorted(((r.agent, r.value, r.error) for r in read.collect()), key=repr) == [
         ("a", "old", None),
+        ("a", None, "no m configured for a"),
         ("c", None, "no z configured for c"),
     ]
     assert upsert.config_replace(config.limit(0), given).count() == 3
