@@ -19,9 +19,12 @@ def schema_with(docs: DataFrame, columns: dict[str, str], more: str) -> T.Struct
 
 
 def map_rows(
-    docs: DataFrame, schema: T.StructType, work: Callable[[Iterator[pa.Table]], Iterator[dict]], text: str = "text", most: int = 4 << 20
+    docs: DataFrame, schema: T.StructType, work: Callable[[Iterator[pa.Table]], Iterator[dict]], text: str = "text", most: int = 4 << 20, keeps: str | None = None
 ) -> DataFrame:
-    """Run ``work`` over tables of about ``most`` bytes of text; it yields columns of ``schema`` as a dict."""
+    """Run ``work`` over tables of about ``most`` bytes of text; it yields columns of ``schema`` as a dict.
+
+    ``keeps`` names the :func:`worker_state` that ``work`` uses; what others left in the worker is let go.
+    """
     out = to_arrow_schema(schema)
 
     def tables(batches):
@@ -31,6 +34,7 @@ def map_rows(
             yield from slices(batch, text, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for columns in work(tables(batches)):
             arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns.values()]
             yield from pa.Table.from_arrays(
@@ -40,6 +44,16 @@ def map_rows(
     return docs.mapInArrow(run, schema)
 
 
+def forget(but: str | None = None) -> None:
+    """Let go of what operators remember in this worker, except one, and give the memory back."""
+    module = sys.modules.get("_groundwork_worker")
+    names = [name for name in (module.__dict__ if module else ()) if not name.startswith("__") and name != but]
+    if names:
+        for name in names:
+            del module.__dict__[name]
+        pa.default_memory_pool().release_unused()
+
+
 def worker_state(name: str) -> dict:
     """A dict that lives as long as the Python worker, for models loaded once per process."""
     module = sys.modules.setdefault("_groundwork_worker", types.ModuleType("_groundwork_worker"))

@@ -16,7 +16,8 @@ frequent ones: the rarest signature that two of them share is always kept by bot
 How many shingles of a set any other set has bounds every intersection it can have. That bound
 drops sets and pairs before sets travel. Vertices of one signature are compared in a star first;
 connected components merge groups of near copies without forming their pairs, and only pairs
-across components that still share a signature are compared afterwards. Every link is decided by
+across components that still share a signature are compared afterwards, each once: a vertex
+first finds the components it shares signatures with. Every link is decided by
 intersecting the two sets.
 """
 
@@ -272,9 +273,13 @@ def vertices(met: DataFrame) -> DataFrame:
     return stored(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(count, schema), "sets")
 
 
-def _possible(n, common, m, shared):
-    """Whether sets of these sizes and bounds can be similar: 100 * least >= 75 * (n + m - least)."""
-    return (100 + PERCENT) * F.least(common, shared, n, m) >= PERCENT * (n + m)
+def _possible(n, common, m, shared, bound: bool = False):
+    """Whether sets of these sizes and bounds can be similar: 100 * least >= 75 * (n + m - least).
+
+    ``bound`` says that ``m`` is the least size of several sets and ``shared`` their largest bound.
+    """
+    least = F.least(common, shared, n) if bound else F.least(common, shared, n, m)
+    return (100 + PERCENT) * least >= PERCENT * (n + m)
 
 
 def similarity_components(sets: DataFrame) -> DataFrame:
@@ -306,16 +311,26 @@ def similarity_components(sets: DataFrame) -> DataFrame:
         rows = stored(_open(rows, own), "signatures")
         if rows.isEmpty():
             return own.select("v", "c")
-    # What is left: possible pairs across components that share a signature.
-    left = rows.join(own, "v")
-    right = left.select("sig", F.col("v").alias("w"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("common").alias("shared"))
-    possible = _possible(F.col("n"), F.col("common"), F.col("m"), F.col("shared"))
-    pairs = left.join(right, (left["sig"] == right["sig"]) & (F.col("v") < F.col("w")) & (F.col("c") != F.col("d")) & possible)
-    pairs = pairs.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = _across(stored(rows.join(own, "v"), "open")).join(tried, ["a", "b"], "left_anti")
     found = stored(verified(stored(pairs, "pairs"), one), "links")
     return _labelled(sizes, components(links.unionByName(found))).select("v", "c")
 
 
+def _across(left: DataFrame) -> DataFrame:
+    """Possible pairs of vertices of different components that share a signature, each once.
+
+    A signature is shared by a vertex and a component first: two vertices that share hundreds of signatures
+    meet once, when both are known to share one with the other's component.
+    """
+    held = left.groupBy("sig", F.col("c").alias("d")).agg(F.max("common").alias("most"), F.min("n").alias("least"))
+    met = left.join(held, "sig").where(F.col("c") != F.col("d"))
+    met = met.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("most"), bound=True))
+    sides = stored(met.select("v", "c", "d", "n", "common").distinct(), "sides")
+    other = sides.select(F.col("v").alias("w"), F.col("d").alias("c"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("common").alias("shared"))
+    both = sides.where("c < d").join(other, ["c", "d"]).where(_possible(F.col("n"), F.col("common"), F.col("m"), F.col("shared")))
+    return both.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
+
+
 def _stars(rows: DataFrame, own: DataFrame, turn: int) -> DataFrame:
     """Possible pairs of a centre per signature with its vertices of other components.
 

@@ -95,7 +95,7 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
             yield {"doc_id": part["doc_id"], "point": points, "n": counts + 1, "ids": [f + last for f in found]}
 
     tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
-    coded = map_rows(docs.select("doc_id", "text"), schema, work)
+    coded = map_rows(docs.select("doc_id", "text"), schema, work, keeps="encoders")
     return stored(coded.select("doc_id", (F.shiftleft("point", TIE_BITS) + tie).alias("place"), "n", "ids"), "tokens")
 
 

@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.sources.scratch import scratch_dir
+from groundwork.sources.scratch import remove_folder, scratch_dir
+
+
+#: Tables written by this driver and not yet removed.
+_MADE: list[str] = []
+
+
+def made() -> list[str]:
+    """The intermediate tables that are there now."""
+    return list(_MADE)
+
+
+def remove(spark: SparkSession, tables: list[str]) -> None:
+    """Remove intermediate tables that nothing will read again."""
+    for path in tables:
+        remove_folder(spark, path)
+        _MADE.remove(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -14,6 +30,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The files outlive lost executors and the rows never change again, whatever is computed twice.
     """
     path = scratch_dir(df.sparkSession, name)
+    _MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

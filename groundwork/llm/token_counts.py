@@ -109,7 +109,7 @@ def count_tokens(
             if rows:
                 yield dict(zip(fields, zip(*rows, strict=True), strict=True))
 
-    return map_rows(docs.select(*picked), schema, work)
+    return map_rows(docs.select(*picked), schema, work, keeps="encoders")
 
 
 @query("op7_token_counts")
