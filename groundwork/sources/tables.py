@@ -144,7 +144,7 @@ def result_pages(df: DataFrame, sql_text: str, order: Sequence[str], page_rows:
     pages = placed.select(page, F.struct(F.col("position"), row.alias("row")).alias("placed")).groupBy("page")
     held = pages.agg(F.transform(F.array_sort(F.collect_list("placed")), lambda p: p["row"]).alias("rows"))
     # One empty page where there is no row at all.
-    none = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("page")).join(held.select("page"), "page", "left_anti")
+    none = placed.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(0).cast("bigint").alias("page"))
     every = held.unionByName(none.withColumn("rows", F.array().cast("array<string>")))
     return every.select(
         F.lit(sql_text).alias("sql_query"), "page", F.size("rows").cast("bigint").alias("row_count"), _json_rows(F.col("rows")).alias("sql_result")
