@@ -43,6 +43,30 @@ TAG = "spdx license identifier"
 TAG_WEIGHT, BASE_WEIGHT = 0.95, 0.8
 ACCEPTED = frozenset({"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc-by-4.0", "cc0-1.0", "unlicense"})
 EXCEPTIONS = frozenset({"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception"})
+#: Licence identifiers in use, lower-cased. What follows a tag and is none of them is no licence.
+IDENTIFIERS = frozenset(
+    """0bsd afl-2.1 afl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause
+    bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6 cc0-1.0
+    cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c cpl-1.0 curl ecl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2
+    ftl hpnd icu ijg imagemagick intel isc json lppl-1.3c libpng libtiff mit mit-0 mit-cmu mpl-1.0 mpl-1.1 mpl-2.0
+    mpl-2.0-no-copyleft-exception ms-pl ms-rl mulanpsl-2.0 ncsa nist-pd odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openssl osl-2.1
+    osl-3.0 php-3.0 php-3.01 postgresql psf-2.0 python-2.0 qpl-1.0 ruby sspl-1.0 tcl unicode-3.0 unicode-dfs-2016
+    unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zpl-2.1""".split()
+)
+#: Families of identifiers by version, each with the endings it is used with.
+FAMILIES = [
+    (("gpl",), ("1.0", "2.0", "3.0"), ("", "-only", "-or-later")),
+    (("lgpl",), ("2.0", "2.1", "3.0"), ("", "-only", "-or-later")),
+    (("agpl",), ("1.0", "3.0"), ("", "-only", "-or-later")),
+    (("gfdl",), ("1.1", "1.2", "1.3"), ("", "-only", "-or-later")),
+    (("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), ("1.0", "2.0", "2.5", "3.0", "4.0"), ("",)),
+]
+KNOWN = IDENTIFIERS | {f"{name}-{version}{end}" for names, versions, ends in FAMILIES for name in names for version in versions for end in ends}
+#: Exceptions that may stand after WITH.
+KNOWN_EXCEPTIONS = EXCEPTIONS | frozenset(
+    """autoconf-exception-3.0 bison-exception-2.2 bootloader-exception font-exception-2.0 gcc-exception-2.0
+    linux-syscall-note openssl-exception qt-gpl-exception-1.0 swift-exception wxwindows-exception-3.1""".split()
+)
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -109,21 +133,47 @@ def evaluate(expression: str, accepted: frozenset[str] = ACCEPTED, exceptions: f
     return names, verdict
 
 
-def leading_expression(line: str) -> str:
-    """The longest well-formed expression at the start of what follows a tag; else empty."""
-    parts, best = tokens(line), ""
-    closed = operand = 0
-    for k, t in enumerate(parts):
-        closed += (t == "(") - (t == ")")
-        # An expression ends before an operand that follows an operand.
-        if closed < 0 or (operand and t not in RANK and t not in "()"):
+_PART = re.compile(r"[^\S\n\r]*([()]|[a-z0-9][a-z0-9.:+-]*)", re.I)
+_OPENING = re.compile(r"[^\S\n\r]*[\"'`]?")
+
+
+def leading_expression(text: str, at: int = 0, known: frozenset[str] = KNOWN, exceptions: frozenset[str] = KNOWN_EXCEPTIONS) -> str:
+    """The longest well-formed expression of known identifiers from ``at`` on; else empty.
+
+    It ends with the line, before other punctuation, before an unknown word and before whatever
+    could not follow. A full stop, colon or hyphen at the end of a word is not part of it, and ends
+    it. "LicenseRef-" and "DocumentRef-" names are known.
+    """
+    at = _OPENING.match(text, at).end()
+    parts, best, opened = [], 0, 0
+    while hit := _PART.match(text, at):
+        at, raw = hit.end(), hit[1].lower()
+        t = raw.rstrip(".:-")
+        last = parts[-1] if parts else "("
+        done = last not in RANK and last != "("  # an operand or a closing parenthesis stands before
+        if t == "(":
+            if done or last == "with":
+                break
+            opened += 1
+        elif t == ")":
+            if not done or not opened:
+                break
+            opened -= 1
+        elif t in RANK:
+            # One exception belongs to one licence.
+            if not done or t == "with" and (last == ")" or len(parts) > 1 and parts[-2] == "with"):
+                break
+        else:
+            name = t.removesuffix("+")
+            own = name.startswith(("licenseref-", "documentref-")) or name in known
+            if done or not (t in exceptions if last == "with" else own):
+                break
+        parts.append(t)
+        if not opened and t not in RANK and t != "(":
+            best = len(parts)
+        if t != raw:
             break
-        if t not in "()":
-            operand = t not in RANK
-        if operand and not closed:
-            best = k + 1
-    text = " ".join(parts[: best or 0])
-    return text if best and to_postfix(text) is not None else ""
+    return " ".join(parts[:best])
 
 
 def scan_licenses(
@@ -134,9 +184,11 @@ def scan_licenses(
 
     A-Z are lower-cased; words are runs of letters, digits and bytes from 0x80. ``notices`` lists
     every place of a phrase or tag as (label, word, length), ``expressions`` every expression after
-    a tag as (text, licences, accepted); an ill-formed one adds no label. ``score`` is 1 minus the
+    a tag as (text, licences, accepted); it holds known identifiers, those of ``accepted`` and
+    "LicenseRef-" names, and whatever else follows a tag adds no label. ``score`` is 1 minus the
     product of 1 - weight over distinct labels. A null text is empty: no words, labels "", score 0,
-    null first and last word. Repeated rows each have a row; other columns are not looked at.
+    null first and last word. Repeated rows each have a row; other columns, whatever their names,
+    are not looked at. An empty table gives no rows.
     """
     schema = schema_with(
         docs,
@@ -149,15 +201,20 @@ def scan_licenses(
     phrases |= {p: (label, weight, False) for p, label, weight in NOTICES}
     phrases |= {p: (label, BASE_WEIGHT, True) for p, label in BASE.items()}
     classes = bytes(int(LOWER[c]) if ALNUM[c] else 32 for c in range(256))
-    after_tag = re.compile(r"spdx-license-identifier\s*:([^\n\r]*)", re.I)
+    after_tag = re.compile(r"spdx-license-identifier\s*:", re.I)
+    known = KNOWN | accepted
     names = [f.name for f in schema.fields]
 
     def find(tree, text: str) -> tuple:
         words = text.encode().translate(classes).split()
         line = " " + b" ".join(words).decode("latin-1") + " "
         notices, weight, base, starts, tagged = [], {}, set(), [], False
-        for end, (label, worth, is_base, length, size) in tree.iter(line):
-            word = line.count(" ", 0, end - size + 1)
+        spaces = upto = 0
+        for end, (label, worth, is_base, length) in tree.iter(line):
+            # Hits come by their ends, so every space is counted once.
+            spaces += line.count(" ", upto, end + 1)
+            upto = end + 1
+            word = spaces - 1 - length
             if label:
                 notices.append({"label": label, "word": word, "length": length})
                 weight[label] = max(worth, weight.get(label, 0))
@@ -170,7 +227,7 @@ def scan_licenses(
         expressions = []
         if tagged:
             for hit in after_tag.finditer(text):
-                said = leading_expression(hit[1])
+                said = leading_expression(text, hit.end(), known)
                 found = evaluate(said, accepted) if said else None
                 if found:
                     expressions.append({"text": said, "licences": sorted(found[0]), "accepted": found[1]})
@@ -188,7 +245,7 @@ def scan_licenses(
 
         tree = ahocorasick.Automaton()
         for phrase, (label, worth, is_base) in phrases.items():
-            tree.add_word(f" {phrase} ", (label, worth, is_base, len(phrase.split()), len(phrase) + 2))
+            tree.add_word(f" {phrase} ", (label, worth, is_base, len(phrase.split())))
         tree.make_automaton()
         for part in tables:
             rows = [find(tree, t or "") for t in part["text"].to_pylist()]
