@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from groundwork.llm.words import slices
+
 
 def schema_with(docs: DataFrame, columns: dict[str, str], more: str) -> T.StructType:
     """The types of columns of ``docs`` under new names, then the fields of the DDL text ``more``."""
@@ -28,8 +31,6 @@ def map_rows(
     out = to_arrow_schema(schema)
 
     def tables(batches):
-        from groundwork.llm.words import slices
-
         for batch in batches:
             yield from slices(batch, text, most)
 
@@ -51,7 +52,16 @@ def forget(but: str | None = None) -> None:
     if names:
         for name in names:
             del module.__dict__[name]
-        pa.default_memory_pool().release_unused()
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def worker_state(name: str) -> dict:

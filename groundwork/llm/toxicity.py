@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.llm.arrow import map_rows, schema_with
+from groundwork.llm.arrow import forget, map_rows, release, schema_with
 from groundwork.llm.registry import query, table
 from groundwork.llm.storage import stored
 from groundwork.llm.words import ALNUM, slices
@@ -58,7 +58,9 @@ class Half:
 
 @dataclass(frozen=True)
 class Model:
-    """Everything a task needs to score texts, about a hundred kilobytes; the mean of its halves."""
+    """Everything a task needs to score texts, about a hundred kilobytes; the mean of its halves.
+
+    ``base`` is the share of toxic rows among the labels, the score where there are no halves."""
 
     halves: list[Half]
     base: float
@@ -145,7 +147,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float], l
 
 
 def held_out(column: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether a row must not be learned from; a missing doc_id has no label and is not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
@@ -167,12 +170,13 @@ def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labels`` (doc_id, toxic) of rows that are not held out.
 
-    Without labelled texts of both classes the model scores every text with the share of toxic ones.
+    Without labelled texts of both classes, or where no window tells them apart, the model has no
+    halves: it scores every text with the share of toxic ones among those labels, and nothing is
+    filtered by it.
     """
     rows, known = _sample(docs, labels, sample)
     sizes = {(r["half"], r["label"]): r["n"] for r in rows.groupBy("half", "label").agg(F.count("*").alias("n")).collect()}
-    whole = sum(sizes.values())
-    base = sum(n for (_, label), n in sizes.items() if label == 1) / whole if whole else 0.0
+    base = known.get(1, 0) / sum(known.values()) if known else 0.0
     if any(not sizes.get((h, k)) for h in (0, 1) for k in (0, 1)):
         return Model([], base)
 
@@ -250,7 +254,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", tex
     """One row per row of ``docs``: doc_id, score (0 to 1), predicted (1 if score >= 0.3).
 
     A null text is the empty text, which has the score of a text without any window. Texts with the
-    same words have the same score; repeated rows each have a row. Other columns are not looked at.
+    same words have the same score; repeated rows each have a row. Other columns, whatever their names,
+    are not looked at. An empty table gives no rows.
     """
     schema = schema_with(docs, {"doc_id": id_column}, "score double, predicted int")
 
@@ -265,15 +270,24 @@ def score_toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", tex
 
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not predicted to be toxic."""
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic.
+
+    A model without halves knows nothing of single texts: all rows stay. Null texts are empty,
+    repeated rows share their text's verdict, an empty table stays empty.
+    """
+    if not model.halves:
+        return docs
 
     def keep(batches):
+        forget()
         scorers = [Scorer(half) for half in model.halves]
         for batch in batches:
             for part in slices(batch, text_column):
                 words = [fold(t or "") for t in part[text_column].to_pylist()]
-                scores = np.mean([s.scores(words) for s in scorers], axis=0) if scorers else np.full(len(words), model.base)
+                scores = np.mean([s.scores(words) for s in scorers], axis=0)
                 yield from part.filter(pa.array(scores < THRESHOLD)).to_batches()
+        scorers.clear()
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
 
