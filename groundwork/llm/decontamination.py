@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from groundwork.llm.arrow import map_rows, schema_with
 from groundwork.llm.registry import query, table
-from groundwork.llm.storage import stored
+from groundwork.llm.storage import identity, stored, without_rows
 from groundwork.llm.words import ALNUM, LOWER, U, Words, gram_hashes, mix, texts_of, within
 
 WINDOW = 8
@@ -316,10 +316,15 @@ def contamination(
     return best.select("doc_id", "item_id", "b.n_words", "b.covered", "b.exact", (-F.col("b.col3")).alias("start"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that :func:`contamination` reports; a null doc_id is kept."""
-    bad = contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows whose own text :func:`contamination` reports.
+
+    Rows of other texts that share a doc_id stay; a null doc_id is judged by its text like any
+    other. Null and empty texts stay; an empty table stays empty, an empty benchmark removes nothing.
+    """
+    keyed = docs.select(identity(id_column, text_column).alias("own"), F.col(text_column).alias("text"))
+    gone = contamination(keyed, benchmark, "own").select(F.col("doc_id").alias("own"))
+    return without_rows(docs, gone, id_column, text_column)
 
 
 @query("op8_decontamination")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.registry import query, table
-from groundwork.llm.storage import KEY, content_key, stored
+from groundwork.llm.storage import KEY, content_key, identity, stored, without_rows
 
 FAN_IN = 16
 
@@ -81,24 +81,22 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """``docs``, all columns, with one row for each distinct text: the one :func:`exact_dedup` keeps.
 
     Of rows repeated with the same identifier and text, whatever their other columns, any one stays.
+    An empty table stays empty.
     """
-    found = exact_dedup(docs, id_column, text_column, keep)
-    twins = ["id_", "sha_"]
-    judged = stored(found.select(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("sha_"), "kept"), "kept").groupBy(*twins)
-    judged = judged.agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
+    own = F.struct(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha")).alias("own")
+    judged = stored(exact_dedup(docs, id_column, text_column, keep).select(own, "kept"), "kept")
+    judged = judged.groupBy("own").agg(F.max("kept").alias("stays"), F.count("*").alias("times"))
     judged = stored(judged.where("times > 1 OR NOT stays"), "judged")
-    own = F.sha2(F.coalesce(docs[text_column], F.lit("")).cast("binary"), 256)
-
-    def same(side: DataFrame):
-        return docs[id_column].eqNullSafe(side["id_"]) & (own == side["sha_"])
-
+    once = without_rows(docs, judged, id_column, text_column)
     repeated = judged.where("stays")
-    once = docs.join(judged, same(judged), "left_anti")
     if repeated.isEmpty():
         return once
     # Seldom: a row that stays is there several times.
-    again = docs.join(repeated, same(repeated), "left_semi").withColumn("sha_", F.sha2(F.coalesce(F.col(text_column), F.lit("")).cast("binary"), 256))
-    return once.unionByName(again.dropDuplicates([id_column, "sha_"]).drop("sha_"))
+    key = "own"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key += "_"
+    again = without_rows(docs, repeated, id_column, text_column, "left_semi").withColumn(key, identity(id_column, text_column))
+    return once.unionByName(again.dropDuplicates([key]).drop(key))
 
 
 def _merged(runs: DataFrame, keys: list[str], keep: str) -> DataFrame:

@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from groundwork.llm.arrow import schema_with
+from groundwork.llm.arrow import release, schema_with
 from groundwork.llm.exchange import answers, ask, asked, buckets_of, chunked, heard, place
 from groundwork.llm.links import components
 from groundwork.llm.registry import query, table
-from groundwork.llm.storage import partitions, stored, with_summary
+from groundwork.llm.storage import identity, partitions, stored, with_summary, without_rows
 from groundwork.llm.words import LOWER, U, Words, gram_hashes, mix, slices, texts_of, whole_hashes, within
 
 SHINGLE = 5
@@ -163,6 +163,7 @@ def shingle_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -
         return pa.ListArray.from_arrays(pa.array(edges), pa.array(values.view(np.int64)), mask=mask)
 
     def keep(chunk: pa.Table, reply: pa.Table) -> pa.Table:
+        release()
         if not chunk.num_rows:
             return arrow.empty_table()
         places, _ = asked(_all_signatures(chunk, size), None, buckets)
@@ -380,10 +381,17 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, id_column: str = "d
 
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs``, all columns, with the smallest doc_id of each component; rows without one stay."""
-    found = jaccard_components(docs, SHINGLE, id_column, text_column)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(gone, id_column, "left_anti").select(*docs.columns)
+    """``docs``, all columns, with one identifier and text of each component: the smallest doc_id, and of
+    texts that share it the one with the smallest SHA-256.
+
+    A null doc_id stays only where the component has no other. Rows that repeat an identifier and a
+    text are one document and all stay or all go (:func:`without_copies` tells them apart). Empty
+    texts are linked with nothing and stay; an empty table stays empty.
+    """
+    keyed = docs.select(identity(id_column, text_column).alias("own"), F.col(text_column).alias("text"))
+    found = jaccard_components(keyed, SHINGLE, "own", "text")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("own"))
+    return without_rows(docs, gone, id_column, text_column)
 
 
 @query("op1_jaccard_join")

@@ -71,3 +71,25 @@ def content_key(text) -> list:
 
 
 KEY = ["sha", "bytes", "check"]
+
+#: Up to this many row identities are broadcast, about 100 bytes each.
+BROADCAST_ROWS = 200_000
+
+
+def identity(id_column: str, text_column: str):
+    """What a decision about a row goes by: its identifier, if it has one, and its whole text; missing identifiers come last."""
+    text = F.coalesce(F.col(text_column), F.lit("")).cast("binary")
+    return F.struct(F.col(id_column).isNull().alias("unknown"), F.col(id_column).alias("id"), F.unhex(F.sha2(text, 256)).alias("sha"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_column: str, text_column: str, kind: str = "left_anti") -> DataFrame:
+    """``docs``, all columns, without the rows whose :func:`identity` is the column ``own`` of ``gone``.
+
+    Few identities are broadcast, so that no text is moved; more than :data:`BROADCAST_ROWS` meet
+    the rows by a shuffle join. ``kind`` "left_semi" gives the other rows.
+    """
+    gone = stored(gone.select(F.col("own.id").alias("id"), F.col("own.sha").alias("sha")).distinct(), "gone")
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    own = F.unhex(F.sha2(F.coalesce(docs[text_column], F.lit("")).cast("binary"), 256))
+    same = docs[id_column].eqNullSafe(gone["id"]) & (own == gone["sha"])
+    return docs.join(F.broadcast(gone) if few else gone, same, kind)

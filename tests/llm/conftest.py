@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Columns that every operator must leave alone, named like columns it uses itself.
-CLASHING = ["row", "run", "n", "v", "chunk", "bucket", "shard", "own", "id", "best", "label"]
+CLASHING = ["row", "run", "n", "v", "chunk", "bucket", "shard", "own", "id", "best", "label", "sha_", "own_", "gone"]
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType())]
     + [T.StructField(c, T.StringType()) for c in CLASHING]

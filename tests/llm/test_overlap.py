@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from groundwork.llm import jaccard_join
-from groundwork.llm.jaccard_join import bands, differences, jaccard_components, parts
+from groundwork.llm.jaccard_join import bands, differences, jaccard_components, parts, without_near_copies
 from groundwork.llm.links import components
 from groundwork.llm.substring_dedup import substring_dedup
 from groundwork.llm.words import SPACED, Words, gram_hashes, whole_hashes
@@ -185,3 +185,22 @@ def test_pipeline_stages_agree_with_their_operators(spark):
         assert stage[name](spark, docs, SMALL).columns == docs.columns
     packed = corpus_pipeline.run(spark, SMALL).collect()
     assert packed and {r.doc_id for r in packed} <= set(ids(docs))
+
+
+def test_near_copies_go_by_row(frame, monkeypatch):
+    from groundwork.llm import storage
+
+    text = prose(91, 200)
+    near, other = text + " more", prose(92, 200)
+    rows = [(1, text), (5, near), (5, other), (None, text + " end"), (None, prose(93, 80)), (7, None), (8, ""), (9, "")]
+    want = sorted([rows[0], rows[2], *rows[4:]], key=repr)
+
+    def left():
+        found = without_near_copies(frame(rows))
+        assert found.columns == frame(rows).columns
+        return sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+
+    assert left() == want
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
+    assert left() == want
+    assert without_near_copies(frame([])).collect() == []

@@ -30,8 +30,15 @@ def test_postfix_order_and_verdicts():
     for bad in ("", "OR MIT", "MIT OR", "(MIT", "MIT)", "MIT ISC", "()", "(MIT OR ISC) WITH x"):
         assert evaluate(bad) is None
     assert leading_expression(" MIT OR ISC */ rest") == "mit or isc"
-    assert leading_expression(" (MIT) and more words") == "( mit ) and more"
-    assert leading_expression("***") == ""
+    for text, said in [
+        (" (MIT) and more words", "( mit )"), ("***", ""), (" MIT, see LICENSE", "mit"), (" see the file LICENSE", ""),
+        (" Apache-2.0.", "apache-2.0"), (" MIT. OR ISC", "mit"), ("MIT-->", "mit"), (' "MIT"', "mit"), (" MIT\nOR ISC", "mit"),
+        (" GPL-2.0-only WITH nothing", "gpl-2.0-only"), (" GPL-2.0-only WITH Classpath-exception-2.0 AND MIT", "gpl-2.0-only with classpath-exception-2.0 and mit"),
+        (" (MIT OR GPL-2.0+) AND LicenseRef-own", "( mit or gpl-2.0+ ) and licenseref-own"), ("((MIT)", ""), (" MIT AND (ISC OR", "mit"),
+        ("(MIT OR ISC) WITH llvm-exception", "( mit or isc )"),
+    ]:
+        assert leading_expression(text) == said
+        assert not said or evaluate(said)
 
 
 def base_of(text):
@@ -42,6 +49,19 @@ def base_of(text):
     return len(words), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def test_time_grows_with_the_hits_of_a_text(frame):
+    from time import perf_counter
+
+    def seconds(times):
+        rows = frame([(1, "mit license " * times)], 1)
+        scan_licenses(rows).select("n_base").collect()
+        start = perf_counter()
+        assert scan_licenses(rows).select("n_base").first()[0] == times
+        return perf_counter() - start
+
+    assert seconds(160_000) < 8 * seconds(20_000) + 2
+
+
 def test_base_phrases_match_brute_force(frame):
     rows = ODD + [
         (10, "MIT License. mit\nLICENSE! mit-license, mitlicense mit é license"),
@@ -49,6 +69,9 @@ def test_base_phrases_match_brute_force(frame):
         (12, "mit license " * 20_000),
         (13, "x\n// SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND ISC\ny"),
         (14, "SPDX-License-Identifier: AND"),
+        (15, "SPDX-License-Identifier: MIT, see LICENSE"),
+        (16, "SPDX-License-Identifier: see the file LICENSE"),
+        (17, "SPDX-License-Identifier: Apache-2.0. SPDX-License-Identifier: (MIT) and more words"),
     ]
     found = scan_licenses(frame(rows)).collect()
     got = sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found), key=repr)
@@ -57,6 +80,10 @@ def test_base_phrases_match_brute_force(frame):
     assert by_id[13].labels == "gpl-2.0-only,isc,mit"
     assert by_id[13].expressions[0].accepted is True
     assert (by_id[14].labels, by_id[14].expressions) == ("", [])
+    assert [by_id[n].labels for n in (15, 16, 17)] == ["mit", "", "apache-2.0,mit"]
+    for r in found:
+        if r.doc_id == 12:
+            assert [h.word for h in r.notices] == list(range(0, 40_000, 2))
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in found)
     assert scan_licenses(frame([])).collect() == []
 
@@ -188,7 +215,7 @@ def test_templates_find_reparameterised_items(frame, spark):
     assert contamination(frame([]), items).collect() == []
     assert contamination(frame(rows), items.limit(0)).collect() == []
     left = without_contaminated(frame(rows), items)
-    assert sorted((r.doc_id or 0) for r in left.collect()) == [0, 4, 5, 6, 7, 9]
+    assert sorted((r.doc_id or 0) for r in left.collect()) == [4, 5, 6, 7, 9]
 
 
 def test_shifted_copies_are_read_together(frame, spark):
@@ -257,3 +284,38 @@ def test_toxicity_takes_odd_texts_and_missing_labels(frame, spark):
     assert len(found) == len(texts) + len(rows)
     assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in found if r.doc_id is not None and r.doc_id > 10]) > 0.95
     assert score_toxicity(frame([]), model).collect() == []
+
+
+def test_order_of_words_alone_removes_nothing(frame, spark):
+    # No word tells the classes apart: every third text is toxic by the order of its words.
+    words = prose(5, 12).split()
+    rows = [(i, " ".join(sorted(words, reverse=i % 3 == 0)) + f" {i % 7}") for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = fit(frame(rows), labels)
+    assert model.halves == [] and 0.2 < model.base < 0.45
+    assert without_toxic(frame(rows), model).count() == 600
+    assert {r.score for r in score_toxicity(frame(rows), model).collect()} == {model.base}
+
+
+def test_share_of_the_labels_is_the_score_without_a_model(frame, spark):
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(1000)], "doc_id long, toxic int")
+    model = fit(frame([(i, "same words") for i in range(1000)]), labels, sample=40)
+    assert model.halves == [] and abs(model.base - 0.05) < 0.03
+    assert fit(frame([]), labels).halves == [] and without_toxic(frame([]), model).collect() == []
+
+
+def test_missing_identifier_is_not_held_out(spark):
+    from groundwork.llm.toxicity import held_out
+
+    got = spark.createDataFrame([(None,), (1,)], "doc_id long").select(held_out().alias("h")).collect()
+    assert [r.h for r in got] == [False, zlib.crc32(b"1") % 4 == 2]
+
+
+def test_rows_are_told_apart_by_identifier_and_text(frame, spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tall old tree by the river"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item), (1, "clean words that share the identifier"), (None, "here: " + item), (None, None), (2, ""), (3, item), (3, item)]
+    left = sorted(((r.doc_id, r.text) for r in without_contaminated(frame(rows), benchmark).collect()), key=repr)
+    assert left == sorted([rows[1], rows[3], rows[4]], key=repr)
+    assert without_contaminated(frame([]), benchmark).collect() == []
+    assert without_contaminated(frame(rows), benchmark.where("false")).count() == len(rows)
