@@ -8,7 +8,8 @@ of the other half; a logistic curve over the strongest bins of a text gives the
 both halves. Each distinct word of a task is compressed once.
 
 The fit takes a bounded sample of labelled rows, at most ``sample`` of each class, chosen by the
-hash of doc_id; terms are counted by a Spark aggregation over it. Scoring covers every row.
+hash of doc_id; all their words, however many and long, are counted by a Spark aggregation. Scoring
+covers every row.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from groundwork.llm.words import ALNUM, slices
 #: Labelled rows of each class that the fit may use.
 SAMPLE = 4_000
 THRESHOLD = 0.3
-#: Terms and common words that the driver may hold.
-MOST_TERMS, COMMON = 20_000, 4_000
+#: Bytes of the toxic and of the ordinary dictionary.
+SIZES = 16_384, 32_768
 #: Standing behind each window, so that short words are searched in the dictionary too.
 FILLER = b"\x01" * 8
 _SPLIT = bytes(c if ALNUM[c] else 32 for c in range(256))
@@ -90,7 +91,7 @@ class Scorer:
             found = min(len(word), 15) << 16 | o << 8 | t
             if len(self.bins) >= 500_000:
                 self.bins.clear()
-            if len(word) <= 64:
+            if len(word) <= 64:  # longer ones are seldom met again
                 self.bins[word] = found
         return found
 
@@ -190,15 +191,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             }
 
     seen = map_rows(rows, schema_with(rows, {}, "word binary, half int, label int"), distinct)
-    held = seen.where("octet_length(word) <= 64").groupBy("word")
     counts = stored(
-        held.agg(*(F.count_if((F.col("half") == h) & (F.col("label") == k)).alias(f"n{h}{k}") for h in (0, 1) for k in (0, 1))),
+        seen.groupBy("word").agg(*(F.count_if((F.col("half") == h) & (F.col("label") == k)).alias(f"n{h}{k}") for h in (0, 1) for k in (0, 1))),
         "toxicity-terms",
     )
-    often = counts.where("n01 + n11 >= 2 AND octet_length(word) >= 3")
-    often = often.orderBy(F.desc(F.col("n01") + F.col("n11")), F.col("n00") + F.col("n10"), "word").limit(MOST_TERMS).collect()
-    usual = counts.orderBy(F.desc(F.col("n00") + F.col("n10")), "word").limit(COMMON).collect()
-    trained = [_train(often, usual, sizes, h) for h in (0, 1)]
+    trained = [_train(counts, sizes, h) for h in (0, 1)]
     if not all(trained):
         return Model([], base)
     halves = [Half(*pair, {}, None) for pair in trained]
@@ -238,16 +235,28 @@ def _calibrated(half: Half, rows: list, odds: float) -> Half:
     return Half(half.toxic, half.ordinary, weights, (mean, spread, w))
 
 
-def _train(often, usual, sizes, h: int) -> tuple[bytes, bytes] | None:
-    """Toxic and ordinary dictionary from one half of the sample; None without toxic terms."""
-    terms = []
-    for r in often:
-        t, o = r[f"n{h}1"], r[f"n{h}0"]
-        mean = sizes[h, 1] * (o + 0.5) / sizes[h, 0]
-        if t >= 2 and t > 8 * mean and _unlikely(t, mean) < 1e-4:
-            terms.append((bytes(r["word"]), t))
-    common = [(bytes(r["word"]), 5) for r in usual if r[f"n{h}0"]]
-    return (_dictionary(terms, 16_384), _dictionary(common, 32_768)) if terms and common else None
+def _train(counts: DataFrame, sizes: dict, h: int) -> tuple[bytes, bytes] | None:
+    """Toxic and ordinary dictionary from one half of the sample; None without toxic terms.
+
+    Every word that toxic texts have far more often than chance is material of the first. That of the
+    second is the most common words of ordinary texts, whole ranks of equal count, up to twice the
+    dictionary's size and at least one rank.
+    """
+    t, o = F.col(f"n{h}1"), F.col(f"n{h}0")
+    mean = sizes[h, 1] * (o + 0.5) / sizes[h, 0]
+    more = counts.where((t >= 2) & (t > 8 * mean) & (F.octet_length("word") >= 3)).select("word", t.alias("t"), mean.alias("mean"))
+    terms = sorted((-r["t"], bytes(r["word"])) for r in more.collect() if _unlikely(r["t"], r["mean"]) < 1e-4)
+    spent, least = 0, None
+    ranks = counts.where(o > 0).groupBy(o.alias("n")).agg(F.sum(F.octet_length("word") + len(window(b""))).alias("bytes"))
+    for r in ranks.orderBy(F.desc("n")).collect():
+        spent += r["bytes"]
+        if least is not None and spent > 2 * SIZES[1]:
+            break
+        least = r["n"]
+    if not terms or least is None:
+        return None
+    common = sorted((-r["n"], bytes(r["word"])) for r in counts.where(o >= least).select("word", o.alias("n")).collect())
+    return _dictionary([(w, -n) for n, w in terms], SIZES[0]), _dictionary([(w, 5) for _, w in common], SIZES[1])
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -286,6 +286,46 @@ def test_toxicity_takes_odd_texts_and_missing_labels(frame, spark):
     assert score_toxicity(frame([]), model).collect() == []
 
 
+def test_scores_against_plain_compression(frame, spark):
+    import math
+
+    import zstandard as zs
+
+    from groundwork.llm.toxicity import FILLER
+
+    long = "x" * 300
+    texts = [(i, f"{prose(i, 30)} {('Horrid, ' + long) if i % 3 == 0 else 'mild'} {prose(i + 1, i % 40)}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = fit(frame(texts), labels)
+    assert any(long[:40].encode() in half.toxic for half in model.halves)
+    shape = dict(
+        window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY,
+        write_content_size=False, write_checksum=False, write_dict_id=False,
+    )
+
+    def size(dictionary, word):
+        window = b" " + word + b" " + FILLER
+        return min(255, len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(dictionary), compression_params=zs.ZstdCompressionParameters(**shape)).compress(window)))
+
+    def score(text):
+        words, total = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower()), 0
+        for half in model.halves:
+            gains = []
+            for word in {w.encode() for w in words}:
+                gains.append(half.weights.get(min(len(word), 15) << 16 | size(half.ordinary, word) << 8 | size(half.toxic, word), 0.0))
+            best = [max(g, 0) for g in sorted(gains)[::-1][:3]]
+            x = best + [0] * (3 - len(best)) + [math.log(1 + len(words)), sum(g > 1 for g in gains) / (len(words) + 20) ** 0.5]
+            mean, spread, w = half.curve
+            total += 1 / (1 + math.exp(-max(-30, min(30, w[0] + sum(c * (v - m) / s for c, v, m, s in zip(w[1:], x, mean, spread))))))
+        return total / 2
+
+    rows = [*texts[:25], (-1, None), (-2, ""), (-3, long), (-4, "horrid"), (-4, "horrid")]
+    got = [(r.doc_id, r.score) for r in score_toxicity(frame(rows), model).collect()]
+    want = [(i, score(t or "")) for i, t in rows]
+    assert [i for i, _ in sorted(got)] == [i for i, _ in sorted(want)]
+    assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(sorted(got), sorted(want), strict=True))
+
+
 def test_order_of_words_alone_removes_nothing(frame, spark):
     # No word tells the classes apart: every third text is toxic by the order of its words.
     words = prose(5, 12).split()
