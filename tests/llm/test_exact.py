@@ -8,7 +8,7 @@ import pytest
 
 from groundwork.llm.bins import CapacityTree, best_fit_decreasing, best_fit_into
 from groundwork.llm.exact_dedup import exact_dedup, without_copies
-from groundwork.llm.line_dedup import line_dedup, site_spread
+from groundwork.llm.line_dedup import FEW, line_dedup, site_spread
 from groundwork.llm.sharding import shard_documents
 from tests.conftest import plan_of
 from tests.llm.conftest import prose
@@ -130,10 +130,17 @@ def test_lines_of_many_sites_go(frame):
     rows += [(500 + i, f"near {i % 3}\nx", f"t{i}") for i in range(20)]
     rows += [(600, None, "a"), (601, "", "b"), (602, "cookie notice", None), (None, "cookie notice\nz", "c"), (603, "z" * 200_000, None)]
     rows += [(1, rows[1][1], "s1")]
-    for least in (5, 6, 7, 40):
-        found = line_dedup(frame(rows), least).collect()
+    for least, few in ((5, FEW), (6, FEW), (7, FEW), (40, FEW), (5, 0), (40, 0)):
+        found = line_dedup(frame(rows), least, few=few).collect()
         assert sorted((tuple(r) for r in found), key=repr) == lines_left(rows, least)
     assert line_dedup(frame([])).collect() == []
+    assert len(line_dedup(frame([(None, "same\nown", f"s{i}") for i in range(60)] + [(None, None)] * 2)).collect()) == 62
+
+
+def test_lines_meet_texts_without_an_exchange(frame):
+    rows = [(i, f"notice\nown {i}", f"s{i % 9}") for i in range(90)]
+    plans = [line_dedup(frame(rows).cache(), few=few)._jdf.queryExecution().executedPlan().toString() for few in (FEW, 0)]
+    assert "SortMergeJoin" not in plans[0] and "HashJoin" not in plans[0] and "Join" in plans[1]
 
 
 def test_spread_counts_exactly_near_the_threshold(frame):
