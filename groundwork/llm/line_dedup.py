@@ -77,15 +77,14 @@ def line_dedup(
     columns, whatever their names, are not looked at. An empty table gives no rows.
     """
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    wide = stored(site_spread(docs, min_sites, text_column, site_column).select("h1", "h2"), "boilerplate")
-    if wide.limit(few + 1).count() <= few:
-        return _filtered_in_place(own, wide)
-    return _filtered_by_join(own, wide)
+    wide = site_spread(docs, min_sites, text_column, site_column).select("h1", "h2")
+    removed = wide.limit(few + 1).toArrow()
+    return _filtered_in_place(own, removed) if removed.num_rows <= few else _filtered_by_join(own, wide)
 
 
-def _filtered_in_place(own: DataFrame, wide: DataFrame) -> DataFrame:
+def _filtered_in_place(own: DataFrame, removed: pa.Table) -> DataFrame:
     """The removed lines, of bounded number, are looked up where the texts are."""
-    removed = wide.orderBy("h1", "h2").toArrow()
+    removed = removed.sort_by([("h1", "ascending"), ("h2", "ascending")])
     first, second = (removed[c].to_numpy() for c in ("h1", "h2"))
 
     def among(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
