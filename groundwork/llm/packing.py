@@ -155,7 +155,10 @@ def pack_documents(
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids instead of the ids."""
+    """Pieces with the CRC-32 of their ids instead of the ids.
+
+    One row per piece, repeated pieces too; a null doc_id stays null, no pieces give no rows.
+    """
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

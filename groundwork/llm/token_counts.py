@@ -74,7 +74,8 @@ def count_tokens(
     is null, if there are any. Null spans and spans that end before they start are left out; where
     two overlap, the earlier one ends at the start of the later one. A null text is the empty
     text, which has no tokens and, without ``sections_column``, one empty line. Repeated rows each
-    have their rows; other columns are not looked at.
+    have their rows, a null identifier is kept; other columns, whatever their names, are not looked at.
+    An empty table gives no rows.
     """
     path = vocabulary or default_vocabulary()
     picked = [F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")]

@@ -9,7 +9,7 @@ import pytest
 
 from groundwork.llm.decontamination import contamination, without_contaminated
 from groundwork.llm.licenses import BASE, evaluate, leading_expression, scan_licenses, to_postfix
-from groundwork.llm.packing import brute_force, curve_keys, hilbert_keys, pack_documents
+from groundwork.llm.packing import brute_force, curve_keys, digest, hilbert_keys, pack_documents
 from groundwork.llm.token_counts import count_tokens
 from groundwork.llm.tokens import Encoder, default_vocabulary
 from groundwork.llm.toxicity import fit, score_toxicity, without_toxic
@@ -156,6 +156,9 @@ def test_packing_does_not_depend_on_partitions(frame):
     one, many = (sorted(map(repr, pack_documents(frame(rows, p)).collect())) for p in (1, 5))
     assert one == many
     assert pack_documents(frame([])).collect() == []
+    digests = [r.asDict() for r in digest(pack_documents(frame(rows))).collect()]
+    assert sum(d["doc_id"] is None for d in digests) == 1 and all(0 <= d["ids_crc32"] < 2**32 for d in digests)
+    assert digest(pack_documents(frame([]))).collect() == []
 
 
 def test_tokens_of_lines_match_offsets(frame, encoder):
@@ -187,6 +190,7 @@ def test_tokens_of_given_sections(spark):
     assert found[1, "title"][:2] == (0, 10) and found[1, "body"][:2] == (11, 20) and found[1, "late"][:2] == (20, 25)
     whole = sum(n for (d, _), (*_, n) in found.items() if d == 1)
     assert whole == found[2, None][2] and found[3, "a"][2] == 0
+    assert count_tokens(docs.where("false"), "parts").collect() == count_tokens(docs.where("false")).collect() == []
 
 
 ITEMS = [
