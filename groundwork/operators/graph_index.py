@@ -30,6 +30,8 @@ LINKS, CANDIDATES, BACK = 24, 96, 48
 SPREAD = 1.2
 #: Vectors of one shard, entry vectors of its graph, and vectors that a search keeps in sight.
 SHARD_ROWS, ENTRIES, WIDTH = 4096, 4, 128
+#: Vectors of a shard that choose their links at a time.
+STRIP = 128
 
 SHARD = "shard bigint, metric string, dim int, ids binary, vectors binary, starts binary, links binary, entries array<int>"
 
@@ -72,37 +74,55 @@ def graph_of(vectors: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray,
     points = _in_space(vectors, metric).astype(np.float32)
     n = len(points)
     norms = (points * points).sum(axis=1)
-    gaps = np.maximum(norms[:, None] - 2 * points @ points.T + norms, 0)
-    np.fill_diagonal(gaps, np.inf)
     most = min(CANDIDATES, n - 1)
     if most < 1:
         return np.array([0, 0], np.int32), np.empty(0, np.int32), [0]
-    near = np.argpartition(gaps, most - 1, axis=1)[:, :most]
-    near = np.take_along_axis(near, np.argsort(np.take_along_axis(gaps, near, axis=1), axis=1, kind="stable"), axis=1)
-    rows = np.arange(n)
     chosen, count = np.full((n, LINKS), -1), np.zeros(n, int)
-    for place in range(most):
-        candidate = near[:, place]
-        own = gaps[rows, candidate]
-        # Distance of the candidate to the nearest link chosen so far.
-        to_chosen = np.where(chosen >= 0, gaps[candidate[:, None], np.maximum(chosen, 0)], np.inf).min(axis=1)
-        take = (count < LINKS) & (to_chosen * SPREAD >= own)
-        chosen[rows[take], count[take]] = candidate[take]
-        count[take] += 1
+    for start in range(0, n, STRIP):
+        rows = np.arange(start, min(start + STRIP, n))
+        chosen[rows], count[rows] = _choose(points, norms, rows, most)
     sets = [set(chosen[v, : count[v]].tolist()) for v in range(n)]
     back = [[] for _ in range(n)]
     for v in range(n):
         for other in sets[v]:
             back[other].append(v)
     for v in range(n):
-        extra = sorted(set(back[v]) - sets[v], key=lambda other: (gaps[v, other], other))[:BACK]
-        sets[v].update(extra)
+        extra = np.array(sorted(set(back[v]) - sets[v]), int)
+        if len(extra) > BACK:
+            extra = extra[np.argsort(_gaps(points, norms, v, extra), kind="stable")[:BACK]]
+        sets[v].update(extra.tolist())
     entries = _entries(points)
-    _connect(sets, gaps, entries)
+    _connect(sets, points, norms, entries)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
     return starts, np.array([other for s in sets for other in sorted(s)], np.int32), entries
 
 
+def _gaps(points: np.ndarray, norms: np.ndarray, rows, others) -> np.ndarray:
+    """Squared distances of some points, or one, to others."""
+    return np.maximum(norms[rows][..., None] - 2 * points[rows] @ points[others].T + norms[others], 0)
+
+
+def _choose(points: np.ndarray, norms: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen, count): the links of some rows, from the ``most`` nearest of all points."""
+    gaps, at = _gaps(points, norms, rows, slice(None)), np.arange(len(rows))
+    gaps[at, rows] = np.inf
+    near = np.argpartition(gaps, most - 1, axis=1)[:, :most]
+    gaps = np.take_along_axis(gaps, near, axis=1)
+    order = np.argsort(gaps, axis=1, kind="stable")
+    near, gaps = np.take_along_axis(near, order, axis=1), np.take_along_axis(gaps, order, axis=1)
+    held, size = points[near], norms[near]
+    among = np.maximum(size[:, :, None] - 2 * held @ held.transpose(0, 2, 1) + size[:, None, :], 0)
+    # Distance of each candidate to the nearest link chosen so far.
+    to_chosen = np.full(near.shape, np.inf, np.float32)
+    chosen, count = np.full((len(rows), LINKS), -1), np.zeros(len(rows), int)
+    for place in range(most):
+        take = np.flatnonzero((count < LINKS) & (to_chosen[:, place] * SPREAD >= gaps[:, place]))
+        chosen[take, count[take]] = near[take, place]
+        count[take] += 1
+        to_chosen[take] = np.minimum(to_chosen[take], among[take, place])
+    return chosen, count
+
+
 def _in_space(vectors: np.ndarray, metric: str) -> np.ndarray:
     """Points whose Euclidean neighbours are the metric's: unit vectors for the cosine, one more
     coordinate that makes all equally long for the inner product."""
@@ -124,7 +144,7 @@ def _entries(points: np.ndarray) -> list[int]:
     return list(dict.fromkeys(taken))
 
 
-def _connect(sets: list[set[int]], gaps: np.ndarray, entries: list[int]) -> None:
+def _connect(sets: list[set[int]], points: np.ndarray, norms: np.ndarray, entries: list[int]) -> None:
     """Link what the entries do not reach, in both directions, at the shortest gap."""
     reached = np.zeros(len(sets), bool)
     stack = list(entries)
@@ -139,7 +159,7 @@ def _connect(sets: list[set[int]], gaps: np.ndarray, entries: list[int]) -> None
         if not len(missing):
             return
         there = np.flatnonzero(reached)
-        part = gaps[missing[0], there]
+        part = _gaps(points, norms, missing[0], there)
         bridge = int(there[part.argmin()])
         sets[bridge].add(int(missing[0]))
         sets[missing[0]].add(bridge)
@@ -193,7 +213,8 @@ def _searcher(query_ids: np.ndarray, queries: np.ndarray, k: int, width: int, sk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch.to_pylist():
+            for row in range(batch.num_rows):
+                shard = batch.slice(row, 1).to_pylist()[0]
                 best = kernels.Nearest(query_ids, queries, k, shard["metric"], skip_self)
                 vectors = np.frombuffer(shard["vectors"], np.float32).reshape(-1, shard["dim"])
                 ids = np.frombuffer(shard["ids"], np.int64)

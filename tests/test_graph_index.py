@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -40,6 +42,16 @@ def test_every_vector_is_reached(metric, kind):
     assert not any(v in links[starts[v] : starts[v + 1]] for v in range(len(points)))
 
 
+def test_a_shard_never_holds_all_its_distances():
+    points = np.random.default_rng(9).normal(size=(2048, 16))
+    tracemalloc.start()
+    starts, links, entries = graph_of(points, vectors.DOT)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert reached(starts, links, entries) == set(range(2048))
+    assert peak < 25 << 20  # all pairs in float32 alone are 16 MB, their order 32 MB
+
+
 @pytest.mark.parametrize("metric", vectors.METRICS)
 @pytest.mark.parametrize("bound", [4096, 10])
 def test_recall_against_exact_search(spark, tmp_path, monkeypatch, metric, bound):
