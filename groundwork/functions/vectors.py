@@ -19,8 +19,10 @@ COSINE = "cosine"
 METRICS = (DOT, COSINE)
 RANK_DIGITS = 9
 
-# Scores held at once by one task: rows of a batch times this many queries.
-QUERY_STRIP = 256
+# Scores held at once by one task: so many rows of a batch times so many queries.
+ROW_STRIP, QUERY_STRIP = 4096, 256
+# Gaps to centres held at once by one task, whatever the number of cells: about 16 MB.
+CELL_GAPS = 1 << 21
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -72,6 +74,10 @@ class Nearest:
     def add(self, ids: np.ndarray, corpus: np.ndarray, asking: np.ndarray | None = None) -> None:
         """Show a block of rows to all queries, or to those numbered ``asking``."""
         asking = np.arange(len(self.queries)) if asking is None else asking
+        if len(ids) > ROW_STRIP:
+            for start in range(0, len(ids), ROW_STRIP):
+                self.add(ids[start : start + ROW_STRIP], corpus[start : start + ROW_STRIP], asking)
+            return
         for start in range(0, len(asking), QUERY_STRIP):
             strip = asking[start : start + QUERY_STRIP]
             scores = distances(corpus, self.queries[strip], self.metric)
@@ -155,6 +161,14 @@ def scan_cells(
     return run
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, so few at a time that their gaps to ``cells`` centres stay in bounds."""
+    most = max(1, CELL_GAPS // max(cells, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def best_cells(points: np.ndarray, centers: np.ndarray, nprobe: int) -> np.ndarray:
     """(points, nprobe) numbers of the centres with the largest inner product."""
     return np.argsort(-(points @ centers.T), axis=1, kind="stable")[:, : min(nprobe, len(centers))]
@@ -164,9 +178,7 @@ def cell_positions(centers: np.ndarray) -> BatchFunction:
     """mapInArrow function over (embedding, cell): the place of the cell among the vector's best, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in few_rows(batches, len(centers)):
             order = best_cells(matrix(batch.column(0), centers.shape[1]), centers, len(centers))
             cells = batch.column(1).to_numpy(zero_copy_only=False)
             place = (order == cells[:, None]).argmax(axis=1) + 1
@@ -179,9 +191,7 @@ def probe_cells(centers: np.ndarray, nprobe: int) -> BatchFunction:
     """mapInArrow function over (id, embedding): one row per query and probed cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in few_rows(batches, len(centers)):
             cells = best_cells(matrix(batch.column(1), centers.shape[1]), centers, nprobe)
             rows = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
             yield pa.RecordBatch.from_arrays(

@@ -171,9 +171,7 @@ def _place(points: np.ndarray, overlap: float):
     norms = (points * points).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in kernels.few_rows(batches, len(points)):
             rows = kernels.matrix(batch.column(1), points.shape[1])
             gaps = np.maximum((rows * rows).sum(axis=1)[:, None] - 2 * rows @ points.T + norms, 0)
             order = np.argsort(gaps, axis=1, kind="stable")[:, :2]
@@ -191,9 +189,7 @@ def _first_place(points: np.ndarray):
     """mapInArrow function over (embedding, cells): the best place any of the cells has in the vector's order, from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in kernels.few_rows(batches, len(points)):
             order = kernels.best_cells(kernels.matrix(batch.column(0), points.shape[1]), points, len(points))
             places = np.empty_like(order)
             np.put_along_axis(places, order, np.broadcast_to(np.arange(1, len(points) + 1), order.shape), axis=1)

@@ -1,9 +1,13 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundwork.errors import TableNotFound
+from groundwork.functions import vectors as kernels
 from groundwork.operators import vectors
-from groundwork.operators.vector_index import VectorIndex, build
+from groundwork.operators.vector_index import VectorIndex, _first_place, _place, build
 from tests.conftest import plan_of
 
 
@@ -79,3 +83,25 @@ def test_repeated_vectors(spark, tmp_path):
     query = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, embedding array<float>")
     assert [r.id for r in made.search(query, 3).orderBy("rank").collect()] == [0, 1, 2]
     assert np.isclose(made.search(query, 3).first().distance, -1)
+
+
+def test_a_batch_meets_many_cells_in_bounded_memory():
+    pick = np.random.default_rng(2)
+    rows, centers = pick.normal(size=(4000, 4)), pick.normal(size=(3000, 4))
+    vectors_ = pa.array(rows.tolist(), pa.list_(pa.float64()))
+    batch = pa.record_batch([pa.array(range(4000)), vectors_], ["id", "embedding"])
+    placed = pa.record_batch([vectors_, pa.array([[7]] * 4000, pa.list_(pa.int32()))], ["embedding", "cells"])
+    runs = [(_place(centers, 0.0), batch), (_first_place(centers), placed), (kernels.probe_cells(centers, 2), batch)]
+    results = []
+    for run, given in runs:
+        tracemalloc.start()
+        results.append(pa.Table.from_batches(list(run(iter([given])))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 90 << 20  # all gaps at once are 96 MB, and so is their order
+    gaps = ((rows[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
+    assert results[0].column("id").to_pylist() == list(range(4000))
+    assert results[0].column("cell").to_pylist() == gaps.argmin(axis=1).tolist()
+    order = np.argsort(-(rows @ centers.T), axis=1, kind="stable")
+    assert results[1].column("place").to_pylist() == (np.argmax(order == 7, axis=1) + 1).tolist()
+    assert results[2].column("cell").to_pylist() == order[:, :2].ravel().tolist()
