@@ -14,8 +14,8 @@ meetings before a row is written. Equal sets are one vertex from there on. Simil
 frequent ones: the rarest signature that two of them share is always kept by both.
 
 How many shingles of a set any other set has bounds every intersection it can have. That bound
-drops sets and pairs before sets travel. Vertices of one signature are compared in a star first;
-connected components merge groups of near copies without forming their pairs, and only pairs
+drops sets and pairs before sets travel. Vertices are compared with one centre each, then those of
+one signature in a star; connected components merge groups of near copies without forming their pairs, and only pairs
 across components that still share a signature are compared afterwards, each once: a vertex
 first finds the components it shares signatures with. Every link is decided by
 intersecting the two sets.
@@ -41,8 +41,10 @@ SHINGLE = 5
 PERCENT = 75
 #: Expected shingles per part at a band's smallest size; it fills more than k parts nearly always.
 LOAD = 1.7
-#: Rounds of stars before the pairs that are left are formed.
-ROUNDS = 2
+#: Rounds before the pairs that are left are formed: in the first a vertex meets one centre, then all of its stars.
+ROUNDS = 3
+#: So many signatures of a vertex or component, the smallest, tell whether two have met under a smaller one.
+FIRST = 12
 
 
 def bands(most: int) -> np.ndarray:
@@ -323,27 +325,49 @@ def _across(left: DataFrame) -> DataFrame:
     A signature is shared by a vertex and a component first: two vertices that share hundreds of signatures
     meet once, when both are known to share one with the other's component.
     """
-    held = left.groupBy("sig", F.col("c").alias("d")).agg(F.max("common").alias("most"), F.min("n").alias("least"))
-    met = left.join(held, "sig").where(F.col("c") != F.col("d"))
-    met = met.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("most"), bound=True))
-    sides = stored(met.select("v", "c", "d", "n", "common").distinct(), "sides")
+    sides = stored(_meetings(left).distinct(), "sides")
     other = sides.select(F.col("v").alias("w"), F.col("d").alias("c"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("common").alias("shared"))
     both = sides.where("c < d").join(other, ["c", "d"]).where(_possible(F.col("n"), F.col("common"), F.col("m"), F.col("shared")))
     return both.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
 
+def _meetings(left: DataFrame) -> DataFrame:
+    """(v, c, d, n, common): vertices v of component c that share a signature with a component d, few of them twice.
+
+    A vertex and a component that share hundreds of signatures meet under the smallest of them, and under another
+    only if their first ones do not show that they did.
+    """
+    held = left.groupBy("sig", F.col("c").alias("d")).agg(F.max("common").alias("most"), F.min("n").alias("least"))
+    held = stored(held.join(_first(held, "d").withColumnRenamed("first", "its_first"), "d"), "held")
+    met = left.join(_first(left, "v"), "v").join(held, "sig").where(F.col("c") != F.col("d"))
+    met = met.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("most"), bound=True))
+    met = met.where(F.coalesce(F.array_min(F.array_intersect("first", "its_first")), "sig") >= F.col("sig"))
+    return met.select("v", "c", "d", "n", "common")
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """(key, first): the smallest signatures of each key, :data:`FIRST` at most."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("sig"))
+    kept = rows.select(key, "sig").withColumn("place", place).where(F.col("place") <= FIRST)
+    return kept.groupBy(key).agg(F.collect_list("sig").alias("first"))
+
+
 def _stars(rows: DataFrame, own: DataFrame, turn: int) -> DataFrame:
     """Possible pairs of a centre per signature with its vertices of other components.
 
-    The first centre is the set with the fewest shingles of its own, then chance decides.
+    The first centre is the set with the fewest shingles of its own, then chance decides. In the first turn a vertex
+    meets the best of its centres alone, so that a large group of near copies is one component, or nearly, before
+    a vertex meets all of them.
     """
     known = rows.join(own, "v")
-    rank = F.col("common") - F.col("n") if turn == 0 else F.lit(0)
+    rank = F.col("common") - F.col("n") if turn < ROUNDS - 1 else F.lit(0)
     order = F.struct((-rank).alias("r"), F.xxhash64(F.lit(turn), "v").alias("o"), "v", "c", "n", "common")
     centre = known.groupBy("sig").agg(F.min(order).alias("x"), F.count("*").alias("times"))
     centre = centre.select("sig", "times", *(F.col(f"x.{c}").alias(f"its_{c}") for c in ("v", "c", "n", "common")))
     met = with_summary(known, centre, "sig", "times").where(F.col("c") != F.col("its_c"))
     met = met.where(_possible(F.col("n"), F.col("common"), F.col("its_n"), F.col("its_common")))
+    if turn == 0:
+        met = met.groupBy("v").agg(F.min(F.struct((F.col("its_n") - F.col("its_common")).alias("own"), F.xxhash64("its_v").alias("o"), "its_v")).alias("x")).select("v", "x.its_v")
     return met.select(F.least("its_v", "v").alias("a"), F.greatest("its_v", "v").alias("b")).distinct()
 
 

@@ -204,3 +204,25 @@ def test_near_copies_go_by_row(frame, monkeypatch):
     monkeypatch.setattr(storage, "BROADCAST_ROWS", 0)
     assert left() == want
     assert without_near_copies(frame([])).collect() == []
+
+
+def test_vertices_and_components_meet_under_few_of_their_signatures(spark):
+    pick = np.random.default_rng(4)
+    # 20 vertices, two to a component, with 60 of 80 signatures each, and a loner with one that another has.
+    held = {v: set(pick.choice(80, 60, replace=False).tolist()) for v in range(20)} | {20: {79, 500}}
+    held[3].add(500)
+    rows = [(sig - 40, v, v // 2, 100, 100) for v in held for sig in held[v]]
+    left = spark.createDataFrame(rows, "sig long, v long, c long, n long, common long")
+    met = [tuple(r) for r in jaccard_join._meetings(left).select("v", "d").collect()]
+    assert set(met) == {(v, w // 2) for v in held for w in held if v // 2 != w // 2 and held[v] & held[w]}
+    assert len(met) < 1.5 * len(set(met))  # under every signature they share there are some fifty times as many
+    pairs = [tuple(r) for r in jaccard_join._across(left).collect()]
+    assert len(pairs) == len(set(pairs)) and {(v, w) for v in held for w in held if v < w and v // 2 != w // 2 and held[v] & held[w]} <= set(pairs)
+
+
+def test_in_the_first_turn_a_vertex_meets_one_centre(spark):
+    rows = spark.createDataFrame([(sig, v) for sig in range(30) for v in range(40) if (sig + v) % 3], "sig long, v long")
+    own = spark.createDataFrame([(v, 100, 90 + v % 10, v) for v in range(40)], "v long, n long, common long, c long")
+    first = jaccard_join._stars(rows, own, 0)
+    assert first.count() <= 40
+    assert {v for r in first.collect() for v in r} == set(range(40))
