@@ -16,9 +16,10 @@ frequent ones: the rarest signature that two of them share is always kept by bot
 How many shingles of a set any other set has bounds every intersection it can have. That bound
 drops sets and pairs before sets travel. Vertices are compared with one centre each, then those of
 one signature in a star; connected components merge groups of near copies without forming their pairs, and only pairs
-across components that still share a signature are compared afterwards, each once: a vertex
-first finds the components it shares signatures with. Every link is decided by
-intersecting the two sets.
+across components that still share a signature are compared afterwards, each once. Those are looked
+for within each signature, by sketches of the sets: bits of which a pair differs in no more than its
+sets differ in shingles, so that a pair becomes a row only if they leave it possible. Every link is
+decided by intersecting the two sets.
 """
 
 from __future__ import annotations
@@ -43,8 +44,12 @@ PERCENT = 75
 LOAD = 1.7
 #: Rounds before the pairs that are left are formed: in the first a vertex meets one centre, then all of its stars.
 ROUNDS = 3
-#: So many signatures of a vertex or component, the smallest, tell whether two have met under a smaller one.
-FIRST = 12
+#: Bits of a sketch per shingle, or up to twice as many.
+BITS = 4
+#: Bytes of sketches of one signature that are compared among themselves in one piece; more are dealt into several.
+BLOCK = 4 << 20
+#: Words of sketches that are compared in one step.
+STRIP = 1 << 20
 
 
 def bands(most: int) -> np.ndarray:
@@ -151,7 +156,8 @@ def shingle_sets(docs: DataFrame, size: int, id_column: str, text_column: str) -
     ``met`` tells whether there are signatures worth comparing: ``own`` and ``under``. They and the
     ``shingles`` are given once for equal sets of a chunk. ``v`` is a hash of the whole set.
     """
-    dealt, buckets = chunked(docs, id_column, text_column), buckets_of(docs)
+    # A bucket answers every chunk in a row of its own: half as many buckets as chunks.
+    dealt, buckets = chunked(docs, id_column, text_column), partitions(docs)
     replies = answers(ask(dealt, lambda chunk: (_all_signatures(chunk, size), None), buckets))
     schema = schema_with(
         docs, {"doc_id": id_column},
@@ -242,8 +248,8 @@ def vertices(met: DataFrame) -> DataFrame:
     ``common`` counts the shingles that another of the sets has too: no intersection is larger.
     Sets in which that is under 75 % are similar to none and left out.
     """
-    buckets = buckets_of(met)
-    chunk = F.pmod(F.xxhash64("v"), F.lit(buckets)).cast("int").alias("chunk")
+    buckets = partitions(met)
+    chunk = F.pmod(F.xxhash64("v"), F.lit(buckets_of(met))).cast("int").alias("chunk")
     signed = ("own", "own_slack", "under", "under_slack")
     dealt = met.select("v", "n", "shingles", *signed, chunk).repartition(partitions(met), "chunk")
     schema = schema_with(met, {c: c for c in ("v", "n", "shingles", *signed)}, "common long")
@@ -276,13 +282,9 @@ def vertices(met: DataFrame) -> DataFrame:
     return stored(dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(count, schema), "sets")
 
 
-def _possible(n, common, m, shared, bound: bool = False):
-    """Whether sets of these sizes and bounds can be similar: 100 * least >= 75 * (n + m - least).
-
-    ``bound`` says that ``m`` is the least size of several sets and ``shared`` their largest bound.
-    """
-    least = F.least(common, shared, n) if bound else F.least(common, shared, n, m)
-    return (100 + PERCENT) * least >= PERCENT * (n + m)
+def _possible(n, common, m, shared):
+    """Whether sets of these sizes and bounds can be similar: 100 * least >= 75 * (n + m - least)."""
+    return (100 + PERCENT) * F.least(common, shared, n, m) >= PERCENT * (n + m)
 
 
 def similarity_components(sets: DataFrame) -> DataFrame:
@@ -314,42 +316,110 @@ def similarity_components(sets: DataFrame) -> DataFrame:
         rows = stored(_open(rows, own), "signatures")
         if rows.isEmpty():
             return own.select("v", "c")
-    pairs = _across(stored(rows.join(own, "v"), "open")).join(tried, ["a", "b"], "left_anti")
+    left = stored(rows.join(own, "v"), "open")
+    drawn = stored(sketches(one.join(left.select("v").distinct(), "v", "left_semi")), "sketches")
+    pairs = _across(left, drawn).join(tried, ["a", "b"], "left_anti")
     found = stored(verified(stored(pairs, "pairs"), one), "links")
     return _labelled(sizes, components(links.unionByName(found))).select("v", "c")
 
 
-def _across(left: DataFrame) -> DataFrame:
-    """Possible pairs of vertices of different components that share a signature, each once.
+def sketches(sets: DataFrame) -> DataFrame:
+    """(v, sketch) of the sets (v, shingles): each shingle turns over one of a power of two of bits.
 
-    A signature is shared by a vertex and a component first: two vertices that share hundreds of signatures
-    meet once, when both are known to share one with the other's component.
+    Shingles that both of two sets have cancel out, so their sketches differ in no more bits than the sets in shingles.
     """
-    sides = stored(_meetings(left).distinct(), "sides")
-    other = sides.select(F.col("v").alias("w"), F.col("d").alias("c"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("common").alias("shared"))
-    both = sides.where("c < d").join(other, ["c", "d"]).where(_possible(F.col("n"), F.col("common"), F.col("m"), F.col("shared")))
-    return both.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
 
+    def draw(batches):
+        for batch in batches:
+            column, out = batch.column("shingles"), []
+            edges, values = column.offsets.to_numpy(), mix(column.values.to_numpy().view(U) ^ U(0x510E527FADE682D1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                bits = max(64, 1 << (BITS * (b - a) - 1).bit_length())
+                turned = np.bincount((values[a:b] & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+                out.append(np.packbits(turned.astype(np.uint8), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(out, pa.binary())], ["v", "sketch"])
+
+    return sets.select("v", "shingles").mapInArrow(draw, "v long, sketch binary")
+
+
+def _folded(drawn: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all as short as the shortest: a bit goes by its place modulo the length."""
+    width = min(map(len, drawn)) // 8
+    if not width:
+        return np.empty((len(drawn), 0), U)
+    return np.array([np.bitwise_xor.reduce(np.frombuffer(d, U).reshape(-1, width), axis=0) for d in drawn])
+
+
+def _near(group: pa.Table) -> np.ndarray:
+    """(v, c, w, d) of pairs of vertices v and w of different components c < d that may be similar, of one signature's rows."""
+    group = group.sort_by("c")
+    v, c, n, common, own = (group[x].to_numpy() for x in ("v", "c", "n", "common", "own"))
+    if c[0] == c[-1]:
+        return np.empty((0, 4), np.int64)
+    drawn, apart = _folded(group["sketch"].to_pylist()), group["one"][0] != group["two"][0]
+    out, step = [], max(1, STRIP // (len(v) * max(1, drawn.shape[1])))
+    for lo in range(0, len(v), step):
+        hi, start = min(lo + step, len(v)), int(np.searchsorted(c, c[lo], "right"))
+        if start == len(v):
+            break
+        total = n[lo:hi, None] + n[None, start:]
+        able = (c[lo:hi, None] < c[None, start:]) & ((100 + PERCENT) * np.minimum(common[lo:hi, None], common[None, start:]) >= PERCENT * total)
+        if apart:
+            able &= own[lo:hi, None] != own[None, start:]
+        i, j = np.nonzero(able)
+        differ = np.bitwise_count(drawn[lo + i] ^ drawn[start + j]).sum(axis=1, dtype=np.int64)
+        close = (100 + PERCENT) * differ <= (100 - PERCENT) * total[i, j]
+        i, j = lo + i[close], start + j[close]
+        out.append(np.column_stack([v[i], c[i], v[j], c[j]]))
+    return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+
+
+def _meetings(left: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """(v, c, d, others): vertices v of component c and the ``others`` of component d that share a signature with v and may be similar.
+
+    The rows of a signature are compared in place, by the sketches ``drawn`` if there are any. Where
+    these are many bytes they are dealt into pieces, and every two pieces meet.
+    """
+    bytes_of = F.col("n") * BITS / 4 + 64
+    spans = left.groupBy("sig").agg(F.count("*").alias("times"), (F.floor(F.sum(bytes_of) / BLOCK) + 1).alias("pieces"))
+    dealt = with_summary(left, spans, "sig", "times").withColumn("own", F.pmod(F.xxhash64("v"), F.col("pieces")))
+    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    dealt = dealt.select("sig", F.least("own", "k").alias("one"), F.greatest("own", "k").alias("two"), "own", "v", "c", "n", "common")
+    dealt = dealt.withColumn("sketch", F.lit(b"")) if drawn is None else dealt.join(drawn, "v")
+    key = ["sig", "one", "two"]
+    dealt = dealt.repartition(partitions(left), *key).sortWithinPartitions(*key)
 
-def _meetings(left: DataFrame) -> DataFrame:
-    """(v, c, d, n, common): vertices v of component c that share a signature with a component d, few of them twice.
+    def compare(batches):
+        def pairs(groups: list[pa.Table]) -> pa.RecordBatch:
+            found = np.unique(np.concatenate([np.empty((0, 4), np.int64), *map(_near, groups)]), axis=0)
+            both = np.concatenate([found, found[:, [2, 3, 0, 1]]])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in both.T], ["v", "c", "w", "d"])
 
-    A vertex and a component that share hundreds of signatures meet under the smallest of them, and under another
-    only if their first ones do not show that they did.
-    """
-    held = left.groupBy("sig", F.col("c").alias("d")).agg(F.max("common").alias("most"), F.min("n").alias("least"))
-    held = stored(held.join(_first(held, "d").withColumnRenamed("first", "its_first"), "d"), "held")
-    met = left.join(_first(left, "v"), "v").join(held, "sig").where(F.col("c") != F.col("d"))
-    met = met.where(_possible(F.col("n"), F.col("common"), F.col("least"), F.col("most"), bound=True))
-    met = met.where(F.coalesce(F.array_min(F.array_intersect("first", "its_first")), "sig") >= F.col("sig"))
-    return met.select("v", "c", "d", "n", "common")
-
-
-def _first(rows: DataFrame, key: str) -> DataFrame:
-    """(key, first): the smallest signatures of each key, :data:`FIRST` at most."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy("sig"))
-    kept = rows.select(key, "sig").withColumn("place", place).where(F.col("place") <= FIRST)
-    return kept.groupBy(key).agg(F.collect_list("sig").alias("first"))
+        # The last group of a batch may go on in the next one.
+        held, now = [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            keys = np.column_stack([table[x].to_numpy() for x in key])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), table.num_rows]
+            groups = [table.slice(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if now is not None and (keys[0] == now).all():
+                held.append(groups.pop(0))
+            if groups:
+                whole = [pa.concat_tables(held)] if held else []
+                held, now = [groups.pop()], keys[-1]
+                yield pairs(whole + groups)
+        if held:
+            yield pairs([pa.concat_tables(held)])
+
+    met = dealt.mapInArrow(compare, "v long, c long, w long, d long")
+    return met.groupBy("v", "c", "d").agg(F.collect_set("w").alias("others"))
+
+
+def _across(left: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
+    """Possible pairs of vertices of different components that share a signature, each once."""
+    return _meetings(left, drawn).select(F.col("v").alias("a"), F.explode("others").alias("b")).where("a < b")
 
 
 def _stars(rows: DataFrame, own: DataFrame, turn: int) -> DataFrame:

@@ -226,3 +226,45 @@ def test_in_the_first_turn_a_vertex_meets_one_centre(spark):
     first = jaccard_join._stars(rows, own, 0)
     assert first.count() <= 40
     assert {v for r in first.collect() for v in r} == set(range(40))
+
+
+def test_outsiders_of_a_large_group_do_not_meet_all_its_members(frame, monkeypatch):
+    text, compared, real = prose(8, 160, 5000), [], jaccard_join.verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+
+    def replaced(seed, words):
+        # From a few words, so that what is new in one text is in others too.
+        pick, out = np.random.default_rng(seed), text.split()
+        for at in pick.choice(160, words, replace=False).tolist():
+            out[at] = f"new{at}x{pick.integers(3)}"
+        return " ".join(out)
+
+    rows = [(i, replaced(i, 1 + i % 3)) for i in range(150)] + [(1000 + i, replaced(5000 + i, 8)) for i in range(80)]
+    want = linked(rows)
+    assert sum(c == 0 for _, _, c in want) > 120 and sum(n == c for n, _, c in want) > 40
+    assert found(jaccard_components(frame(rows))) == want
+    assert len(compared) < 4 or compared[-1] < 3 * len(rows)
+
+
+@pytest.mark.parametrize("block", [4 << 20, 1500])
+def test_sketches_leave_every_similar_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    pick = np.random.default_rng(6)
+    held = []
+    for size in (1, 3, 9, 64, 100, 129, 900):
+        whole = pick.integers(-(1 << 62), 1 << 62, size)
+        for share in (0, 0.05, 0.1, 0.14, 0.15, 0.2, 0.3, 0.4):
+            changed = np.where(pick.random(size) < share, pick.integers(-(1 << 62), 1 << 62, size), whole)
+            held.append(np.unique(changed[: len(changed) - len(changed) * int(10 * share) // 20]).tolist() or [1])
+    sets = spark.createDataFrame([(v, h) for v, h in enumerate(held)], "v long, shingles array<long>")
+    # Two to a component, all under two signatures.
+    left = spark.createDataFrame([(sig, v, v // 2, len(h), len(h)) for sig in (3, -4) for v, h in enumerate(held)], "sig long, v long, c long, n long, common long")
+    pairs = [tuple(r) for r in jaccard_join._across(left, jaccard_join.sketches(sets)).collect()]
+    least = {(v, w): 2 * len(set(h) & set(held[w])) / (len(h) + len(held[w])) for v, h in enumerate(held) for w in range(v + 1, len(held)) if v // 2 != w // 2}
+    assert len(pairs) == len(set(pairs)) and {p for p, x in least.items() if x >= 6 / 7} <= set(pairs) <= set(least)
+    assert len(pairs) < len(least) / 4
