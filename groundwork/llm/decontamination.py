@@ -35,6 +35,8 @@ LITERALS = 5
 #: Shorter items match as they are, as a whole.
 SHORTEST = 5
 SHARE = 0.5
+#: Bytes of text whose words, hashes and windows a task holds at a time; they take about forty times as much.
+SLICE = 1 << 20
 #: Window hashes held by a task at a time: 16 MB.
 BLOCK = 2_000_000
 #: Fixed list, ours: units that follow a number.
@@ -214,7 +216,7 @@ def _hits(docs: DataFrame, sizes: dict[bool, list[int]], block: np.ndarray) -> D
                 ]
                 yield dict(zip(fields, zip(*out, strict=True), strict=True))
 
-    return map_rows(docs, schema, work)
+    return map_rows(docs, schema, work, most=SLICE)
 
 
 def _clashing(typed: list[dict]) -> set[tuple[int, str]]:
@@ -291,7 +293,7 @@ def contamination(
         found = own.select("doc_id", "doc").where("false").selectExpr(
             "doc_id", "doc", "0 AS size", "0L AS h", "false AS typed", "0L AS position", "0L AS unit", "CAST(array() AS array<string>) AS slots", "0 AS block"
         )
-    hits = stored(found.distinct(), "benchmark-hits")
+    hits = stored(found.distinct(), "benchmark-hits", long_rows=True)
     theirs = windows.withColumnRenamed("position", "place").withColumnRenamed("slots", "values").withColumnRenamed("unit", "step")
     met = hits.join(theirs, ["block", "size", "h", "typed"]).withColumn("shift", F.col("position") - F.col("place"))
     met = met.select("doc", "doc_id", "item", "item_id", "n_words", "typed", "anchor", "place", "span", "shift", (F.col("unit") - F.col("step")).alias("line"), "spots", "values", "slots")

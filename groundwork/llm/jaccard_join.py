@@ -309,7 +309,7 @@ def similarity_components(sets: DataFrame) -> DataFrame:
     for turn in range(ROUNDS):
         pairs = _stars(rows, own, turn)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verified(pairs, one), "links")
+        found = stored(verified(pairs, one), "links", long_rows=True)
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         own = _labelled(sizes, components(links))
@@ -317,9 +317,9 @@ def similarity_components(sets: DataFrame) -> DataFrame:
         if rows.isEmpty():
             return own.select("v", "c")
     left = stored(rows.join(own, "v"), "open")
-    drawn = stored(sketches(one.join(left.select("v").distinct(), "v", "left_semi")), "sketches")
+    drawn = stored(sketches(one.join(left.select("v").distinct(), "v", "left_semi")), "sketches", long_rows=True)
     pairs = _across(left, drawn).join(tried, ["a", "b"], "left_anti")
-    found = stored(verified(stored(pairs, "pairs"), one), "links")
+    found = stored(verified(stored(pairs, "pairs"), one), "links", long_rows=True)
     return _labelled(sizes, components(links.unionByName(found))).select("v", "c")
 
 

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from groundwork.llm.arrow import map_rows, schema_with
+from groundwork.llm.arrow import forget, map_rows, schema_with
 from groundwork.llm.registry import query, table
 from groundwork.llm.storage import partitions, stored
 from groundwork.llm.tokens import Encoder, default_vocabulary
 from groundwork.llm.words import U, mix
 
+#: Bytes of text a task encodes at a time.
+SLICE = 1 << 20
 LENGTH = 2048
 END = 1
 DIMENSIONS, BITS = 3, 10
@@ -95,8 +97,8 @@ def token_table(docs: DataFrame, vocabulary: str, end: int = END) -> DataFrame:
             yield {"doc_id": part["doc_id"], "point": points, "n": counts + 1, "ids": [f + last for f in found]}
 
     tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << TIE_BITS))
-    coded = map_rows(docs.select("doc_id", "text"), schema, work, keeps="encoders")
-    return stored(coded.select("doc_id", (F.shiftleft("point", TIE_BITS) + tie).alias("place"), "n", "ids"), "tokens")
+    coded = map_rows(docs.select("doc_id", "text"), schema, work, most=SLICE, keeps="encoders")
+    return stored(coded.select("doc_id", (F.shiftleft("point", TIE_BITS) + tie).alias("place"), "n", "ids"), "tokens", long_rows=True)
 
 
 def pack_documents(
@@ -130,6 +132,7 @@ def pack_documents(
     arrow = to_arrow_schema(schema)
 
     def pieces(batches):
+        forget()  # the encoder and the pieces of text it knows
         now, at = None, 0
         for batch in batches:
             names, rows = batch.column("doc_id").to_pylist(), []

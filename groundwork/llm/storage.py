@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager, nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +26,37 @@ def remove(spark: SparkSession, tables: list[str]) -> None:
         _MADE.remove(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Spark's setting for the bytes of a batch that goes to a Python worker, and what :func:`small_batches` makes it.
+BATCH_BYTES, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """What runs meanwhile sends rows to Python workers about 4 MB at a time, unless the session has a bound of its own.
+
+    By default a batch is 10,000 rows, however long. Buffers of tens of megabytes are held by both
+    sides at once, and the JVM's allocator seldom gives them back.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, SMALL)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def stored(df: DataFrame, name: str, long_rows: bool = False) -> DataFrame:
     """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read from there.
 
     The files outlive lost executors and the rows never change again, whatever is computed twice.
+    ``long_rows`` says that whole texts or sets go to Python workers: then in :func:`small_batches`.
     """
     path = scratch_dir(df.sparkSession, name)
     _MADE.append(path)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession) if long_rows else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

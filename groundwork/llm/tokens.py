@@ -21,7 +21,7 @@ import numpy as np
 from groundwork.llm.arrow import worker_state
 
 #: Pieces remembered by a worker at most, and the longest of them.
-MOST, LONGEST = 1_000_000, 64
+MOST, LONGEST = 500_000, 64
 _AFTER_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 #: Characters whose classes are the same in every version of Unicode.

@@ -5,11 +5,15 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from groundwork.llm.arrow import worker_state
 from groundwork.llm.decontamination import contamination, without_contaminated
 from groundwork.llm.licenses import BASE, evaluate, leading_expression, scan_licenses, to_postfix
 from groundwork.llm.packing import brute_force, curve_keys, digest, hilbert_keys, pack_documents
+from groundwork.llm.storage import BATCH_BYTES, small_batches, stored
 from groundwork.llm.token_counts import count_tokens
 from groundwork.llm.tokens import Encoder, default_vocabulary
 from groundwork.llm.toxicity import fit, score_toxicity, without_toxic
@@ -363,3 +367,56 @@ def test_rows_are_told_apart_by_identifier_and_text(frame, spark):
     assert left == sorted([rows[1], rows[3], rows[4]], key=repr)
     assert without_contaminated(frame([]), benchmark).collect() == []
     assert without_contaminated(frame(rows), benchmark.where("false")).count() == len(rows)
+
+
+def _handed_over(monkeypatch, docs):
+    """The functions that are given to mapInArrow from now on."""
+    seen, kind = [], type(docs)
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, work, *a, **b: (seen.append(work), own(self, work, *a, **b))[1])
+    return seen
+
+
+def test_long_rows_reach_workers_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    long = spark.range(0, 4000, 1, 1).select(F.repeat(F.col("id").cast("string"), 2000).alias("text"))
+    found = stored(long.mapInArrow(sizes, "bytes long, rows long"), "batches", long_rows=True).collect()
+    assert sum(r["rows"] for r in found) == 4000
+    assert max(r["bytes"] for r in found) < 6 << 20 < sum(r["bytes"] for r in found)
+    assert spark.conf.get(BATCH_BYTES, None) is None
+    spark.conf.set(BATCH_BYTES, "1m")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_BYTES) == "1m"
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def test_packing_lets_the_encoder_go_before_it_cuts(frame, monkeypatch):
+    docs = frame([(i, prose(i, 30)) for i in range(20)])
+    seen = _handed_over(monkeypatch, docs)
+    pack_documents(docs)
+    worker_state("encoders")["path"] = "an encoder"
+    assert not list(seen[-1](iter([])))
+    assert not worker_state("encoders")
+
+
+def test_windows_are_looked_up_in_bounded_memory(frame, monkeypatch):
+    import tracemalloc
+
+    docs, items = frame([(1, prose(1, 40))]), frame([(9, prose(1, 40))])
+    seen = _handed_over(monkeypatch, docs)
+    assert contamination(docs, items, item_id_column="doc_id").count() == 1
+    lookup = seen[1]
+    many = pa.table({"doc_id": pa.array(range(400), pa.int64()), "text": [prose(i, 5000) for i in range(400)], "doc": pa.array(range(400), pa.int64())})
+    assert many.nbytes > 6 << 20
+    tracemalloc.start()
+    try:
+        list(lookup(iter(many.combine_chunks().to_batches())))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
